@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import language_id, license_scan, line_dedup, source_mixing, syncmers, wavelet_tokens
+from quillgraph.llm import language_id, license_scan, line_dedup, quality_rules, source_mixing, string_tiling, syncmers, url_filter, wavelet_tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,14 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    learn, held = language_id.held_out_split(labels)
+    model = quality_rules.fit_rules(docs, learn)
+    return quality_rules.score_quality(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = source_mixing.mix_sources(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
@@ -44,7 +52,15 @@ def op7_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet_tokens.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_language_id, op4_source_mixing, op5_syncmers, op6_license_scan, op7_wavelet_tokens)}
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return string_tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_quality_rules, op4_source_mixing, op5_syncmers, op6_license_scan, op7_wavelet_tokens, op9_url_filter, op10_string_tiling)}
 
 _KEYS = r"""
 WITH lines AS (
