@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,21 +57,97 @@ def document_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-class WordHashes(dict):
-    """64-bit hash by word (bytes), remembered; forgotten as a whole when it holds `most` words."""
+class _Powers:
+    """Powers of an odd base and of its inverse modulo 2**64, as far as they were needed."""
 
-    def __init__(self, most: int = 400_000):
-        super().__init__()
-        self.most = most
+    BASE = 0x9E3779B97F4A7C15
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = max(n, 2 * len(self.up), 1 << 16)
+            with np.errstate(over="ignore"):
+                for name, base in (("up", self.BASE), ("down", pow(self.BASE, -1, 2**64))):
+                    steps = np.full(size, np.uint64(base))
+                    steps[0] = 1
+                    setattr(self, name, np.cumprod(steps, dtype=np.uint64))
+        return self.up[:n], self.down[:n]
+
+
+powers = _Powers()
+
+
+def running_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Karp-Rabin hash of each range [start, end) of 64-bit values: sum of value * base**offset modulo
+    2**64, all from one array of running sums; mixed at the end."""
+    up, down = powers.of(len(values) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * up[: len(values)], out=sums[1:])
+        h = (sums[ends] - sums[starts]) * down[starts]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        return h ^ (h >> np.uint64(29))
+
+
+#: A 64-bit value for each byte.
+_BYTE_VALUES = np.random.default_rng(20).integers(1, 2**63, 256, np.uint64)
+#: Byte strings of this size go through numpy at once.
+PIECE = 1 << 20
+
+
+def _piece_words(piece: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of each word of a byte string; words are split at [\\x20\\x09-\\x0D]."""
+    codes = np.frombuffer(piece, np.uint8)
+    edge = np.ones(len(codes) + 2, bool)
+    edge[1:-1] = (codes == 32) | ((codes >= 9) & (codes <= 13))
+    starts = np.flatnonzero(edge[:-1] & ~edge[1:])
+    ends = np.flatnonzero(~edge[:-1] & edge[1:])
+    return starts, running_hashes(_BYTE_VALUES[codes], starts, ends)
+
+
+def _cut_pieces(text: bytes) -> Iterator[bytes]:
+    """A long text in pieces of about PIECE bytes, cut before white space."""
+    at = 0
+    while at < len(text):
+        to = at + PIECE
+        if to < len(text) and (m := _SPACE.search(text, to)):
+            to = m.start()
+        elif to < len(text):
+            to = len(text)
+        yield text[at:to]
+        at = to
+
+
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_hashes(texts: Iterable[bytes]) -> Iterator[np.ndarray]:
+    """For each text the hashes of its words, in order. Short texts go through numpy together."""
+    held: list[bytes] = []
+    size = 0
+
+    def together() -> Iterator[np.ndarray]:
+        starts, hashes = _piece_words(b"\n".join(held))
+        lengths = np.fromiter(map(len, held), np.int64, len(held)) + 1
+        yield from np.split(hashes, np.searchsorted(starts, np.cumsum(lengths)[:-1]))
+
+    for text in texts:
+        if len(text) > PIECE:
+            if held:
+                yield from together()
+                held, size = [], 0
+            yield np.concatenate([_piece_words(p)[1] for p in _cut_pieces(text)])
+            continue
+        if size + len(text) > PIECE and held:
+            yield from together()
+            held, size = [], 0
+        held.append(text)
+        size += len(text) + 1
+    if held:
+        yield from together()
 
 
 _MULTIPLY = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)

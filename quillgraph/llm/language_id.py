@@ -27,6 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LETTER = regex.compile(r"\p{L}")
 NOT_LETTERS = regex.compile(r"[^\p{L}]+")
@@ -179,13 +180,23 @@ def identify_languages(docs: DataFrame, model: LanguageFilter) -> DataFrame:
             names, scores = carried.value.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)], [*batch.schema.names, "lang_pred", "score"])
 
-    from pyspark.sql import types as T
-
     fields = [f for f in docs.schema.fields if f.name in kept]
     schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return docs.select(*kept).mapInArrow(rows, schema)
 
 
+def keep_languages(docs: DataFrame, model: LanguageFilter, least_score: float = 0.3) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose text has a language with `least_score` or more."""
+    carried = docs.sparkSession.sparkContext.broadcast(model)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, scores = carried.value.predict(batch.column("text").to_pylist())
+            yield batch.filter(pa.array([n != "und" and bool(s >= least_score) for n, s in zip(names, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(rows, docs.schema)
+
+
 def held_out_split(docs: DataFrame) -> tuple[DataFrame, Column]:
     """The rows a model may learn from, and the column that marks the others."""
     held = F.coalesce(crc_fold(F.col("doc_id")) == 0, F.lit(False))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import language_id, license_scan, line_dedup, quality_rules, source_mixing, string_tiling, syncmers, url_filter, wavelet_tokens
+from quillgraph.llm import language_id, license_scan, line_dedup, ngram_jaccard, quality_rules, source_mixing, string_tiling, syncmers, url_filter, wavelet_tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,11 @@ def op7_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet_tokens.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ngram_jaccard.jaccard_components(table(spark, sf_dir, "documents"), size=4, num=85, den=100)
+    return rows.withColumnRenamed("n_ngrams", "n_shingles")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -60,7 +65,7 @@ def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return string_tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_quality_rules, op4_source_mixing, op5_syncmers, op6_license_scan, op7_wavelet_tokens, op9_url_filter, op10_string_tiling)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_quality_rules, op4_source_mixing, op5_syncmers, op6_license_scan, op7_wavelet_tokens, op8_ngram_jaccard, op9_url_filter, op10_string_tiling)}
 
 _KEYS = r"""
 WITH lines AS (

@@ -98,11 +98,25 @@ def unit_of(doc_id: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit("copies"), doc_id), F.lit(2**32)) / F.lit(2.0**32)
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, tolerance: float = 1e-4, newton_steps: int = 40, rounding_passes: int = 2, grid: int = 16, max_sources: int = 100_000) -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, copies and taken of every row of `docs`.
+@dataclass
+class Mixture:
+    """The fitted balance of every source and the table of sizes that it was fitted on."""
+
+    narrow: DataFrame
+    balances: list[Balance]
+    cap: float
+
+    def taken(self, rows: DataFrame) -> DataFrame:
+        """`rows` (doc_id, source, size and others) with source_size, target, rate, copies and taken."""
+        out = rows.join(_table(rows.sparkSession, self.balances), F.col("source").eqNullSafe(F.col("s")))
+        factor = F.when(F.col("size") <= F.col("mean"), F.col("small_factor")).otherwise(F.col("factor"))
+        copies = F.floor(_rate(self.cap, factor) + unit_of(F.col("doc_id"))).cast("int")
+        out = out.select(*rows.columns, F.col("total").alias("source_size"), "target", _rate(self.cap).alias("rate"), copies.alias("copies"))
+        return out.withColumn("taken", F.col("copies") * F.col("size"))
+
 
-    Sources in code point order (null last) weigh `weights`, repeating.
-    """
+def fit_mixture(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, tolerance: float = 1e-4, newton_steps: int = 40, rounding_passes: int = 2, grid: int = 16, max_sources: int = 100_000) -> Mixture:
+    """Sources in code point order (null last) weigh `weights`, repeating."""
     spark = docs.sparkSession
     narrow = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")))
     cells = stored(narrow.groupBy("source", "size").agg(F.count("*").alias("n")))
@@ -150,7 +164,18 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: fl
                 else:
                     b.factor = b.small_factor = factors[best]
 
-    out = narrow.join(_table(spark, balances), F.col("source").eqNullSafe(F.col("s")))
-    factor = F.when(F.col("size") <= F.col("mean"), F.col("small_factor")).otherwise(F.col("factor"))
-    copies = F.floor(_rate(cap, factor) + unit_of(F.col("doc_id"))).cast("int")
-    return out.select("doc_id", "source", "size", F.col("total").alias("source_size"), "target", _rate(cap).alias("rate"), copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    return Mixture(narrow, balances, cap)
+
+
+def mix_sources(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, source, size, source_size, target, rate, copies and taken of every row of `docs`."""
+    mixture = fit_mixture(docs, **options)
+    return mixture.taken(mixture.narrow)
+
+
+def repeat_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows of `docs`, with all their columns, as often as the mix takes them."""
+    mixture = fit_mixture(docs, **options)
+    packed = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
+    taken = mixture.taken(packed).filter("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

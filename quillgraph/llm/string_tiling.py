@@ -7,7 +7,7 @@ either side, again and again, until none of `seed` words or more is left. An ite
 share of its words that are marked; a document is contaminated by every item of which it covers
 `least_coverage` or more, in whatever order the passages stand.
 
-Items are a query set: they are read in blocks of at most `block_words` words, each sent to all
+Items are a query set: they are read in blocks of at most `block_bytes` bytes, each sent to all
 tasks (its size is proven by the block), and every block meets all documents.
 
 Defined results: items and documents without words (null, empty) match nothing; an item shorter than
@@ -27,46 +27,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import WordHashes, document_texts
+from quillgraph.llm.common import document_texts, running_hashes, word_hashes
 
 _BLANKS = bytes(b if b >= 0x80 or chr(b).isdigit() or chr(b).islower() else 0x20 for b in range(256))
-_BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+def word_row(text: str | None) -> bytes:
+    """The text's words with blanks between them."""
+    return text.lower().encode("utf-8", "replace").translate(_BLANKS) if text else b""
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return text.lower().encode("utf-8", "replace").translate(_BLANKS).split() if text else []
-
-
-class Powers:
-    """Powers of the base and of its inverse, as far as they were needed."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
-            with np.errstate(over="ignore"):
-                self.up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, _BASE)]), dtype=np.uint64)
-                self.down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, _INVERSE)]), dtype=np.uint64)
-        return self.up[:n], self.down[:n]
-
-
-_powers = Powers()
-
-
-def running_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """Karp-Rabin hash of every run of `size` words: sum of word * base**offset modulo 2**64, from
-    running sums."""
+def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """The running hash of every `size` consecutive words."""
     n = len(words) - size + 1
     if n <= 0 or size <= 0:
         return np.empty(0, np.uint64)
-    up, down = _powers.of(len(words))
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(words * up, dtype=np.uint64)])
-        h = (sums[size:] - sums[:-size]) * down[:n]
-        return h ^ (h >> np.uint64(32))
+    at = np.arange(n)
+    return running_hashes(words, at, at + size)
 
 
 def tile(item: np.ndarray, doc: np.ndarray, seeds: list[tuple[int, int]], least: int) -> list[tuple[int, int, int]]:
@@ -117,14 +92,13 @@ class TestBlock:
     BITS = 1 << 20
 
     @classmethod
-    def over(cls, items: list[tuple[object, list[bytes]]], seed: int) -> TestBlock:
-        hashes = WordHashes()
-        ids, words = [i for i, _ in items], [hashes.of(w) for _, w in items]
+    def over(cls, items: list[tuple[object, bytes]], seed: int) -> TestBlock:
+        ids, words = [i for i, _ in items], list(word_hashes(w for _, w in items))
         found = defaultdict(list)
         for k, own in enumerate(words):
             size = min(seed, len(own))
             if size:
-                h = running_hashes(own, size)
+                h = window_hashes(own, size)
                 found[size].append((h, np.full(len(h), k), np.arange(len(h))))
         seeds = {}
         for size, parts in found.items():
@@ -139,7 +113,7 @@ class TestBlock:
         """(item id, coverage, item's words, tiles) of the items that the document covers."""
         pairs: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for size, (hashes, items, places, bitmap) in self.seeds.items():
-            own = running_hashes(doc, size)
+            own = window_hashes(doc, size)
             maybe = np.flatnonzero(bitmap[own & np.uint64(self.BITS - 1)])
             if not len(maybe):
                 continue
@@ -168,11 +142,11 @@ class TestBlock:
         return max(s for s in self.seeds if s <= len(item))
 
 
-def test_blocks(benchmark: DataFrame, seed: int, block_words: int) -> Iterator[TestBlock]:
+def test_blocks(benchmark: DataFrame, seed: int, block_bytes: int) -> Iterator[TestBlock]:
     items, size = [], 0
     for row in benchmark.select("item_id", F.col("text").cast("string").alias("text")).toLocalIterator():
-        words = words_of(row["text"])
-        if size + len(words) > block_words and items:
+        words = word_row(row["text"])
+        if size + len(words) > block_bytes and items:
             yield TestBlock.over(items, seed)
             items, size = [], 0
         items.append((row["item_id"], words))
@@ -180,21 +154,22 @@ def test_blocks(benchmark: DataFrame, seed: int, block_words: int) -> Iterator[T
     yield TestBlock.over(items, seed)
 
 
-_hashes = WordHashes()
+def _words_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    return word_hashes(word_row(t.as_py()) for t in batch.column("text"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least_coverage: float = 0.6, seed: int = 5, block_words: int = 500_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least_coverage: float = 0.6, seed: int = 5, block_bytes: int = 4_000_000) -> DataFrame:
     """doc_id, item_id, coverage, item_words, n_tiles, first_word (of the document) of every contaminated
     document and the items that it covers."""
     spark, out = docs.sparkSession, None
-    for block in test_blocks(benchmark, seed, block_words):
+    for block in test_blocks(benchmark, seed, block_bytes):
         carried = spark.sparkContext.broadcast(block)
 
         def rows(batches: Iterator[pa.RecordBatch], carried=carried) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = []
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                    for item, coverage, size, tiles in carried.value.matches(_hashes.of(words_of(text.as_py())), least_coverage):
+                for doc_id, words in zip(batch.column("doc_id").to_pylist(), _words_of(batch), strict=True):
+                    for item, coverage, size, tiles in carried.value.matches(words, least_coverage):
                         found.append((doc_id, item, coverage, size, len(tiles), min(t[1] for t in tiles)))
                 if found:
                     columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
@@ -205,15 +180,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_coverage: float =
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, least_coverage: float = 0.6, seed: int = 5, block_words: int = 500_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, least_coverage: float = 0.6, seed: int = 5, block_bytes: int = 4_000_000) -> DataFrame:
     """The rows of `docs`, with all their columns, that no item contaminates."""
     spark, out = docs.sparkSession, docs
-    for block in test_blocks(benchmark, seed, block_words):
+    for block in test_blocks(benchmark, seed, block_bytes):
         carried = spark.sparkContext.broadcast(block)
 
         def rows(batches: Iterator[pa.RecordBatch], carried=carried) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                clean = [not carried.value.matches(_hashes.of(words_of(t.as_py())), least_coverage) for t in batch.column("text")]
+                clean = [not carried.value.matches(words, least_coverage) for words in _words_of(batch)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         out = out.mapInArrow(rows, docs.schema)
