@@ -47,13 +47,22 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000, size: str = "16m") -> None:
+    """Bounds what a Python worker holds at once: rows and bytes of an Arrow batch. The settings are read
+    when a plan runs, so they stay for the session."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, rows + 1):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(c, UPPER, LOWER)
 
 
 def document_texts(docs: DataFrame) -> DataFrame:
-    """doc_id (long) and text only, so that no other column of `docs` can clash."""
+    """doc_id (long) and text only, so that no other column of `docs` can clash; batches of texts are small."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 

@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillgraph.llm.common import small_batches
+
 LETTER = regex.compile(r"\p{L}")
 NOT_LETTERS = regex.compile(r"[^\p{L}]+")
 SIZES = (2, 3, 4)
@@ -147,6 +149,7 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_languages(labelled: DataFrame, fit_rows: int = 2_000, least_rate: float = 2e-5, share: float = 0.2, most_grams: int = 200_000) -> LanguageFilter:
     """From labelled (doc_id, text, lang). The sample is bounded by `fit_rows` a language, the filter by
     `most_grams` a language (the most frequent)."""
+    small_batches(labelled.sparkSession)
     rows = labelled.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang is not null and text is not null and text != ''")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(65).collect()}
     if len(sizes) > 64:
@@ -172,6 +175,7 @@ def fit_languages(labelled: DataFrame, fit_rows: int = 2_000, least_rate: float
 
 def identify_languages(docs: DataFrame, model: LanguageFilter) -> DataFrame:
     """All columns of `docs` with lang_pred and score; only the text is looked at."""
+    small_batches(docs.sparkSession)
     carried = docs.sparkSession.sparkContext.broadcast(model)  # bounded by languages and most_grams
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
 
@@ -187,6 +191,7 @@ def identify_languages(docs: DataFrame, model: LanguageFilter) -> DataFrame:
 
 def keep_languages(docs: DataFrame, model: LanguageFilter, least_score: float = 0.3) -> DataFrame:
     """The rows of `docs`, with all their columns, whose text has a language with `least_score` or more."""
+    small_batches(docs.sparkSession)
     carried = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,9 +12,10 @@ transpose is computed only where it can matter:
    alpha + 1 - ceil(num*max(a,b)/den) columns of their prefixes. Pairs that can't reach this bound,
    even if all their longer columns were shared, are discarded.
 3. Longer columns (a large group of near copies, or a passage that many share) are not multiplied out.
-   Each is first matched against one pivot, the node with most columns of that kind; members whose
-   links join them to one component need no further comparison among themselves. What is left, members
-   outside a column's largest component against the others, is multiplied out under the same bound.
+   Each is first matched against one pivot, the node with the largest share of columns of that kind;
+   members whose links join them to one component need no further comparison among themselves. What is
+   left, members outside a column's largest component against the others, is multiplied out, but only
+   where both have enough long columns to reach the bound by these alone.
 4. Pairs that remain are verified on whole sets; links give connected components. Of the pairs of step 2,
    each node's best is verified first, then those that still lie between components.
 
@@ -188,14 +189,15 @@ class JaccardJoin:
         h = kept.filter("long").groupBy("node").agg(F.count("*").alias("h"))
         return stored(kept.join(h, "node", "left").select("col", "long", "node", "n", F.coalesce("h", F.lit(0)).alias("h")))
 
-    def _pairs(self, left: DataFrame, right: DataFrame, condition: Column, extra: Column | None = None) -> DataFrame:
-        """Overlap counts of pairs that meet in a column: (a, b, c), a < b, under the bound; `extra` is
-        added to the count before."""
+    def _pairs(self, left: DataFrame, right: DataFrame, condition: Column, long: bool = False) -> DataFrame:
+        """Overlap counts of pairs that meet in a column: (a, b, c), a < b, under the bound. `long`: the
+        columns are long ones and the pair meets in no others, so it meets in min(h) at most."""
         x, y = left.alias("x"), right.alias("y")
-        met = x.join(y, (F.col("x.col") == F.col("y.col")) & _sizes_fit(F.col("x.n"), F.col("y.n"), self.num, self.den) & condition)
-        least_h = F.least("x.h", "y.h")
-        counted = met.groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), _bound(F.col("x.n"), F.col("y.n"), self.num, self.den).alias("bound"), least_h.alias("h")).agg(F.count("*").alias("c"))
-        total = F.col("c") + (F.col("h") if extra is None else extra)
+        bound, least_h = _bound(F.col("x.n"), F.col("y.n"), self.num, self.den), F.least("x.h", "y.h")
+        on = (F.col("x.col") == F.col("y.col")) & _sizes_fit(F.col("x.n"), F.col("y.n"), self.num, self.den) & condition
+        met = x.join(y, on & (least_h >= bound) if long else on)
+        counted = met.groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), bound.alias("bound"), least_h.alias("h")).agg(F.count("*").alias("c"))
+        total = F.col("c") if long else F.col("c") + F.col("h")
         return counted.filter(total >= F.col("bound")).select("a", "b", "c")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
@@ -216,7 +218,8 @@ class JaccardJoin:
         rows = self._incidence()
         light, long = rows.filter(~F.col("long")), rows.filter("long")
         pairs = stored(self._pairs(light, light, F.col("x.node") < F.col("y.node")))
-        pivots = long.groupBy("col").agg(F.max(F.struct(F.col("h"), -F.col("n"), "node", "n")).alias("p")).select("col", F.col("p.h").alias("h"), F.col("p.node").alias("node"), F.col("p.n").alias("n"))
+        share = F.col("h") / (F.col("n") - F.floor((self.num * F.col("n") + (self.den - 1)) / self.den) + 1)
+        pivots = long.groupBy("col").agg(F.max(F.struct(share.alias("share"), -F.col("n"), "node", "n", "h")).alias("p")).select("col", F.col("p.h").alias("h"), F.col("p.node").alias("node"), F.col("p.n").alias("n"))
         stars = self._pairs(long, pivots, F.col("x.node") != F.col("y.node"))
 
         best = pairs.select("a", "b", "c").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "c"))
@@ -234,7 +237,7 @@ class JaccardJoin:
         largest = placed.groupBy("col", "root").agg(F.count("*").alias("m")).groupBy("col").agg(F.max_by("root", F.struct("m", "root")).alias("main"))
         placed = stored(placed.join(largest, "col"))
         stray = placed.filter("root <> main")
-        left = self._pairs(stray, placed, (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))), extra=F.lit(0))
+        left = self._pairs(stray, placed, (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))), long=True)
         left = stored(left)
         if not left.isEmpty():
             links = stored(links.unionByName(self._verified(left)))

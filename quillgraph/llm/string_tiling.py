@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import document_texts, running_hashes, word_hashes
+from quillgraph.llm.common import document_texts, running_hashes, small_batches, word_hashes
 
 _BLANKS = bytes(b if b >= 0x80 or chr(b).isdigit() or chr(b).islower() else 0x20 for b in range(256))
 def word_row(text: str | None) -> bytes:
@@ -183,6 +183,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_coverage: float =
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least_coverage: float = 0.6, seed: int = 5, block_bytes: int = 4_000_000) -> DataFrame:
     """The rows of `docs`, with all their columns, that no item contaminates."""
     spark, out = docs.sparkSession, docs
+    small_batches(spark)
     for block in test_blocks(benchmark, seed, block_bytes):
         carried = spark.sparkContext.broadcast(block)
 
