@@ -3,7 +3,7 @@
 Accepted and rejected URLs each train a Markov model of characters with orders 0 to `order`;
 orders are blended by Witten-Bell smoothing, so a long context counts as much as it was seen.
 Counts are kept in arrays of `slots` cells an order (n-grams that share a cell share counts), so the
-model has a fixed size whatever the input: one row, read by every task as a scalar subquery.
+model has a fixed size whatever the input (slots * (order + 1) cells) and travels as a literal.
 The score is the mean over a URL's characters of the difference of log-likelihoods; its threshold is
 calibrated on a fifth of the labelled URLs, which the models don't see, where the two classes' error
 rates are closest.
@@ -65,6 +65,10 @@ def rule_columns(host: Column, path: Column, rules: tuple[UrlRule, ...] = RULES)
     return name, verdict
 
 
+#: What a cell counts, for accepted and rejected URLs: n-grams, contexts, kinds of characters after a context.
+FIELDS = [f"{c}_{name}" for name in "ar" for c in ("n", "contexts", "kinds")]
+
+
 @dataclass(frozen=True)
 class UrlModel:
     """cells: one row with an array of (accepted: n, contexts, kinds; rejected: the same) by order and slot."""
@@ -98,7 +102,7 @@ def _context(order: int, k: int) -> Column:
     return F.substring(F.col("padded"), F.col("i") + F.lit(order - k), F.lit(k)) if k else F.lit("")
 
 
-def train(labelled: DataFrame, order: int = 3, slots: int = 1 << 14) -> UrlModel:
+def train(labelled: DataFrame, order: int = 3, slots: int = 1 << 13) -> UrlModel:
     """labelled: s (spelled URL), accepted (boolean)."""
     spark = labelled.sparkSession
     at = _positions(labelled.filter("s != ''"), order)
@@ -112,26 +116,28 @@ def train(labelled: DataFrame, order: int = 3, slots: int = 1 << 14) -> UrlModel
     size = slots * (order + 1)
     filled = both.unionByName(spark.range(size).select(F.lit(True).alias("accepted"), F.col("id").cast("int").alias("cell"), F.lit(0.0).alias("n"), F.lit(0.0).alias("contexts"), F.lit(0.0).alias("kinds")))
     cells = filled.groupBy("cell").agg(*sums)
-    fields = [f"{c}_{name}" for name in "ar" for c in ("n", "contexts", "kinds")]
-    row = cells.agg(F.sort_array(F.collect_list(F.struct("cell", *fields))).alias("cells"))
+    row = cells.agg(F.sort_array(F.collect_list(F.struct("cell", *FIELDS))).alias("cells"))
     return UrlModel(stored(row), order, slots)
 
 
 def scores(rows: DataFrame, model: UrlModel, key: str) -> DataFrame:
     """(key, score) of the rows (key, s) with a non-empty s; the key must be unique."""
-    cells = model.cells.select("cells").scalar()
     at = _positions(rows.select(key, "s").filter("s != ''"), model.order)
 
-    def chance(side: str) -> Column:
+    def chance(cells: Column, side: str) -> Column:
         p = F.lit(1 / 64)
         for k in range(model.order + 1):
             gram = F.get(cells, _slot(k, model.slots, _gram(model.order, k)))
             context = F.get(cells, _slot(k, model.slots, _context(model.order, k)))
-            n, total, kinds = gram[f"n_{side}"], context[f"contexts_{side}"], context[f"kinds_{side}"]
+            n, total, kinds = F.get(gram, F.lit(FIELDS.index(f"n_{side}"))), F.get(context, F.lit(FIELDS.index(f"contexts_{side}"))), F.get(context, F.lit(FIELDS.index(f"kinds_{side}")))
             p = F.when(total > 0, (F.least(n, total) + kinds * p) / (total + kinds)).otherwise(p)
         return p
 
-    return at.select(key, (F.ln(chance("a")) - F.ln(chance("r"))).alias("d")).groupBy(key).agg(F.avg("d").alias("score"))
+    # the model (of fixed size) stands in the plan once, as the argument of one lambda
+    text = model.cells.select(F.to_json(F.transform("cells", lambda c: F.array(*(c[f] for f in FIELDS))))).first()[0]
+    cells = F.array(F.from_json(F.lit(text), "array<array<double>>"))
+    d = F.get(F.transform(cells, lambda c: F.ln(chance(c, "a")) - F.ln(chance(c, "r"))), F.lit(0))
+    return at.select(key, d.alias("d")).groupBy(key).agg(F.avg("d").alias("score"))
 
 
 def calibrate(scored: DataFrame) -> float:
@@ -146,25 +152,26 @@ def calibrate(scored: DataFrame) -> float:
     def gap(cut: float) -> float:
         return abs(sum(x < cut for x in accepted) - sum(x >= cut for x in rejected))
 
-    candidates = sorted({*accepted, *rejected})
-    least = min(map(gap, candidates))
-    best = [c for c in candidates if gap(c) == least]
+    values = sorted({*accepted, *rejected})
+    cuts = [values[0], *((a + b) / 2 for a, b in zip(values, values[1:], strict=False))]
+    least = min(map(gap, cuts))
+    best = [c for c in cuts if gap(c) == least]
     return best[len(best) // 2]
 
 
-def filter_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, order: int = 3, slots: int = 1 << 14) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, order: int = 3, slots: int = 1 << 13) -> DataFrame:
     """Per row of pages (page_id, url): page_id, host, path, rule, verdict, score and threshold."""
     host, path = host_and_path(F.col("url").cast("string"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     name, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", name.alias("rule"), verdict.alias("ruled"), spelled(F.col("host"), F.col("path")).alias("s"))
-    # equal spellings (a host in a third of all rows, digits apart) are learned and scored once each, weighted by nothing
-    spelling = rows.filter("s != ''").groupBy("s").agg(F.max("ruled").alias("ruled"))
-    labelled = spelling.filter("ruled is not null").select("s", (F.col("ruled") == "allow").alias("accepted"), (F.pmod(F.xxhash64(F.lit("fold"), "s"), F.lit(5)) == 0).alias("held"))
-    labelled = stored(labelled)
+    # equal spellings (digits apart) score once; the models count every different URL
+    spelling = rows.filter("s != ''").select("s").distinct()
+    ruled = rows.filter("ruled is not null and s != ''").select("host", "path", "s", (F.col("ruled") == "allow").alias("accepted")).distinct()
+    labelled = stored(ruled.select("s", "accepted", (F.pmod(F.xxhash64(F.lit("fold"), "host", "path"), F.lit(5)) == 0).alias("held")))
     model = train(labelled.filter(~F.col("held")), order, slots)
     held = labelled.filter("held")
-    cut = calibrate(scores(held, model, "s").join(held, "s").select("accepted", "score"))
+    cut = calibrate(scores(held.select("s").distinct(), model, "s").join(held, "s").select("accepted", "score"))
     scored = scores(spelling, model, "s")
     out = rows.join(scored, "s", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     method = F.when(F.col("score") >= F.lit(cut), "allow").otherwise("block")

@@ -9,9 +9,9 @@ compressed together with zstd into one blob.
 
 File format (Parquet, one row a segment; part files are the shards, in doc_id order):
 partition int, segment int, first_start long (ids before it in its partition), n_tokens long,
-blob binary = zstd of: header <i8 [n_tokens, n_planes, n_docs, zeros of each plane ...], planes
-(packed bits, each padded to 8 bytes), then for each piece of a document <i8 [doc_id, is_null,
-n_tokens, is_last].
+cut boolean (it holds a part of one longer document), blob binary = zstd of: header <i8 [n_tokens, n_planes, n_docs, zeros of each plane ...], planes
+(packed bits, each padded to 8 bytes), then for each document or part <i8 [doc_id, is_null, n_tokens,
+is_last].
 
 Texts are dealt by range of doc_id before they are encoded, so ids are never shuffled. Encoding
 remembers the ids of each blank-separated word; no rule of the tokenizer reaches over white
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import document_texts, shared_folder
 
 BLOCK = 512
-FILE_SCHEMA = "partition int, segment int, first_start long, n_tokens long, blob binary"
+FILE_SCHEMA = "partition int, segment int, first_start long, n_tokens long, cut boolean, blob binary"
 
 
 # ------------------------------------------------------------------ wavelet matrix
@@ -162,16 +162,65 @@ def drops_white_space(spec: str) -> bool:
     return bool(blanks) and first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and "[^\\s" in pattern and not re.search(r"\\s| |\.", pieces)
 
 
+def plain_byte_level(spec: str) -> bool:
+    """Whether letters are composed, lower-cased and handed to the model as bytes, one piece a run of
+    letters or of marks."""
+    rules = json.loads(spec)
+    normalizers = [x["type"] for x in (rules.get("normalizer") or {}).get("normalizers", [])]
+    pieces = (rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    return normalizers == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in pieces] == ["Split", "ByteLevel"] and not pieces[1]["add_prefix_space"] and not pieces[1]["use_regex"] and "[\\p{L}]+|" in pieces[0]["pattern"]["Regex"] and pieces[0]["pattern"]["Regex"].endswith("|[^\\s\\p{L}\\p{N}]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+#: A word of Latin letters that lower-case one by one, and marks after it.
+_LATIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|*%$&#]*)")
+
+
 class WordEncoder:
-    """Ids of texts by a `tokenizers` file; remembers those of `most` words, then forgets all."""
+    """Ids of texts by a `tokenizers` file. Remembers those of `most` words, and of twice as many runs of
+    letters, then forgets them. A plain word goes straight to the tokenizer's model; any other goes
+    through all its rules."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
-        self.by_word = drops_white_space(self.tokenizer.to_str())
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.known: dict[bytes, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+        spec = self.tokenizer.to_str()
+        self.by_word = drops_white_space(spec)
+        self.plain = self.by_word and plain_byte_level(spec)
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 2**16 else np.uint32
+        self.letters, self.model = _byte_letters(), self.tokenizer.model
+
+    def _run(self, run: str) -> bytes:
+        found = self.runs.get(run)
+        if found is None:
+            if len(self.runs) >= 2 * self.most:
+                self.runs = {}
+            piece = run if run.isascii() else run.encode().decode("latin-1").translate(self.letters)
+            found = self.runs[run] = np.array([t.id for t in self.model.tokenize(piece)], self.dtype).tobytes()
+        return found
+
+    def _learn(self, new: list[bytes]) -> None:
+        hard = []
+        for word in new:
+            m = _LATIN.fullmatch(word.decode("utf-8")) if self.plain else None
+            if m is None:
+                hard.append(word)
+            else:
+                self.known[word] = self._run(m[1].lower()) + (self._run(m[2]) if m[2] else b"")
+        for at in range(0, len(hard), 1000):
+            part = hard[at : at + 1000]
+            for word, e in zip(part, self.tokenizer.encode_batch([w.decode("utf-8") for w in part], add_special_tokens=False), strict=True):
+                self.known[word] = np.array(e.ids, self.dtype).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids, packed."""
@@ -181,11 +230,7 @@ class WordEncoder:
         if len(self.known) > self.most:
             self.known = {}
         known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        for at in range(0, len(new), 1000):
-            part = new[at : at + 1000]
-            for word, e in zip(part, self.tokenizer.encode_batch([w.decode("utf-8") for w in part], add_special_tokens=False), strict=True):
-                known[word] = np.array(e.ids, self.dtype).tobytes()
+        self._learn(list({w for words in split for w in words if w not in known}))
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
@@ -209,10 +254,10 @@ def _segments(path: str, end_id: int, n_planes: int, segment_tokens: int, batch_
         pieces: list[tuple[int, int, int, int]] = []
         held = 0
 
-        def flush() -> pa.RecordBatch:
+        def flush(cut: bool = False) -> pa.RecordBatch:
             nonlocal ids, pieces, held, segment, start
             blob = pack_segment(np.concatenate(ids), pieces, n_planes)
-            out = pa.RecordBatch.from_arrays([pa.array([partition], pa.int32()), pa.array([segment], pa.int32()), pa.array([start], pa.int64()), pa.array([held], pa.int64()), pa.array([blob], pa.binary())], ["partition", "segment", "first_start", "n_tokens", "blob"])
+            out = pa.RecordBatch.from_arrays([pa.array([partition], pa.int32()), pa.array([segment], pa.int32()), pa.array([start], pa.int64()), pa.array([held], pa.int64()), pa.array([cut]), pa.array([blob], pa.binary())], ["partition", "segment", "first_start", "n_tokens", "cut", "blob"])
             ids, pieces, start, held, segment = [], [], start + held, 0, segment + 1
             return out
 
@@ -226,15 +271,17 @@ def _segments(path: str, end_id: int, n_planes: int, segment_tokens: int, batch_
                     part.append(texts[at + len(part)].as_py() or "")
                     chars += len(part[-1])
                 for doc_id, packed in zip(doc_ids[at : at + len(part)], code.encode(part), strict=True):
-                    left = np.concatenate([np.frombuffer(packed, code.dtype), end])
-                    while len(left):
-                        take = left[: segment_tokens - held]
-                        left = left[len(take) :]
+                    own = np.concatenate([np.frombuffer(packed, code.dtype), end])
+                    if held and held + len(own) > segment_tokens:
+                        yield flush()
+                    long = len(own) > segment_tokens
+                    while len(own):
+                        take, own = own[:segment_tokens], own[segment_tokens:]
                         ids.append(take)
-                        pieces.append((doc_id or 0, int(doc_id is None), len(take), int(not len(left))))
+                        pieces.append((doc_id or 0, int(doc_id is None), len(take), int(not len(own))))
                         held += len(take)
-                        if held == segment_tokens:
-                            yield flush()
+                        if long:
+                            yield flush(cut=True)
                 at += len(part)
         if held:
             yield flush()
@@ -253,23 +300,23 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     ordered.mapInArrow(_segments(tokenizer_path, end_id, n_planes, segment_tokens), FILE_SCHEMA).write.option("compression", "none").parquet(folder)
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for partition, segment, start, blob in zip(*(batch.column(c).to_pylist() for c in ("partition", "segment", "first_start", "blob")), strict=True):
+        for partition, start, blob in zip(*(batch.column(c).to_pylist() for c in ("partition", "first_start", "blob")), strict=True):
             matrix, pieces = unpack_segment(blob)
-            ids = matrix.decode().astype("<u4")
+            data = matrix.decode().astype("<u4").tobytes()
             ends = np.cumsum(pieces[:, 2])
             begins = ends - pieces[:, 2]
-            # a piece that goes on in the next segment keeps its bytes, as a crc needs them in order
-            first_open = [i == 0 for i in range(len(pieces))]
-            whole = [bool(p[3]) and not (f and segment > 0) for p, f in zip(pieces, first_open, strict=True)]
-            crc = [zlib.crc32(ids[a:z].tobytes()) if w else None for a, z, w in zip(begins, ends, whole, strict=True)]
-            part = [None if w else ids[a:z].tobytes() for a, z, w in zip(begins, ends, whole, strict=True)]
-            n = len(pieces)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([partition] * n, pa.int32()), pa.array([segment] * n, pa.int32()), pa.array(start + begins, pa.int64()), pa.array([None if p[1] else int(p[0]) for p in pieces], pa.int64()), pa.array(pieces[:, 2]), pa.array([bool(p[3]) for p in pieces]), pa.array(crc, pa.int64()), pa.array(part, pa.binary())],
-                ["partition", "segment", "at", "doc_id", "n", "is_last", "crc", "part"],
-            )
+            crc = [zlib.crc32(data[4 * a : 4 * z]) for a, z in zip(begins.tolist(), ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([partition] * len(pieces), pa.int32()), pa.array([None if p[1] else int(p[0]) for p in pieces], pa.int64()), pa.array(start + begins, pa.int64()), pa.array(pieces[:, 2]), pa.array(crc, pa.int64())], ["partition", "doc_id", "at", "n_tokens", "ids_crc32"])
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for partition, start, blob in zip(*(batch.column(c).to_pylist() for c in ("partition", "first_start", "blob")), strict=True):
+            matrix, pieces = unpack_segment(blob)
+            doc_id, is_null, n, is_last = pieces[0].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([partition], pa.int32()), pa.array([None if is_null else doc_id], pa.int64()), pa.array([start], pa.int64()), pa.array([n], pa.int64()), pa.array([bool(is_last)]), pa.array([matrix.decode().astype("<u4").tobytes()], pa.binary())], ["partition", "doc_id", "at", "n", "is_last", "part"])
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -280,14 +327,14 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     # one row a partition of the files: their number is the shard count, not the data
     totals = files.groupBy("partition").agg(F.sum("n_tokens").alias("total"))
     offsets = totals.select("partition", (F.sum("total").over(Window.orderBy("partition")) - F.col("total")).alias("offset"))
-    pieces = files.mapInArrow(_pieces, "partition int, segment int, at long, doc_id long, n long, is_last boolean, crc long, part binary")
-    whole = pieces.filter("crc is not null").select("partition", "doc_id", "at", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
-    # a document over several segments: its pieces between the ends of two documents
-    cut = pieces.filter("crc is null")
+    whole = files.filter("not cut").mapInArrow(_documents, "partition int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    # a document longer than a segment: its parts, numbered by the ends of those before
+    parts = files.filter("cut").mapInArrow(_parts, "partition int, doc_id long, at long, n long, is_last boolean, part binary")
     w = Window.partitionBy("partition").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    grouped = cut.withColumn("k", F.coalesce(F.sum(F.col("is_last").cast("int")).over(w), F.lit(0))).groupBy("partition", "k")
-    joined = grouped.agg(F.min("doc_id").alias("doc_id"), F.min("at").alias("at"), F.sum("n").alias("n_tokens"), F.crc32(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.hex("part").alias("h")))), lambda x: x["h"]), ""))).alias("ids_crc32"))
-    rows = whole.unionByName(joined.select("partition", "doc_id", "at", "n_tokens", "ids_crc32"))
+    parts = parts.withColumn("k", F.coalesce(F.sum(F.col("is_last").cast("int")).over(w), F.lit(0)))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("at", F.hex("part").alias("h")))), lambda x: x["h"])
+    joined = parts.groupBy("partition", "k").agg(F.min("doc_id").alias("doc_id"), F.min("at").alias("at"), F.sum("n").alias("n_tokens"), F.crc32(F.unhex(F.array_join(in_order, ""))).alias("ids_crc32"))
+    rows = whole.unionByName(joined.drop("k"))
     return rows.join(F.broadcast(offsets), "partition").select("doc_id", (F.col("at") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 
 
