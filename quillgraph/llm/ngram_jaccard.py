@@ -12,10 +12,10 @@ transpose is computed only where it can matter:
    alpha + 1 - ceil(num*max(a,b)/den) columns of their prefixes. Pairs that can't reach this bound,
    even if all their longer columns were shared, are discarded.
 3. Longer columns (a large group of near copies, or a passage that many share) are not multiplied out.
-   Each is first matched against one pivot, the node with the largest share of columns of that kind;
-   members whose links join them to one component need no further comparison among themselves. What is
+   Each is first matched against a few pivots, the nodes with the largest shares of such columns; members whose links join them to one component need no further comparison among themselves. What is
    left, members outside a column's largest component against the others, is multiplied out, but only
-   where both have enough long columns to reach the bound by these alone.
+   where both share enough long columns to reach the bound by these alone and where parity sketches of
+   their whole sets don't prove that they differ in too many n-grams.
 4. Pairs that remain are verified on whole sets; links give connected components. Of the pairs of step 2,
    each node's best is verified first, then those that still lie between components.
 
@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import document_texts, shingle_hashes, stored, word_hashes
@@ -62,15 +62,27 @@ def node_of(grams: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(grams.tobytes()) - 2**63
 
 
+#: 64-bit words of a parity sketch.
+PARITY = 16
+
+
+def parity_of(grams: np.ndarray) -> list[int]:
+    """For each of 1024 cells, whether an odd number of the set's hashes fall into it. Two sets differ in
+    at least as many n-grams as their sketches differ in bits."""
+    odd = np.bincount((grams >> np.uint64(7) & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _node_rows(size: int, num: int, den: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, prefixes = [], [], []
+            nodes, sizes, prefixes, parities = [], [], [], []
             for grams in ngram_sets(batch, size):
                 nodes.append(node_of(grams))
                 sizes.append(len(grams))
+                parities.append(parity_of(grams))
                 prefixes.append(grams[: len(grams) - kept_size(len(grams), num, den) + 1].tobytes() if len(grams) else b"")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.binary())], ["doc_id", "node", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(parities, pa.list_(pa.int64()))], ["doc_id", "node", "n", "prefix", "parity"])
 
     return rows
 
@@ -101,6 +113,30 @@ class Frequent:
         return out
 
 
+def _prefix(grams: np.ndarray, late: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The first columns of a node: its n-grams by hash, those that are marked `late` after the others."""
+    p = len(grams) - kept_size(len(grams), num, den) + 1
+    order = grams[~late][:p]
+    return order if len(order) == p else np.concatenate([order, grams[late][: p - len(order)]])
+
+
+def _moved_counts(size: int, num: int, den: int, carried):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Columns that come into prefixes because frequent ones have moved back."""
+        for batch in batches:
+            found = {}
+            for grams in ngram_sets(batch, size):
+                late = carried.value.has(grams)
+                if len(grams) and late[: len(grams) - kept_size(len(grams), num, den) + 1].any():
+                    order = _prefix(grams, late, num, den)
+                    found[node_of(grams)] = order[~carried.value.has(order)]
+            if found:
+                columns, n = np.unique(np.concatenate(list(found.values())), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(columns.view(np.int64)), pa.array(n.astype(np.int64))], ["col", "df"])
+
+    return rows
+
+
 def _incidence_rows(size: int, num: int, den: int, carried):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,14 +146,10 @@ def _incidence_rows(size: int, num: int, den: int, carried):
                 if not len(grams) or node in seen:
                     continue
                 seen.add(node)
-                p = len(grams) - kept_size(len(grams), num, den) + 1
-                late = carried.value.has(grams)
-                order = grams[~late][:p]
-                if len(order) < p:
-                    order = np.concatenate([order, grams[late][: p - len(order)]])
+                order = _prefix(grams, carried.value.has(grams), num, den)
                 columns.append(order)
-                nodes.append(np.full(p, node, np.int64))
-                sizes.append(np.full(p, len(grams), np.int32))
+                nodes.append(np.full(len(order), node, np.int64))
+                sizes.append(np.full(len(order), len(grams), np.int32))
             if columns:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(columns).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes))], ["col", "node", "n"])
 
@@ -152,36 +184,52 @@ def _sizes_fit(a: Column, b: Column, num: int, den: int) -> Column:
     return den * F.least(a, b) >= num * F.greatest(a, b)
 
 
+def _alpha(a: Column, b: Column, num: int, den: int) -> Column:
+    """n-grams that linked nodes of sizes a and b share at least."""
+    return F.floor((num * (a + b) + (num + den - 1)) / (num + den))
+
+
 def _bound(a: Column, b: Column, num: int, den: int) -> Column:
     """Prefix columns that linked nodes of sizes a and b share at least."""
-    alpha = F.floor((num * (a + b) + (num + den - 1)) / (num + den))
-    return alpha + 1 - F.floor((num * F.greatest(a, b) + (den - 1)) / den)
+    return _alpha(a, b, num, den) + 1 - F.floor((num * F.greatest(a, b) + (den - 1)) / den)
 
 
 class JaccardJoin:
     """The join over one table; see the module's text."""
 
-    def __init__(self, docs: DataFrame, size: int, num: int, den: int, block: int = 64, most_frequent: int = 2_000_000, broadcast_rows: int = 500_000):
+    def __init__(self, docs: DataFrame, size: int, num: int, den: int, block: int = 64, most_frequent: int = 2_000_000, broadcast_rows: int = 500_000, rounds: int = 2, pivots: int = 8):
         if not 0 < num <= den or den >= 2**20:
             raise ValueError("the threshold must be num / den, above 0 and at most 1")
         self.spark, self.size, self.num, self.den = docs.sparkSession, size, num, den
-        self.block, self.most_frequent, self.broadcast_rows = block, most_frequent, broadcast_rows
+        self.block, self.most_frequent, self.broadcast_rows, self.rounds, self.pivots = block, most_frequent, broadcast_rows, rounds, pivots
         self.texts = document_texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-        self.rows = stored(self.texts.mapInArrow(_node_rows(size, num, den), "doc_id long, node long, n long, prefix binary"))
+        self.rows = stored(self.texts.mapInArrow(_node_rows(size, num, den), "doc_id long, node long, n long, prefix binary, parity array<long>"))
 
-    def _frequent(self) -> np.ndarray:
-        """The columns to be ordered last: those of more than `block` / 2 prefixes, or of more if they
-        would be over `most_frequent`, the bound of what is sent to all tasks."""
-        counted = self.rows.select("node", "prefix").mapInArrow(_prefix_counts, "col long, df long").groupBy("col").agg(F.sum("df").alias("df"))
-        counted = stored(counted.filter(F.col("df") > self.block // 2))
+    def _over(self, counts: DataFrame, room: int) -> np.ndarray:
+        """The columns of more than `block` / 2 prefixes, or of more if they would be over `room`."""
         least = self.block // 2
-        while (found := counted.filter(F.col("df") > least)).count() > self.most_frequent:
+        counted = stored(counts.groupBy("col").agg(F.sum("df").alias("df")).filter(F.col("df") > least))
+        while (found := counted.filter(F.col("df") > least)).count() > room:
             least *= 2
         return found.select("col").toPandas()["col"].to_numpy(np.int64).view(np.uint64)
 
+    def _frequent(self):
+        """The columns to be ordered last, on all tasks; at most `most_frequent`. When they move back, others
+        come into prefixes, of which some are frequent too: so again, a few times."""
+        found = self._over(self.rows.select("node", "prefix").mapInArrow(_prefix_counts, "col long, df long"), self.most_frequent)
+        carried = self.spark.sparkContext.broadcast(Frequent(found))
+        for _ in range(self.rounds if len(found) else 0):
+            counts = self.texts.mapInArrow(_moved_counts(self.size, self.num, self.den, carried), "col long, df long")
+            more = self._over(counts, self.most_frequent - len(found))
+            if not len(more):
+                break
+            found = np.concatenate([found, more])
+            carried = self.spark.sparkContext.broadcast(Frequent(found))
+        return carried
+
     def _incidence(self) -> DataFrame:
         """(col, long, node, n, h): prefix columns of two nodes or more; h: the node's long columns."""
-        carried = self.spark.sparkContext.broadcast(Frequent(self._frequent()))
+        carried = self._frequent()
         found = self.texts.mapInArrow(_incidence_rows(self.size, self.num, self.den, carried), "col long, node long, n int").distinct()
         found = stored(found.select("col", "node", "n"))
         counted = found.groupBy("col").agg(F.count("*").alias("df")).filter("df >= 2")
@@ -191,14 +239,21 @@ class JaccardJoin:
 
     def _pairs(self, left: DataFrame, right: DataFrame, condition: Column, long: bool = False) -> DataFrame:
         """Overlap counts of pairs that meet in a column: (a, b, c), a < b, under the bound. `long`: the
-        columns are long ones and the pair meets in no others, so it meets in min(h) at most."""
+        pair meets in long columns only. It must share `bound` of each side's h, so the first that it
+        shares is, in column order, among the first h - bound + 1 of both."""
         x, y = left.alias("x"), right.alias("y")
         bound, least_h = _bound(F.col("x.n"), F.col("y.n"), self.num, self.den), F.least("x.h", "y.h")
         on = (F.col("x.col") == F.col("y.col")) & _sizes_fit(F.col("x.n"), F.col("y.n"), self.num, self.den) & condition
-        met = x.join(y, on & (least_h >= bound) if long else on)
+        if long:
+            early = (F.col("x.r") <= F.col("x.h") - bound + 1) & (F.col("y.r") <= F.col("y.h") - bound + 1)
+            apart = sum((F.bit_count(F.get("x.parity", F.lit(i)).bitwiseXOR(F.get("y.parity", F.lit(i)))) for i in range(PARITY)), F.lit(0))
+            most = F.col("x.n") + F.col("y.n") - 2 * _alpha(F.col("x.n"), F.col("y.n"), self.num, self.den)
+            shared = F.array_intersect("x.cols", "y.cols")
+            met = x.join(y, on & early & (apart <= most) & (F.size(shared) >= bound) & (F.array_min(shared) == F.col("x.col")))
+            return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.lit(1).alias("c")).distinct()
+        met = x.join(y, on)
         counted = met.groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), bound.alias("bound"), least_h.alias("h")).agg(F.count("*").alias("c"))
-        total = F.col("c") if long else F.col("c") + F.col("h")
-        return counted.filter(total >= F.col("bound")).select("a", "b", "c")
+        return counted.filter(F.col("c") + F.col("h") >= F.col("bound")).select("a", "b", "c")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link, by their whole sets."""
@@ -219,7 +274,7 @@ class JaccardJoin:
         light, long = rows.filter(~F.col("long")), rows.filter("long")
         pairs = stored(self._pairs(light, light, F.col("x.node") < F.col("y.node")))
         share = F.col("h") / (F.col("n") - F.floor((self.num * F.col("n") + (self.den - 1)) / self.den) + 1)
-        pivots = long.groupBy("col").agg(F.max(F.struct(share.alias("share"), -F.col("n"), "node", "n", "h")).alias("p")).select("col", F.col("p.h").alias("h"), F.col("p.node").alias("node"), F.col("p.n").alias("n"))
+        pivots = long.groupBy("col", F.pmod("node", F.lit(self.pivots)).alias("deal")).agg(F.max(F.struct(share.alias("share"), -F.col("n"), "node", "n", "h")).alias("p")).select("col", F.col("p.h").alias("h"), F.col("p.node").alias("node"), F.col("p.n").alias("n"))
         stars = self._pairs(long, pivots, F.col("x.node") != F.col("y.node"))
 
         best = pairs.select("a", "b", "c").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "c"))
@@ -234,6 +289,10 @@ class JaccardJoin:
             roots = connected(links)
 
         placed = long.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        own = Window.partitionBy("node").orderBy("col")  # at most a node's prefix
+        placed = placed.withColumns({"r": F.row_number().over(own), "cols": F.collect_list("col").over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+        sketches = self.rows.groupBy("node").agg(F.first("parity").alias("parity"))
+        placed = placed.join(sketches, "node")
         largest = placed.groupBy("col", "root").agg(F.count("*").alias("m")).groupBy("col").agg(F.max_by("root", F.struct("m", "root")).alias("main"))
         placed = stored(placed.join(largest, "col"))
         stray = placed.filter("root <> main")
