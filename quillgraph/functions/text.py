@@ -83,12 +83,8 @@ def checksum(content: Column) -> Column:
 def first_bytes(text: Column, n: int) -> Column:
     """At most n bytes of UTF-8; a character that the cut would split is left out."""
     data = F.encode(text, "UTF-8")
-    cut = F.decode(F.substring(data, 1, n), "UTF-8")
-    # a split character decodes to replacement characters, which a whole text's prefix doesn't have
-    whole = F.when(F.substring(text, F.lit(1), F.length(cut)) == cut, cut)
-    shorter = [F.decode(F.substring(data, 1, n - i), "UTF-8") for i in (1, 2, 3)]
-    picks = [F.when(F.substring(text, F.lit(1), F.length(s)) == s, s) for s in shorter]
-    return F.when(F.octet_length(text) <= n, text).otherwise(F.coalesce(whole, *picks))
+    cuts = [F.substring(data, 1, n - i).cast("string") for i in range(4)]
+    return F.when(F.octet_length(text) <= n, text).otherwise(F.coalesce(*(F.when(F.is_valid_utf8(c), c) for c in cuts)))
 
 
 def path_group(path: Column) -> Column:

@@ -302,6 +302,18 @@ def _holds(node: Node, tf: dict[int, Column], numbers: dict[int, int]) -> Column
     return out
 
 
+def _counted(node: Node, tf: dict[int, Column], numbers: dict[int, int], inside: Column, out: dict[int, Column]) -> None:
+    """For each phrase whether its places count in a row that matches: every part around it must hold, and
+    what NOT takes away never counts."""
+    if node.op == "leaf":
+        for i in range(len(units(node))):
+            out[numbers[id(node)] + i] = inside
+        return
+    for n, part in enumerate(node.parts):
+        holds = F.lit(False) if node.op == "not" and n else inside & _holds(part, tf, numbers) if node.op == "or" else inside
+        _counted(part, tf, numbers, holds, out)
+
+
 def _number(node: Node, numbers: dict[int, int], at: int = 0) -> int:
     if node.op == "leaf":
         numbers[id(node)] = at
@@ -323,20 +335,28 @@ def match(rows: DataFrame, text: str, columns: dict[str, str], keep: Column | No
     names = {c: f"__tokens_{c}" for c in columns}
     parts = rows.withColumns({names[c]: search_tokens(F.col(source)) for c, source in columns.items()})
     size = sum((F.size(t) for t in names.values()), F.lit(0))
-    parts = parts.withColumns({"__size": size, **{f"__tf{k}": _frequency(leaf, i, {c: F.col(t) for c, t in names.items()}) for k, (leaf, i) in enumerate(found)}}).drop(*names.values())
+    tokens = {c: F.col(t) for c, t in names.items()}
+    computed = {"__size": size}
+    for k, (leaf, i) in enumerate(found):
+        computed[f"__tf{k}"] = _frequency(leaf, i, tokens)
+        # a phrase's rarity is its own, near others or not
+        computed[f"__df{k}"] = _frequency(leaf.phrases[i], 0, tokens) if isinstance(leaf, Near) else computed[f"__tf{k}"]
+    parts = parts.withColumns(computed).drop(*names.values())
     tf = {k: F.col(f"__tf{k}") for k in range(len(found))}
-    numbers_row = parts.agg(F.count("*").alias("n"), F.avg("__size").alias("avg"), *(F.count(F.when(c > 0, 1)).alias(f"df{k}") for k, c in tf.items())).first()
+    numbers_row = parts.agg(F.count("*").alias("n"), F.avg("__size").alias("avg"), *(F.count(F.when(F.col(f"__df{k}") > 0, 1)).alias(f"df{k}") for k in tf)).first()
+    counted: dict[int, Column] = {}
+    _counted(node, tf, numbers, F.lit(True), counted)
     n, average = numbers_row["n"], numbers_row["avg"] or 1.0
     score = F.lit(0.0)
-    for k, c in tf.items():
-        df = numbers_row[f"df{k}"]
+    for k in tf:
+        c, df = F.when(counted[k], tf[k]).otherwise(0), numbers_row[f"df{k}"]
         idf = F.log(F.lit((n - df + 0.5) / (df + 0.5)))
         idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
         score = score + idf * c * (K1 + 1) / (c + K1 * (1 - B + B * F.col("__size") / F.lit(float(average))))
     hits = parts.filter(_holds(node, tf, numbers))
     if keep is not None:
         hits = hits.filter(keep)
-    return hits.withColumn("bm25", score).drop("__size", *(f"__tf{k}" for k in tf))
+    return hits.withColumn("bm25", score).drop(*computed)
 
 
 # ------------------------------------------------------------------ index

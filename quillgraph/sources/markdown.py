@@ -116,7 +116,7 @@ def read_markdown(spark: SparkSession, root: str, exclude: list[str] = (), names
 
 def parse_notes(raw: DataFrame, namespaces: dict[str, list[str]] | None = None, default_namespace: str = "", now: int = 0, resolver: Callable[[Column], Column] | None = None) -> DataFrame:
     """(path, raw bytes) to notes with full_body, in column expressions alone."""
-    rows = raw.select("path", "raw", F.decode("raw", "UTF-8").alias("content"))
+    rows = raw.select("path", "raw", F.make_valid_utf8(F.col("raw").cast("string")).alias("content"))
     rows = rows.withColumn("full_body", md.strip_markdown(md.body_of(F.col("content"))))
     namespace = resolver(F.col("path")) if resolver else namespace_of(F.col("path"), namespaces or {}, default_namespace)
     return rows.select(
