@@ -13,7 +13,7 @@ from quillgraph.functions.text import title_from_filename, trimmed
 _BLANK = "[\\t\\n\\f\\r ]"
 
 #: What is taken out of Markdown, in order: pattern and what stands in its place.
-_STRIP: list[tuple[str, str]] = [
+STRIP: list[tuple[str, str]] = [
     (r"(?d)<!--.*?-->", ""),
     (rf"(?dms)^```.*?^```{_BLANK}*$", ""),
     (rf"(?dms)^~~~.*?^~~~{_BLANK}*$", ""),
@@ -32,7 +32,7 @@ _STRIP: list[tuple[str, str]] = [
 
 
 def strip_markdown(text: Column) -> Column:
-    for pattern, by in _STRIP:
+    for pattern, by in STRIP:
         text = F.regexp_replace(text, pattern, by)
     return trimmed(text)
 

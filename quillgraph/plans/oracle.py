@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from quillgraph.functions.markdown import STRIP
+
 NOTES = """
 base AS (
   SELECT d.doc_id, d.lang || '/' || d.source || '/doc-' || d.doc_id || '.md' AS path, d.lang AS namespace,
@@ -136,7 +138,18 @@ sc AS (SELECT path, term, tf * (ln(n / df) + 1) AS tfidf FROM tf JOIN df USING (
 terms AS (SELECT term, max(tfidf) AS score FROM sc GROUP BY term),
 """
 
+
+
+def _stripped(text: str) -> str:
+    """The same replacements, run by DuckDB's own expressions."""
+    for pattern, by in STRIP:
+        form = pattern.replace("(?dms)", "(?ms)").replace("(?dm)", "(?m)").replace("(?d)", "").replace("'", "''")
+        text = f"regexp_replace({text}, '{form}', '{by.replace('$1', chr(92) + '1')}', 'g')"
+    return f"regexp_replace({text}, '^\\s+|\\s+$', '', 'g')"
+
+
 SQL: dict[str, str] = {
+    "strip_markdown": f"SELECT doc_id, md5({_stripped('text')}) AS plain_md5 FROM documents",
     "notes_scan": f"WITH {NOTES} SELECT path, namespace, title, array_to_string(tags, ',') AS tags, checksum, last_indexed, consolidated_at FROM base",
     "namespace_list": "SELECT DISTINCT lang AS namespace FROM documents",
     "stats_count": "SELECT count(*) AS files FROM documents",
