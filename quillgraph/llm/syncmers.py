@@ -94,29 +94,35 @@ def _bucket(bounds: Column, value: Column, n: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve)["lo"]
 
 
-def with_next(rows: DataFrame, columns: list[str], bucket_rows: int = 2_000, most_buckets: int = 4_096) -> DataFrame:
+def _numbers(values: list[float | int | None], kind: str) -> Column:
+    """A constant array, written out in one expression."""
+    return F.expr(f"array({','.join('null' if v is None else str(v) for v in values)})").cast(f"array<{kind}>")
+
+
+def with_next(rows: DataFrame, columns: list[str], bucket_rows: int = 250, most_buckets: int = 16_384) -> DataFrame:
     """`rows` (with doc_id and text) and next_<c> of each column: the next row in descending doc_id, and the
-    first after the last. Rows are dealt by range of doc_id; only each range's first row travels
-    to its neighbour."""
-    count, low, high = rows.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
+    first after the last. Rows are dealt by range of doc_id, in one shuffle; each range's first row is dealt a
+    second time, to the end of the range before it. What the driver holds is two numbers a range."""
+    count = rows.count()
     n = max(1, min(most_buckets, math.ceil(count / bucket_rows)))
-    if n > 1 and low != high:
-        points = F.array(*(F.lit(i / n) for i in range(1, n)))
-        bounds = rows.agg(F.percentile_approx("doc_id", points, F.lit(4 * most_buckets)).alias("bounds")).first()["bounds"]
-        bucket = F.coalesce(_bucket(F.lit(bounds).cast("array<long>"), F.col("doc_id"), len(bounds)), F.lit(0))
-    else:
-        bucket = F.lit(0)
-    dealt = rows.withColumn("bucket", bucket).withColumn("tie", F.xxhash64("text"))
-    w = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), "tie")
-    own = F.struct(*(F.col(c) for c in columns))
-    inside = dealt.withColumn("own", own).withColumn("after", F.lead("own").over(w)).withColumn("rank", F.row_number().over(w))
-    # the first row of each bucket, by the bucket that comes before it: at most `most_buckets` rows
-    heads = dealt.groupBy("bucket").agg(F.min_by(own, F.struct((-F.coalesce("doc_id", F.lit(-(2**62)))).alias("o"), F.col("tie"))).alias("head"))
-    over = Window.orderBy(F.col("bucket").desc())
-    follows = heads.select(F.coalesce(F.lag("bucket").over(over), F.last("bucket").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before"), "head")
-    joined = inside.join(F.broadcast(follows), F.col("bucket") == F.col("before"), "left")
-    pick = F.coalesce("after", "head")
-    return joined.select(*rows.columns, *(pick[c].alias(f"next_{c}") for c in columns))
+    bounds: list[int] = []
+    if n > 1:
+        points = _numbers([i / n for i in range(1, n)], "double")
+        bounds = sorted(set(rows.agg(F.percentile_approx("doc_id", points, F.lit(4 * n)).alias("bounds")).first()["bounds"] or []))
+    bucket = _bucket(_numbers(bounds, "long"), F.col("doc_id"), len(bounds)) if bounds else F.lit(0)
+    heads = dict(rows.select("doc_id", bucket.alias("bucket")).groupBy("bucket").agg(F.max("doc_id")).collect())
+    present = sorted(heads, reverse=True)
+    before = {b: present[k - 1] for k, b in enumerate(present)}
+    every = range(len(bounds) + 1)
+    head, end_of = _numbers([heads.get(b) for b in every], "long"), _numbers([before.get(b) for b in every], "int")
+    first = F.col("doc_id").eqNullSafe(F.get(head, F.col("bucket")))
+    own = F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("tail"))
+    again = F.struct(F.get(end_of, F.col("bucket")).alias("bucket"), F.lit(1).alias("tail"))
+    places = F.when(first, F.array(own, again)).otherwise(F.array(own))
+    dealt = rows.withColumn("bucket", bucket).withColumn("place", F.explode(places)).withColumn("tie", F.xxhash64("text"))
+    w = Window.partitionBy("place.bucket").orderBy("place.tail", F.col("doc_id").desc_nulls_last(), "tie")
+    follows = dealt.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in columns))
+    return follows.filter("place.tail = 0").select(*rows.columns, *(f"next_{c}" for c in columns))
 
 
 def edited_text(text: Column, n_chars: Column, next_text: Column) -> Column:

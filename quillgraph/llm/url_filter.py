@@ -3,7 +3,8 @@
 Accepted and rejected URLs each train a Markov model of characters with orders 0 to `order`;
 orders are blended by Witten-Bell smoothing, so a long context counts as much as it was seen.
 Counts are kept in arrays of `slots` cells an order (n-grams that share a cell share counts), so the
-model has a fixed size whatever the input (slots * (order + 1) cells) and travels as a literal.
+model has a fixed size whatever the input (slots * (order + 1) cells) and travels as the value of a
+scalar subquery; URLs are scored where they are read, without a shuffle.
 The score is the mean over a URL's characters of the difference of log-likelihoods; its threshold is
 calibrated on a fifth of the labelled URLs, which the models don't see, where the two classes' error
 rates are closest.
@@ -84,60 +85,83 @@ def spelled(host: Column, path: Column) -> Column:
     return F.translate(F.lower(F.concat(host, path)), "123456789", "000000000")
 
 
-def _positions(rows: DataFrame, order: int) -> DataFrame:
-    """A row for each character of `s`: padded text and position (from 1)."""
-    return rows.withColumn("padded", F.concat(F.lit("\x01" * order), "s")).withColumn("i", F.explode(F.sequence(F.lit(1), F.length("s"))))
+def _padded(s: Column, order: int) -> Column:
+    return F.concat(F.lit("\x01" * order), s)
 
 
-def _slot(order: int, slots: int, text: Column) -> Column:
-    """Of n-grams or contexts of one order, in the whole array (from 0)."""
-    return (F.lit(order * slots) + F.pmod(F.xxhash64(text), F.lit(slots))).cast("int")
+def _slot(k: int, slots: int, text: Column) -> Column:
+    """Of n-grams or contexts of order k, in the whole array (from 0)."""
+    return (F.lit(k * slots) + F.pmod(F.xxhash64(text), F.lit(slots))).cast("int")
 
 
-def _gram(order: int, k: int) -> Column:
-    return F.substring(F.col("padded"), F.col("i") + F.lit(order - k), F.lit(k + 1))
+def _gram(padded: Column, i: Column, order: int, k: int) -> Column:
+    """The character at position `i` (from 1) of the URL and the k before it."""
+    return F.substring(padded, i + F.lit(order - k), F.lit(k + 1))
 
 
-def _context(order: int, k: int) -> Column:
-    return F.substring(F.col("padded"), F.col("i") + F.lit(order - k), F.lit(k)) if k else F.lit("")
+def _context(padded: Column, i: Column, order: int, k: int) -> Column:
+    return F.substring(padded, i + F.lit(order - k), F.lit(k)) if k else F.lit("")
 
 
 def train(labelled: DataFrame, order: int = 3, slots: int = 1 << 13) -> UrlModel:
     """labelled: s (spelled URL), accepted (boolean)."""
     spark = labelled.sparkSession
-    at = _positions(labelled.filter("s != ''"), order)
-    each = F.array(*(F.struct(F.lit(k).alias("k"), _gram(order, k).alias("gram"), _context(order, k).alias("context")) for k in range(order + 1)))
-    grams = at.select("accepted", F.explode(each).alias("x")).groupBy("accepted", "x.k", "x.gram", "x.context").agg(F.count("*").alias("n"))
-    k_slot = lambda c: (F.col("k") * slots + F.pmod(F.xxhash64(c), F.lit(slots))).cast("int")
-    n = grams.groupBy("accepted", k_slot("gram").alias("cell")).agg(F.sum("n").alias("n"))
-    contexts = grams.groupBy("accepted", k_slot("context").alias("cell")).agg(F.sum("n").alias("contexts"), F.count("*").alias("kinds"))
-    both = n.select("accepted", "cell", F.col("n").cast("double"), F.lit(0.0).alias("contexts"), F.lit(0.0).alias("kinds")).unionByName(contexts.select("accepted", "cell", F.lit(0.0).alias("n"), F.col("contexts").cast("double"), F.col("kinds").cast("double")))
-    sums = [F.coalesce(F.sum(F.when(F.col("accepted") == side, F.col(c))), F.lit(0.0)).alias(f"{c}_{name}") for name, side in (("a", True), ("r", False)) for c in ("n", "contexts", "kinds")]
-    size = slots * (order + 1)
-    filled = both.unionByName(spark.range(size).select(F.lit(True).alias("accepted"), F.col("id").cast("int").alias("cell"), F.lit(0.0).alias("n"), F.lit(0.0).alias("contexts"), F.lit(0.0).alias("kinds")))
-    cells = filled.groupBy("cell").agg(*sums)
+    padded, i = F.col("padded"), F.col("i")
+    at = labelled.filter("s != ''").select("accepted", _padded(F.col("s"), order).alias("padded"), F.explode(F.sequence(F.lit(1), F.length("s"))).alias("i"))
+    each = F.array(*(F.struct(F.lit(k).alias("k"), _gram(padded, i, order, k).alias("gram"), _context(padded, i, order, k).alias("context")) for k in range(order + 1)))
+    grams = at.select("accepted", F.explode(each).alias("x")).groupBy("accepted", "x.k", "x.gram", "x.context").agg(F.count("*").cast("double").alias("n"))
+
+    def cell(number: Column, n: Column, contexts: Column, kinds: Column) -> Column:
+        return F.struct(number.alias("cell"), n.alias("n"), contexts.alias("contexts"), kinds.alias("kinds"))
+
+    def slot_of(text: str) -> Column:
+        return (F.col("k") * slots + F.pmod(F.xxhash64(text), F.lit(slots))).cast("int")
+
+    none, one = F.lit(0.0), F.lit(1.0)
+    both = grams.select("accepted", F.inline(F.array(cell(slot_of("gram"), F.col("n"), none, none), cell(slot_of("context"), none, F.col("n"), one))))
+    blank = spark.range(slots * (order + 1)).select(F.lit(True).alias("accepted"), F.inline(F.array(cell(F.col("id").cast("int"), none, none, none))))
+    sums = [F.coalesce(F.sum(F.when(F.col("accepted") == side, F.col(c))), none).alias(f"{c}_{name}") for name, side in (("a", True), ("r", False)) for c in ("n", "contexts", "kinds")]
+    cells = both.unionByName(blank).groupBy("cell").agg(*sums)
     row = cells.agg(F.sort_array(F.collect_list(F.struct("cell", *FIELDS))).alias("cells"))
     return UrlModel(stored(row), order, slots)
 
 
-def scores(rows: DataFrame, model: UrlModel, key: str) -> DataFrame:
-    """(key, score) of the rows (key, s) with a non-empty s; the key must be unique."""
-    at = _positions(rows.select(key, "s").filter("s != ''"), model.order)
+def with_score(rows: DataFrame, model: UrlModel) -> DataFrame:
+    """`rows` (with s) and score: the mean over the characters of `s` of the difference of
+    log-likelihoods; an empty `s` scores 0."""
+    s = F.col("s")
+    padded, length = _padded(s, model.order), F.length(s)
 
-    def chance(cells: Column, side: str) -> Column:
-        p = F.lit(1 / 64)
-        for k in range(model.order + 1):
-            gram = F.get(cells, _slot(k, model.slots, _gram(model.order, k)))
-            context = F.get(cells, _slot(k, model.slots, _context(model.order, k)))
-            n, total, kinds = F.get(gram, F.lit(FIELDS.index(f"n_{side}"))), F.get(context, F.lit(FIELDS.index(f"contexts_{side}"))), F.get(context, F.lit(FIELDS.index(f"kinds_{side}")))
-            p = F.when(total > 0, (F.least(n, total) + kinds * p) / (total + kinds)).otherwise(p)
-        return p
+    def level(cells: Column, text: Column, i: Column, k: int) -> Column:
+        gram, context = (F.get(cells, _slot(k, model.slots, part(text, i, model.order, k))) for part in (_gram, _context))
+        return F.struct(gram.alias("gram"), context.alias("context"))
 
-    # the model (of fixed size) stands in the plan once, as the argument of one lambda
-    text = model.cells.select(F.to_json(F.transform("cells", lambda c: F.array(*(c[f] for f in FIELDS))))).first()[0]
-    cells = F.array(F.from_json(F.lit(text), "array<array<double>>"))
-    d = F.get(F.transform(cells, lambda c: F.ln(chance(c, "a")) - F.ln(chance(c, "r"))), F.lit(0))
-    return at.select(key, d.alias("d")).groupBy(key).agg(F.avg("d").alias("score"))
+    def blend(p: Column, x: Column, side: str) -> Column:
+        # a context that was never seen has no kinds either: the order below stands
+        seen, kinds = x["context"][f"contexts_{side}"], x["context"][f"kinds_{side}"]
+        share = F.least(x["gram"][f"n_{side}"], seen)
+        weight = F.greatest(seen + kinds, F.lit(1.0))
+        return (share + F.when(seen > 0, kinds).otherwise(F.lit(1.0)) * p) / weight
+
+    def step(p: Column, x: Column) -> Column:
+        return F.struct(blend(p["a"], x, "a").alias("a"), blend(p["r"], x, "r").alias("r"))
+
+    flat = F.struct(F.lit(1 / 64).alias("a"), F.lit(1 / 64).alias("r"))
+
+    def total(arg: Column) -> Column:
+        cells, text = arg["cells"], arg["text"]
+
+        def add(sum_: Column, i: Column) -> Column:
+            levels = F.array(*(level(cells, text, i, k) for k in range(model.order + 1)))
+            return sum_ + F.aggregate(levels, flat, step, lambda p: F.ln(p["a"]) - F.ln(p["r"]))
+
+        return F.aggregate(F.sequence(F.lit(1), length), F.lit(0.0), add)
+
+    # the model (of fixed size) and the padded text stand in the plan once, as the argument of one lambda
+    # (Spark folds the column of cells into it, so no row ever carries them)
+    arg = F.struct(F.col("__cells").alias("cells"), padded.alias("text"))
+    found = F.when(length > 0, F.get(F.transform(F.array(arg), total), F.lit(0)) / length).otherwise(F.lit(0.0))
+    return rows.withColumn("__cells", model.cells.select("cells").scalar()).select(*rows.columns, found.alias("score"))
 
 
 def calibrate(scored: DataFrame) -> float:
@@ -165,14 +189,12 @@ def filter_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, order: int
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     name, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", name.alias("rule"), verdict.alias("ruled"), spelled(F.col("host"), F.col("path")).alias("s"))
-    # equal spellings (digits apart) score once; the models count every different URL
-    spelling = rows.filter("s != ''").select("s").distinct()
+    # the models count every different URL once
     ruled = rows.filter("ruled is not null and s != ''").select("host", "path", "s", (F.col("ruled") == "allow").alias("accepted")).distinct()
     labelled = stored(ruled.select("s", "accepted", (F.pmod(F.xxhash64(F.lit("fold"), "host", "path"), F.lit(5)) == 0).alias("held")))
     model = train(labelled.filter(~F.col("held")), order, slots)
     held = labelled.filter("held")
-    cut = calibrate(scores(held.select("s").distinct(), model, "s").join(held, "s").select("accepted", "score"))
-    scored = scores(spelling, model, "s")
-    out = rows.join(scored, "s", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    cut = calibrate(with_score(held, model).select("accepted", "score"))
+    out = with_score(rows, model)
     method = F.when(F.col("score") >= F.lit(cut), "allow").otherwise("block")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "score", F.lit(cut).alias("threshold"))
