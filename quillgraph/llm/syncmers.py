@@ -46,11 +46,12 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
 
         def pick(m: Column) -> Column:
             def edge(i: Column) -> Column:
-                least = F.array_min(F.slice(m, i + 1, F.lit(inner)))
-                return (F.get(m, i) == least) | (F.get(m, i + inner - 1) == least)
+                # by index: a slice would copy the whole array for every k-mer
+                hashes = [F.get(m, i + j) for j in range(inner)]
+                return F.least(hashes[0], hashes[-1]) <= F.least(*hashes)
 
             starts = F.filter(F.sequence(F.lit(0), n - k), edge)
-            return F.transform(starts, lambda i: F.struct(i.alias("at"), F.hash(F.slice(h, i + 1, F.lit(k))).alias("h")))
+            return F.transform(starts, lambda i: F.struct(i.alias("at"), F.hash(*(F.get(h, i + j) for j in range(k))).alias("h")))
 
         whole = F.array(F.struct(F.lit(0).alias("at"), F.hash(h).alias("h")))
         found = F.when(n >= k, let(runs(h), pick))

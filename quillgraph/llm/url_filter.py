@@ -3,8 +3,8 @@
 Accepted and rejected URLs each train a Markov model of characters with orders 0 to `order`;
 orders are blended by Witten-Bell smoothing, so a long context counts as much as it was seen.
 Counts are kept in arrays of `slots` cells an order (n-grams that share a cell share counts), so the
-model has a fixed size whatever the input (slots * (order + 1) cells) and travels as the value of a
-scalar subquery; URLs are scored where they are read, without a shuffle.
+model has a fixed size whatever the input (slots * (order + 1) cells) and travels as a literal;
+URLs are scored where they are read, without a shuffle.
 The score is the mean over a URL's characters of the difference of log-likelihoods; its threshold is
 calibrated on a fifth of the labelled URLs, which the models don't see, where the two classes' error
 rates are closest.
@@ -157,11 +157,13 @@ def with_score(rows: DataFrame, model: UrlModel) -> DataFrame:
 
         return F.aggregate(F.sequence(F.lit(1), length), F.lit(0.0), add)
 
-    # the model (of fixed size) and the padded text stand in the plan once, as the argument of one lambda
-    # (Spark folds the column of cells into it, so no row ever carries them)
-    arg = F.struct(F.col("__cells").alias("cells"), padded.alias("text"))
+    # the model (of fixed size) stands in the plan once, as a literal, with the padded text as the argument of one lambda
+    fields = F.transform("cells", lambda c: F.struct(*(c[f].alias(f) for f in FIELDS)))
+    cells = model.cells.select(F.to_json(fields)).first()[0]
+    literal = F.from_json(F.lit(cells), f"array<struct<{','.join(f'{f}: double' for f in FIELDS)}>>")
+    arg = F.struct(literal.alias("cells"), padded.alias("text"))
     found = F.when(length > 0, F.get(F.transform(F.array(arg), total), F.lit(0)) / length).otherwise(F.lit(0.0))
-    return rows.withColumn("__cells", model.cells.select("cells").scalar()).select(*rows.columns, found.alias("score"))
+    return rows.withColumn("score", found)
 
 
 def calibrate(scored: DataFrame) -> float:
