@@ -55,7 +55,7 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
 
         whole = F.array(F.struct(F.lit(0).alias("at"), F.hash(h).alias("h")))
         found = F.when(n >= k, let(runs(h), pick))
-        return F.when(F.size(found) > 0, found).otherwise(whole)
+        return let(found, lambda some: F.when(F.size(some) > 0, some).otherwise(whole))
 
     return let(F.transform(units(F.coalesce(text, F.lit(""))), lambda u: F.xxhash64(u)), chosen)
 
