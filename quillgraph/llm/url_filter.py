@@ -2,9 +2,9 @@
 
 Accepted and rejected URLs each train a Markov model of characters with orders 0 to `order`;
 orders are blended by Witten-Bell smoothing, so a long context counts as much as it was seen.
-Counts are kept in arrays of `slots` cells an order (n-grams that share a cell share counts), so the
-model has a fixed size whatever the input (slots * (order + 1) cells) and travels as a literal;
-URLs are scored where they are read, without a shuffle.
+Counts are kept by the n-gram itself, in tables that grow with the input. A character's ratio depends on
+its window alone (the character and the `order` before it), so ratios are worked out once a different window
+and joined to the windows of each different URL; scores are joined to the rows by URL.
 The score is the mean over a URL's characters of the difference of log-likelihoods; its threshold is
 calibrated on a fifth of the labelled URLs, which the models don't see, where the two classes' error
 rates are closest.
@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import ascii_lower, stored
@@ -66,104 +66,55 @@ def rule_columns(host: Column, path: Column, rules: tuple[UrlRule, ...] = RULES)
     return name, verdict
 
 
-#: What a cell counts, for accepted and rejected URLs: n-grams, contexts, kinds of characters after a context.
-FIELDS = [f"{c}_{name}" for name in "ar" for c in ("n", "contexts", "kinds")]
-
-
-@dataclass(frozen=True)
-class UrlModel:
-    """cells: one row with an array of (accepted: n, contexts, kinds; rejected: the same) by order and slot."""
-
-    cells: DataFrame
-    order: int
-    slots: int
-    threshold: float = float("-inf")
-
-
 def spelled(host: Column, path: Column) -> Column:
     """What the models read: host and path, lower case, every digit a 0."""
     return F.translate(F.lower(F.concat(host, path)), "123456789", "000000000")
 
 
-def _padded(s: Column, order: int) -> Column:
-    return F.concat(F.lit("\x01" * order), s)
-
-
-def _slot(k: int, slots: int, text: Column) -> Column:
-    """Of n-grams or contexts of order k, in the whole array (from 0)."""
-    return (F.lit(k * slots) + F.pmod(F.xxhash64(text), F.lit(slots))).cast("int")
-
-
-def _gram(padded: Column, i: Column, order: int, k: int) -> Column:
-    """The character at position `i` (from 1) of the URL and the k before it."""
-    return F.substring(padded, i + F.lit(order - k), F.lit(k + 1))
-
-
-def _context(padded: Column, i: Column, order: int, k: int) -> Column:
-    return F.substring(padded, i + F.lit(order - k), F.lit(k)) if k else F.lit("")
-
-
-def train(labelled: DataFrame, order: int = 3, slots: int = 1 << 13) -> UrlModel:
-    """labelled: s (spelled URL), accepted (boolean)."""
-    spark = labelled.sparkSession
-    padded, i = F.col("padded"), F.col("i")
-    at = labelled.filter("s != ''").select("accepted", _padded(F.col("s"), order).alias("padded"), F.explode(F.sequence(F.lit(1), F.length("s"))).alias("i"))
-    each = F.array(*(F.struct(F.lit(k).alias("k"), _gram(padded, i, order, k).alias("gram"), _context(padded, i, order, k).alias("context")) for k in range(order + 1)))
-    grams = at.select("accepted", F.explode(each).alias("x")).groupBy("accepted", "x.k", "x.gram", "x.context").agg(F.count("*").cast("double").alias("n"))
-
-    def cell(number: Column, n: Column, contexts: Column, kinds: Column) -> Column:
-        return F.struct(number.alias("cell"), n.alias("n"), contexts.alias("contexts"), kinds.alias("kinds"))
-
-    def slot_of(text: str) -> Column:
-        return (F.col("k") * slots + F.pmod(F.xxhash64(text), F.lit(slots))).cast("int")
-
-    none, one = F.lit(0.0), F.lit(1.0)
-    both = grams.select("accepted", F.inline(F.array(cell(slot_of("gram"), F.col("n"), none, none), cell(slot_of("context"), none, F.col("n"), one))))
-    blank = spark.range(slots * (order + 1)).select(F.lit(True).alias("accepted"), F.inline(F.array(cell(F.col("id").cast("int"), none, none, none))))
-    sums = [F.coalesce(F.sum(F.when(F.col("accepted") == side, F.col(c))), none).alias(f"{c}_{name}") for name, side in (("a", True), ("r", False)) for c in ("n", "contexts", "kinds")]
-    cells = both.unionByName(blank).groupBy("cell").agg(*sums)
-    row = cells.agg(F.sort_array(F.collect_list(F.struct("cell", *FIELDS))).alias("cells"))
-    return UrlModel(stored(row), order, slots)
-
-
-def with_score(rows: DataFrame, model: UrlModel) -> DataFrame:
-    """`rows` (with s) and score: the mean over the characters of `s` of the difference of
-    log-likelihoods; an empty `s` scores 0."""
-    s = F.col("s")
-    padded, length = _padded(s, model.order), F.length(s)
-
-    def level(cells: Column, text: Column, i: Column, k: int) -> Column:
-        gram, context = (F.get(cells, _slot(k, model.slots, part(text, i, model.order, k))) for part in (_gram, _context))
-        return F.struct(gram.alias("gram"), context.alias("context"))
-
-    def blend(p: Column, x: Column, side: str) -> Column:
-        # a context that was never seen has no kinds either: the order below stands
-        seen, kinds = x["context"][f"contexts_{side}"], x["context"][f"kinds_{side}"]
-        share = F.least(x["gram"][f"n_{side}"], seen)
-        weight = F.greatest(seen + kinds, F.lit(1.0))
-        return (share + F.when(seen > 0, kinds).otherwise(F.lit(1.0)) * p) / weight
-
-    def step(p: Column, x: Column) -> Column:
-        return F.struct(blend(p["a"], x, "a").alias("a"), blend(p["r"], x, "r").alias("r"))
-
-    flat = F.struct(F.lit(1 / 64).alias("a"), F.lit(1 / 64).alias("r"))
-
-    def total(arg: Column) -> Column:
-        cells, text = arg["cells"], arg["text"]
-
-        def add(sum_: Column, i: Column) -> Column:
-            levels = F.array(*(level(cells, text, i, k) for k in range(model.order + 1)))
-            return sum_ + F.aggregate(levels, flat, step, lambda p: F.ln(p["a"]) - F.ln(p["r"]))
-
-        return F.aggregate(F.sequence(F.lit(1), length), F.lit(0.0), add)
-
-    # the model (of fixed size) stands in the plan once, as a literal, with the padded text as the argument of one lambda
-    fields = F.transform("cells", lambda c: F.struct(*(c[f].alias(f) for f in FIELDS)))
-    cells = model.cells.select(F.to_json(fields)).first()[0]
-    literal = F.from_json(F.lit(cells), f"array<struct<{','.join(f'{f}: double' for f in FIELDS)}>>")
-    arg = F.struct(literal.alias("cells"), padded.alias("text"))
-    found = F.when(length > 0, F.get(F.transform(F.array(arg), total), F.lit(0)) / length).otherwise(F.lit(0.0))
-    return rows.withColumn("score", found)
+def _windows(s: Column, order: int) -> Column:
+    """For each character of `s` the `order` before it and itself; before the first are \\x01."""
+    chars = F.split(F.concat(F.lit("\x01" * order), s), "")
+    at = F.sequence(F.lit(0), F.length(s) - 1)
+    return F.get(F.transform(F.array(chars), lambda c: F.transform(at, lambda i: F.concat(*(F.get(c, i + j) for j in range(order + 1))))), F.lit(0))
+
+
+def window_ratios(windows: DataFrame, order: int) -> DataFrame:
+    """windows: window (once each), a and r (how often it was seen in accepted and rejected URLs, or 0). Per
+    window: ratio, the difference of the log-likelihoods of its last character after those before."""
+    # the n-gram of order k is the end of the window, of k + 1 characters
+    ends = F.array(*(F.substring("window", order - k + 1, k + 1) for k in range(order + 1)))
+    grams = windows.select(F.explode(ends).alias("gram"), "a", "r").groupBy("gram").agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
+    # a partition has a row for each character that comes after its context: for the empty one, the alphabet
+    context = Window.partitionBy(F.expr("substring(gram, 1, length(gram) - 1)"))
+
+    def weights(side: str) -> list[Column]:
+        """p = own + rest * p of the order below; a context that was never seen leaves that p as it is."""
+        n = F.col(side).cast("double")
+        seen, kinds = F.sum(n).over(context), F.count_if(n > 0).over(context)
+        total = F.greatest(seen + kinds, F.lit(1.0))
+        return [(n / total).alias(f"own_{side}"), F.when(seen > 0, kinds / total).otherwise(F.lit(1.0)).alias(f"rest_{side}")]
+
+    levels = stored(grams.select("gram", *weights("a"), *weights("r")))
+    below: DataFrame | None = None
+    for k in range(order + 1):
+        at = levels.filter(F.length("gram") == k + 1)
+        p = {side: F.lit(1 / 64) for side in "ar"}
+        if below is not None:
+            at = at.join(below, F.substring("gram", 2, k) == F.col("end"))
+            p = {side: F.col(f"p_{side}") for side in "ar"}
+        below = at.select(F.col("gram").alias("end"), *((F.col(f"own_{side}") + F.col(f"rest_{side}") * p[side]).alias(f"p_{side}") for side in "ar"))
+    return below.select(F.col("end").alias("window"), (F.ln("p_a") - F.ln("p_r")).alias("ratio"))
+
+
+def url_scores(urls: DataFrame, order: int = 3) -> DataFrame:
+    """urls: id and s (not empty), once each, a and r (how often the models are to count it as accepted and as
+    rejected). `urls` and score: the mean of the ratios over the characters of `s`."""
+    at = urls.select("id", "a", "r", F.explode(_windows(F.col("s"), order)).alias("window"))
+    windows = at.groupBy("window").agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
+    ratios = stored(window_ratios(windows, order))
+    # sums of decimals don't depend on the order of rows
+    sums = at.select("id", "window").join(ratios, "window").groupBy("id").agg(F.sum(F.col("ratio").cast("decimal(20,15)")).alias("total"))
+    return urls.join(sums, "id").withColumn("score", F.col("total").cast("double") / F.length("s")).drop("total")
 
 
 def calibrate(scored: DataFrame) -> float:
@@ -185,18 +136,22 @@ def calibrate(scored: DataFrame) -> float:
     return best[len(best) // 2]
 
 
-def filter_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, order: int = 3, slots: int = 1 << 13) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, order: int = 3) -> DataFrame:
     """Per row of pages (page_id, url): page_id, host, path, rule, verdict, score and threshold."""
     host, path = host_and_path(F.col("url").cast("string"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     name, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", name.alias("rule"), verdict.alias("ruled"), spelled(F.col("host"), F.col("path")).alias("s"))
-    # the models count every different URL once
-    ruled = rows.filter("ruled is not null and s != ''").select("host", "path", "s", (F.col("ruled") == "allow").alias("accepted")).distinct()
-    labelled = stored(ruled.select("s", "accepted", (F.pmod(F.xxhash64(F.lit("fold"), "host", "path"), F.lit(5)) == 0).alias("held")))
-    model = train(labelled.filter(~F.col("held")), order, slots)
-    held = labelled.filter("held")
-    cut = calibrate(with_score(held, model).select("accepted", "score"))
-    out = with_score(rows, model)
+    # the models count every different URL once; what they read may be the same for several
+    different = rows.filter("s != ''").select("host", "path", "s", "ruled").distinct()
+    held = F.pmod(F.xxhash64(F.lit("fold"), "host", "path"), F.lit(5)) == 0
+    allowed, blocked = F.col("ruled") == "allow", F.col("ruled") == "block"
+    sums = {"a": allowed & ~held, "r": blocked & ~held, "held_a": allowed & held, "held_r": blocked & held}
+    urls = different.groupBy("s").agg(*(F.count_if(c).alias(n) for n, c in sums.items()))
+    scored = stored(url_scores(stored(urls.select(F.monotonically_increasing_id().alias("id"), "*")), order))
+    # a row for each different URL that is held out
+    times = F.concat(*(F.array_repeat(F.lit(side), F.col(n).cast("int")) for n, side in (("held_a", True), ("held_r", False))))
+    cut = calibrate(scored.select(F.explode(times).alias("accepted"), "score"))
+    out = rows.join(scored.select("s", F.col("score").alias("found")), "s", "left").withColumn("score", F.coalesce("found", F.lit(0.0)))
     method = F.when(F.col("score") >= F.lit(cut), "allow").otherwise("block")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "score", F.lit(cut).alias("threshold"))
