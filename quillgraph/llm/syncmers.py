@@ -4,14 +4,16 @@ A text's units are its words cut into pieces of at most `unit_chars` code points
 white space has units as well. A k-mer is a run of K units; its inner substrings are the runs of S
 units inside it. A k-mer is a closed syncmer if the smallest hash of its inner substrings is
 the first or the last one. Whether a k-mer is chosen depends on its own units alone, so
-equal passages give equal anchors wherever they stand. The fingerprint lists the chosen k-mers'
-32-bit hashes (8 hex digits each) in text order.
+equal passages give equal anchors wherever they stand. Of any K - S k-mers in a row one is chosen, so 2K - S - 1
+units in a row that two texts share give a common anchor. Short texts have less in common than that, so units and
+2-mers (closed syncmers with k = s) are anchors too: all in texts of up to FADE units, then fewer and fewer by their
+hash, none from 2 * FADE on, so that texts of similar length have anchors of the same kinds. The fingerprint lists
+the chosen k-mers' 32-bit hashes (8 hex digits each) in text order.
 
 Likeness of two fingerprints: 2 * common / (a + b) over their distinct hashes.
 
-Defined results: a null text counts as empty; a text with fewer than K units, or without a chosen
-k-mer, has one anchor, the hash of all its units (an empty text: of none), so equal texts always
-have equal fingerprints. Rows with the same doc_id are ordered by a hash of their text; a null
+Defined results: a null text counts as empty; a text without units has one anchor, the hash of none. Equal texts
+always have equal fingerprints. Rows with the same doc_id are ordered by a hash of their text; a null
 doc_id is the last in descending order. A table of one row has itself as next document.
 """
 
@@ -26,6 +28,8 @@ from quillgraph.llm.common import document_texts
 
 #: Units of a k-mer and of its inner substrings, code points of a unit at most.
 K, S, UNIT_CHARS = 9, 2, 8
+#: By size of the short k-mers: the units of a text up to which all are anchors; from twice as many on none is.
+FADE = {1: K, 2: 2 * K - S - 1}
 
 
 def units(text: Column, unit_chars: int = UNIT_CHARS) -> Column:
@@ -53,9 +57,17 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
             starts = F.filter(F.sequence(F.lit(0), n - k), edge)
             return F.transform(starts, lambda i: F.struct(i.alias("at"), F.hash(*(F.get(h, i + j) for j in range(k))).alias("h")))
 
+        none = F.array()
+
+        def short(size: int, fade: int) -> Column:
+            starts = F.when((n >= size) & (n < 2 * fade), F.sequence(F.lit(0), n - size)).otherwise(none.cast("array<int>"))
+            every = F.transform(starts, lambda i: F.struct(i.alias("at"), F.hash(*(F.get(h, i + j) for j in range(size))).alias("h")))
+            return F.filter(every, lambda x: F.pmod(x["h"], F.lit(fade)) < 2 * fade - n)
+
         whole = F.array(F.struct(F.lit(0).alias("at"), F.hash(h).alias("h")))
-        found = F.when(n >= k, let(runs(h), pick))
-        return let(found, lambda some: F.when(F.size(some) > 0, some).otherwise(whole))
+        found = F.when(n >= k, let(runs(h), pick)).otherwise(none.cast("array<struct<at: int, h: int>>"))
+        both = F.when(n < 2 * max(FADE.values()), F.sort_array(F.concat(found, *(short(size, fade) for size, fade in FADE.items())))).otherwise(found)
+        return let(both, lambda some: F.when(F.size(some) > 0, some).otherwise(whole))
 
     return let(F.transform(units(F.coalesce(text, F.lit(""))), lambda u: F.xxhash64(u)), chosen)
 

@@ -56,3 +56,15 @@ def test_empty(docs_of):
     assert syncmers.fingerprint_edits(docs_of([])).count() == 0
     one = syncmers.fingerprint_edits(docs_of([(1, "a b c d e f g h i j")])).first()
     assert one.near_next == 1.0
+
+
+def test_short_texts_stay_like_their_edits(docs_of):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8)))
+    rows = [(100 * n + i, " ".join(word() for _ in range(n))) for n in range(3, 61) for i in range(10)]
+    text = dict(rows)
+    for r in syncmers.fingerprint_edits(docs_of(rows)).collect():
+        assert r.near_edited > (0.15 if r.doc_id < 4000 else 0), text[r.doc_id]
+        assert r.near_next < 0.2
+    c, d = ({x.h for x in r.anchors} for r in syncmers.fingerprints(docs_of([(3, "ab c"), (4, "c ab")])).collect())
+    assert len(c) == len(d) == 3 and len(c & d) == 2
