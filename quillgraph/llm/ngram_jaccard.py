@@ -82,7 +82,8 @@ def _node_rows(size: int, num: int, den: int):
                 sizes.append(len(grams))
                 parities.append(parity_of(grams))
                 prefixes.append(grams[: len(grams) - kept_size(len(grams), num, den) + 1].tobytes() if len(grams) else b"")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(parities, pa.list_(pa.int64()))], ["doc_id", "node", "n", "prefix", "parity"])
+            given = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, given), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.binary()), pa.array(parities, pa.list_(pa.int64()))], [*given, "node", "n", "prefix", "parity"])
 
     return rows
 
@@ -197,13 +198,15 @@ def _bound(a: Column, b: Column, num: int, den: int) -> Column:
 class JaccardJoin:
     """The join over one table; see the module's text."""
 
-    def __init__(self, docs: DataFrame, size: int, num: int, den: int, block: int = 64, most_frequent: int = 2_000_000, broadcast_rows: int = 500_000, rounds: int = 2, pivots: int = 8):
+    def __init__(self, docs: DataFrame, size: int, num: int, den: int, block: int = 64, most_frequent: int = 2_000_000, broadcast_rows: int = 500_000, rounds: int = 2, pivots: int = 8, keyed: bool = False):
         if not 0 < num <= den or den >= 2**20:
             raise ValueError("the threshold must be num / den, above 0 and at most 1")
         self.spark, self.size, self.num, self.den = docs.sparkSession, size, num, den
         self.block, self.most_frequent, self.broadcast_rows, self.rounds, self.pivots = block, most_frequent, broadcast_rows, rounds, pivots
         self.texts = document_texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-        self.rows = stored(self.texts.mapInArrow(_node_rows(size, num, den), "doc_id long, node long, n long, prefix binary, parity array<long>"))
+        if keyed:
+            self.texts = self.texts.withColumn("key", text_key(F.col("text")))
+        self.rows = stored(self.texts.mapInArrow(_node_rows(size, num, den), f"doc_id long, {'key long, ' if keyed else ''}node long, n long, prefix binary, parity array<long>"))
 
     def _over(self, counts: DataFrame, room: int) -> np.ndarray:
         """The columns of more than `block` / 2 prefixes, or of more if they would be over `room`."""
@@ -315,6 +318,15 @@ class JaccardJoin:
         known = lambda c: F.when(c != NO_ID, c)
         return out.select(known(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_ngrams"), known(component).alias("component_id"))
 
+    def representatives(self) -> DataFrame:
+        """kept_id, kept_key, kept_times of the rows that stand for their component: the smallest (doc_id, key) and how
+        many rows of the component have it. Rows without words stand for themselves, whatever their number."""
+        placed = self.rows.filter("n > 0").join(self.components(), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        times = placed.groupBy("root", "doc_id", "key").agg(F.count("*").alias("times"))
+        first = times.groupBy("root").agg(F.min(F.struct("doc_id", "key", "times")).alias("first")).select("first.*")
+        alone = self.rows.filter("n = 0").select("doc_id", "key", F.lit(1).cast("long").alias("times")).distinct()
+        return stored(first.unionByName(alone).toDF("kept_id", "kept_key", "kept_times"))
+
 
 def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs whose nodes lie in different components."""
@@ -344,11 +356,22 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     return JaccardJoin(docs, size, num, den, **options).result()
 
 
+def text_key(text: Column) -> Column:
+    """Tells apart the texts of rows with the same doc_id."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def first_of_groups(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, **options) -> DataFrame:
-    """The rows of `docs`, with all their columns, that have the smallest doc_id of their component; of rows
-    with the same doc_id in it, one."""
-    found = jaccard_components(docs, size, num, den, **options).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = stored(found.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("kept_id")))
-    once = ids.distinct()
-    kept = docs.join(once, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("kept_id"), "left_semi")
-    return kept.dropDuplicates(["doc_id"]) if once.count() < ids.count() else kept
+    """One row of `docs`, with all its columns, for each component: one with its smallest doc_id. Components are
+    told apart by their texts, so rows of several may share a doc_id, or have none."""
+    found = JaccardJoin(docs, size, num, den, keyed=True, **options).representatives()
+    own_id, own_key = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)), text_key(docs["text"].cast("string"))
+
+    def kept_of(some: DataFrame) -> DataFrame:
+        return docs.join(some, (own_id == F.col("kept_id")) & (own_key == F.col("kept_key")))
+
+    again = found.filter("kept_times > 1")
+    if again.isEmpty():
+        return kept_of(found).drop(*found.columns)
+    once = kept_of(found).filter("kept_times = 1").drop(*found.columns)
+    return once.unionByName(kept_of(again).dropDuplicates(["kept_id", "kept_key"]).drop(*found.columns))

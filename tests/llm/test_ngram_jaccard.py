@@ -65,3 +65,15 @@ def test_one_of_each_group_stays(docs_of, rows):
 
 def test_empty(docs_of):
     assert jaccard_components(docs_of([])).count() == 0
+
+
+def test_components_that_share_a_doc_id_all_stay(docs_of):
+    said = lambda w: " ".join(f"{w}{i}" for i in range(30))
+    near = said("near") + " end"
+    rows = [(None, said("a")), (None, said("b")), (None, said("c")), (None, said("c")), (None, None), (None, "")]
+    rows += [(7, said("d")), (7, said("e")), (7, said("e")), (7, " "), (7, " "), (8, said("e")), (8, said("f")), (9, said("near")), (9, near), (10, near), (11, said("f").upper())]
+    got = sorted(((r.doc_id, r.text) for r in first_of_groups(docs_of(rows)).collect()), key=str)
+    nears = [r for r in got if r[1] in (said("near"), near)]
+    assert len(nears) == 1 and nears[0][0] == 9
+    want = [(None, said("a")), (None, said("b")), (None, said("c")), (None, None), (None, ""), (7, said("d")), (7, said("e")), (7, " "), (7, " "), (8, said("f"))]
+    assert [r for r in got if r not in nears] == sorted(want, key=str)
