@@ -1,11 +1,12 @@
-"""Token ids in a wavelet matrix per shard.
+"""Token ids in wavelet matrices, one a segment of a shard.
 
 Texts are encoded with a ready tokenizer and written, in ascending doc_id order, as segments of
 about `segment_tokens` ids. A segment is one wavelet matrix: a bit-plane for every bit of the ids
-(most significant first), each with the number of ones before every block of 512 bits, so that
-access, rank (how often an id stands before a position) and select (where it stands for the n-th
-time) need one rank or select a plane and no other file. Planes and document lengths are
-compressed together with zstd into one blob.
+(most significant first). Access, rank (how often an id stands before a position) and select (where
+it stands for the n-th time) need one rank or select a plane and no other file. They are of one
+segment, whose blob is decompressed whole; a plane's number of ones before every block of 512 bits is not
+stored but counted in memory at its first use. Planes and document lengths are compressed
+together with zstd into one blob.
 
 File format (Parquet, one row a segment; part files are the shards, in doc_id order):
 partition int, segment int, first_start long (ids before it in its partition), n_tokens long,
