@@ -49,7 +49,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("token output", token_stage),
 ]
 
-#: SQL can't express the learned, iterated and encoded stages; tests hold them against brute force.
+#: SQL can't express the learned, iterated and encoded stages. tests/llm/test_pipeline.py holds the near-duplicate
+#: stage against a plain version; language, decontamination, mixing and tokens are tested by operator, not in the chain.
 ORACLE_SQL: str | None = None
 
 

@@ -18,3 +18,30 @@ def test_stages(spark):
     assert rows.count() == docs.count()
     last = rows.orderBy(F.desc("start")).first()
     assert last.start + last.n_tokens == rows.agg(F.sum("n_tokens")).first()[0]
+
+
+def plain_first_of_groups(rows, size=5, num=80, den=100):
+    """(doc_id, text) of the least doc_id of each component of near duplicates, all pairs compared."""
+    sets = []
+    for _, text in rows:
+        w = (text or "").translate({c: c + 32 for c in range(65, 91)}).split()
+        sets.append({tuple(w[i : i + size]) for i in range(len(w) - size + 1)} or ({tuple(w)} if w else set()))
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            common = len(sets[a] & sets[b])
+            if common and den * common >= num * (len(sets[a]) + len(sets[b]) - common) and root[a] != root[b]:
+                root = [root[b] if x == root[a] else x for x in root]
+    least = {}
+    for i, row in enumerate(rows):
+        least[root[i]] = min(least.get(root[i], row), row)
+    return sorted(least.values())
+
+
+def test_near_duplicate_stage_in_the_chain(spark):
+    docs = corpus_pipeline.language_stage(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).cache()
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    rows += [(rows[0][0], rows[1][1] + " and more of another"), (rows[0][0], "a text of its own under a number that another has")]
+    more = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows[-2:]], docs.schema)
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs.unionByName(more), SF)
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == plain_first_of_groups(rows)
