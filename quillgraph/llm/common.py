@@ -102,9 +102,9 @@ def running_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
 
 
 #: A 64-bit value for each byte.
-_BYTE_VALUES = np.random.default_rng(20).integers(1, 2**63, 256, np.uint64)
+BYTE_VALUES = np.random.default_rng(20).integers(1, 2**63, 256, np.uint64)
 #: Byte strings of this size go through numpy at once.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 def _piece_words(piece: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -114,10 +114,10 @@ def _piece_words(piece: bytes) -> tuple[np.ndarray, np.ndarray]:
     edge[1:-1] = (codes == 32) | ((codes >= 9) & (codes <= 13))
     starts = np.flatnonzero(edge[:-1] & ~edge[1:])
     ends = np.flatnonzero(~edge[:-1] & edge[1:])
-    return starts, running_hashes(_BYTE_VALUES[codes], starts, ends)
+    return starts, running_hashes(BYTE_VALUES[codes], starts, ends)
 
 
-def _cut_pieces(text: bytes) -> Iterator[bytes]:
+def cut_pieces(text: bytes) -> Iterator[bytes]:
     """A long text in pieces of about PIECE bytes, cut before white space."""
     at = 0
     while at < len(text):
@@ -148,7 +148,7 @@ def word_hashes(texts: Iterable[bytes]) -> Iterator[np.ndarray]:
             if held:
                 yield from together()
                 held, size = [], 0
-            yield np.concatenate([_piece_words(p)[1] for p in _cut_pieces(text)])
+            yield np.concatenate([_piece_words(p)[1] for p in cut_pieces(text)])
             continue
         if size + len(text) > PIECE and held:
             yield from together()

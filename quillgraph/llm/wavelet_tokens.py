@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import document_texts, shared_folder
+from quillgraph.llm.common import BYTE_VALUES, PIECE, cut_pieces, document_texts, running_hashes, shared_folder
 
 BLOCK = 512
 FILE_SCHEMA = "partition int, segment int, first_start long, n_tokens long, cut boolean, blob binary"
@@ -58,11 +58,11 @@ class WaveletMatrix:
     def over(cls, ids: np.ndarray, n_planes: int) -> WaveletMatrix:
         planes, zeros, now = [], [], ids
         for shift in range(n_planes - 1, -1, -1):
-            bits = (now & (1 << shift)) != 0
+            bits = (now & now.dtype.type(1 << shift)) != 0
             planes.append(np.packbits(bits))
-            low = now[~bits]
+            low = np.flatnonzero(~bits)  # gathers by place are twice as fast as by mask
             zeros.append(len(low))
-            now = np.concatenate([low, now[bits]])
+            now = np.concatenate([now.take(low), now.take(np.flatnonzero(bits))])
         return cls(len(ids), planes, zeros)
 
     def bits(self, plane: int) -> np.ndarray:
@@ -74,8 +74,8 @@ class WaveletMatrix:
         for plane in range(len(self.planes) - 1, -1, -1):
             bits, zeros = self.bits(plane), self.zeros[plane]
             before = np.empty_like(now)
-            before[~bits] = now[:zeros]
-            before[bits] = now[zeros:] | now.dtype.type(1 << (len(self.planes) - 1 - plane))
+            before[np.flatnonzero(~bits)] = now[:zeros]
+            before[np.flatnonzero(bits)] = now[zeros:] | now.dtype.type(1 << (len(self.planes) - 1 - plane))
             now = before
         return now
 
@@ -179,60 +179,177 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-#: A word of Latin letters that lower-case one by one, and marks after it.
-_LATIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:|*%$&#]*)")
+#: Texts of white space, Latin letters that lower-case one by one, digits and signs, without an apostrophe (which
+#: starts pieces like 's) and without "<" (which may start a special token). Their pieces are runs of letters,
+#: single digits and runs of signs.
+_SIMPLE = re.compile("[\t-\r -&(-;=-~À-ÖØ-öø-ÿ]*")
+LETTER, DIGIT, SIGN = 1, 2, 3
+#: What each Latin-1 code of a simple text, lower-cased, is; 0 is white space.
+_KINDS = np.array([0 if c == 32 or 9 <= c <= 13 else DIGIT if 48 <= c <= 57 else LETTER if 97 <= c <= 122 or c >= 0xDF else SIGN for c in range(256)], np.uint8)
+
+
+def _ragged(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... for lengths[i] places, of all i one after another."""
+    ends = np.cumsum(lengths)
+    return np.repeat(first - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class PieceTable:
+    """Ids of up to `most` pieces in arrays, found by hash and compared by their letters. When it is full, the half
+    that was used last stays."""
+
+    def __init__(self, dtype, most: int = 1 << 18):
+        self.most, self.mask, self.dtype, self.clock = most, 4 * most - 1, dtype, 0
+        self._start()
+
+    def _start(self) -> None:
+        self.slots = np.full(self.mask + 1, -1, np.int32)
+        self.n = 0
+        self.keys, self.used = np.zeros(self.most, np.uint64), np.zeros(self.most, np.int64)
+        self.spelled, self.ids = np.zeros(0, np.uint8), np.zeros(0, self.dtype)
+        self.at = np.zeros((2, self.most), np.int64)  # where a piece's letters and ids start
+        self.size = np.zeros((2, self.most), np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each piece, -1 where it isn't known."""
+        out, at, todo = np.full(len(keys), -1, np.int32), (keys >> np.uint64(40)).astype(np.int64) & self.mask, np.arange(len(keys))
+        while len(todo):
+            got = self.slots[at[todo]]
+            same = (got >= 0) & (self.keys[got] == keys[todo])
+            out[todo[same]] = got[same]
+            todo = todo[(got >= 0) & ~same]
+            at[todo] = (at[todo] + 1) & self.mask
+        return out
+
+    def add(self, keys: np.ndarray, spelled: np.ndarray, sizes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Pieces with different keys that aren't known: letters and ids of all, and how many each has."""
+        if self.n + len(keys) > self.most:
+            kept = np.sort(np.argsort(-self.used[: self.n], kind="stable")[: max(0, self.most // 2 - len(keys))])
+            old = (self.keys[kept], self.used[kept], [self.spelled[_ragged(self.at[0, kept], self.size[0, kept])], self.ids[_ragged(self.at[1, kept], self.size[1, kept])]], self.size[:, kept])
+            if len(keys) > self.most:
+                self.most, self.mask = 2 * len(keys), (4 << (2 * len(keys)).bit_length()) - 1
+            self._start()
+            self._put(*old)
+        self._put(keys, np.full(len(keys), self.clock, np.int64), [spelled, ids], np.array([sizes, counts], np.int64))
+
+    def _put(self, keys: np.ndarray, used: np.ndarray, pools: list[np.ndarray], sizes: np.ndarray) -> None:
+        to = slice(self.n, self.n + len(keys))
+        self.keys[to], self.used[to], self.size[:, to] = keys, used, sizes
+        self.at[:, to] = np.cumsum(sizes, axis=1) - sizes + np.array([[len(self.spelled)], [len(self.ids)]])
+        self.spelled, self.ids = np.concatenate([self.spelled, pools[0]]), np.concatenate([self.ids, pools[1]])
+        number, at, todo = np.arange(to.start, to.stop, dtype=np.int32), (keys >> np.uint64(40)).astype(np.int64) & self.mask, np.arange(len(keys))
+        while len(todo):
+            free = todo[self.slots[at[todo]] < 0]
+            self.slots[at[free]] = number[free]  # of several for one slot one stays
+            todo = todo[self.slots[at[todo]] != number[todo]]
+            at[todo] = (at[todo] + 1) & self.mask
+        self.n = to.stop
+
+    def encode(self, data: bytes, learn) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Start, number of ids and ids of the pieces of a simple text; None where two pieces have one hash."""
+        codes = np.frombuffer(data, np.uint8)
+        kinds = np.zeros(len(codes) + 2, np.uint8)
+        kinds[1:-1] = _KINDS[codes]
+        inner = kinds[1:-1]
+        alone = inner == DIGIT
+        starts = np.flatnonzero((inner > 0) & (alone | (inner != kinds[:-2])))
+        ends = np.flatnonzero((inner > 0) & (alone | (inner != kinds[2:]))) + 1
+        keys = running_hashes(BYTE_VALUES[codes], starts, ends)
+        self.clock += 1
+        number = self.find(keys)
+        if (number < 0).any():
+            unknown = np.flatnonzero(number < 0)
+            fresh, where = np.unique(keys[unknown], return_index=True)
+            where = unknown[where]
+            sizes = ends[where] - starts[where]
+            spelled = codes[_ragged(starts[where], sizes)]
+            self.used[number[number >= 0]] = self.clock
+            self.add(fresh, spelled, sizes, *learn(spelled, sizes))
+            number = self.find(keys)
+            if (number < 0).any():  # the table was halved meanwhile: what this text needs comes back
+                return self.encode(data, learn)
+        self.used[number] = self.clock
+        sizes = self.size[0, number]
+        if not (np.array_equal(sizes, ends - starts) and np.array_equal(self.spelled[_ragged(self.at[0, number], sizes)], codes[inner > 0])):
+            return None
+        counts = self.size[1, number]
+        return starts, counts, self.ids[_ragged(self.at[1, number], counts)]
 
 
 class WordEncoder:
-    """Ids of texts by a `tokenizers` file. Remembers those of `most` words, and of twice as many runs of
-    letters, then forgets them. A plain word goes straight to the tokenizer's model; any other goes
-    through all its rules."""
+    """Ids of texts by a `tokenizers` file. A simple text is cut into the pieces that the tokenizer's rules would
+    cut it into, and new pieces go straight to the tokenizer's model; a word of any other text goes through all
+    its rules. Remembers the ids of `most` pieces and as many words."""
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 1 << 18):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.known: dict[bytes, bytes] = {}
-        self.runs: dict[str, bytes] = {}
         spec = self.tokenizer.to_str()
+        vocabulary = self.tokenizer.get_vocab()
+        self.dtype = np.uint16 if max(vocabulary.values()) < 2**16 else np.uint32
         self.by_word = drops_white_space(spec)
-        self.plain = self.by_word and plain_byte_level(spec)
-        self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 2**16 else np.uint32
-        self.letters, self.model = _byte_letters(), self.tokenizer.model
-
-    def _run(self, run: str) -> bytes:
-        found = self.runs.get(run)
-        if found is None:
-            if len(self.runs) >= 2 * self.most:
-                self.runs = {}
-            piece = run if run.isascii() else run.encode().decode("latin-1").translate(self.letters)
-            found = self.runs[run] = np.array([t.id for t in self.model.tokenize(piece)], self.dtype).tobytes()
-        return found
-
-    def _learn(self, new: list[bytes]) -> None:
-        hard = []
-        for word in new:
-            m = _LATIN.fullmatch(word.decode("utf-8")) if self.plain else None
-            if m is None:
-                hard.append(word)
-            else:
-                self.known[word] = self._run(m[1].lower()) + (self._run(m[2]) if m[2] else b"")
-        for at in range(0, len(hard), 1000):
-            part = hard[at : at + 1000]
+        suffix = json.loads(spec)["model"].get("end_of_word_suffix")
+        self.plain = self.by_word and plain_byte_level(spec) and bool(suffix)
+        self.words: dict[bytes, bytes] = {}
+        if self.plain:
+            self.table, self.letters = PieceTable(self.dtype, most), _byte_letters() | {32: " "}
+            # the same model on ready pieces with a blank between; a piece ends with a token that has the suffix
+            self.model = Tokenizer(self.tokenizer.model)
+            self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+
+    def _learn(self, spelled: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, and how many each has, from their Latin-1 letters."""
+        row = np.full(len(spelled) + len(sizes), 32, np.uint8)
+        row[_ragged(np.cumsum(sizes + 1) - sizes - 1, sizes)] = spelled
+        text = row.tobytes().decode("latin-1")
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(self.letters)
+        ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+        return ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+
+    def _by_word(self, text: str) -> bytes:
+        words = text.encode("utf-8", "replace").split()
+        if len(self.words) > self.most:
+            self.words = {}
+        new = list({w for w in words if w not in self.words})
+        for at in range(0, len(new), 1000):
+            part = new[at : at + 1000]
             for word, e in zip(part, self.tokenizer.encode_batch([w.decode("utf-8") for w in part], add_special_tokens=False), strict=True):
-                self.known[word] = np.array(e.ids, self.dtype).tobytes()
+                self.words[word] = np.array(e.ids, self.dtype).tobytes()
+        return b"".join(map(self.words.__getitem__, words))
+
+    def _simple(self, texts: list[str]) -> list[bytes] | None:
+        """All texts together, or one long text piece by piece."""
+        parts = [t.lower().encode("latin-1") for t in texts]
+        if len(parts) == 1 and len(parts[0]) > PIECE:
+            found = [self.table.encode(part, self._learn) for part in cut_pieces(parts[0])]
+            return None if None in found else [b"".join(f[2].tobytes() for f in found)]
+        found = self.table.encode(b"\n".join(parts), self._learn)
+        if found is None:
+            return None
+        starts, counts, ids = found
+        ends = np.cumsum([len(p) + 1 for p in parts])
+        cuts = np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(starts, ends)] * ids.itemsize
+        packed = ids.tobytes()
+        return [packed[a:z] for a, z in zip([0, *cuts.tolist()], cuts.tolist(), strict=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids, packed."""
         if not self.by_word:
             return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        split = [t.encode("utf-8", "replace").split() for t in texts]
-        if len(self.known) > self.most:
-            self.known = {}
-        known = self.known
-        self._learn(list({w for words in split for w in words if w not in known}))
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        simple = [i for i, t in enumerate(texts) if self.plain and _SIMPLE.fullmatch(t)]
+        out: dict[int, bytes] = {}
+        while simple:
+            part, size = [], 0
+            while simple and (not part or size + len(texts[simple[-1]]) <= PIECE):
+                part.append(simple.pop())
+                size += len(texts[part[-1]])
+            out.update(zip(part, self._simple([texts[i] for i in part]) or (), strict=False))
+        return [out[i] if i in out else self._by_word(t) for i, t in enumerate(texts)]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -250,40 +367,48 @@ def _segments(path: str, end_id: int, n_planes: int, segment_tokens: int, batch_
         from pyspark import TaskContext
 
         code = encoder(path)
+        width = np.dtype(code.dtype).itemsize
+        most = segment_tokens * width
         partition, segment, start = TaskContext.get().partitionId(), 0, 0
-        ids: list[np.ndarray] = []
+        ids: list[bytes] = []
         pieces: list[tuple[int, int, int, int]] = []
         held = 0
 
         def flush(cut: bool = False) -> pa.RecordBatch:
             nonlocal ids, pieces, held, segment, start
-            blob = pack_segment(np.concatenate(ids), pieces, n_planes)
-            out = pa.RecordBatch.from_arrays([pa.array([partition], pa.int32()), pa.array([segment], pa.int32()), pa.array([start], pa.int64()), pa.array([held], pa.int64()), pa.array([cut]), pa.array([blob], pa.binary())], ["partition", "segment", "first_start", "n_tokens", "cut", "blob"])
-            ids, pieces, start, held, segment = [], [], start + held, 0, segment + 1
+            blob = pack_segment(np.frombuffer(b"".join(ids), code.dtype), pieces, n_planes)
+            out = pa.RecordBatch.from_arrays([pa.array([partition], pa.int32()), pa.array([segment], pa.int32()), pa.array([start], pa.int64()), pa.array([held // width], pa.int64()), pa.array([cut]), pa.array([blob], pa.binary())], ["partition", "segment", "first_start", "n_tokens", "cut", "blob"])
+            ids, pieces, start, held, segment = [], [], start + held // width, 0, segment + 1
             return out
 
-        end = np.array([end_id], code.dtype)
+        def placed(doc_ids: list[int | None], texts: list[str]) -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            end = np.array([end_id], code.dtype).tobytes()
+            for doc_id, own in zip(doc_ids, code.encode(texts), strict=True):
+                own += end
+                if held and held + len(own) > most:
+                    yield flush()
+                long = len(own) > most
+                for at in range(0, len(own), most):
+                    part = own[at : at + most] if long else own
+                    ids.append(part)
+                    held += len(part)
+                    pieces.append((doc_id or 0, int(doc_id is None), len(part) // width, int(at + most >= len(own))))
+                    if long:
+                        yield flush(cut=True)
+
         for batch in batches:
-            doc_ids, texts, at = batch.column("doc_id").to_pylist(), batch.column("text"), 0
-            while at < len(doc_ids):
-                part: list[str] = []
-                chars = 0
-                while at + len(part) < len(doc_ids) and (not part or chars < batch_chars):
-                    part.append(texts[at + len(part)].as_py() or "")
-                    chars += len(part[-1])
-                for doc_id, packed in zip(doc_ids[at : at + len(part)], code.encode(part), strict=True):
-                    own = np.concatenate([np.frombuffer(packed, code.dtype), end])
-                    if held and held + len(own) > segment_tokens:
-                        yield flush()
-                    long = len(own) > segment_tokens
-                    while len(own):
-                        take, own = own[:segment_tokens], own[segment_tokens:]
-                        ids.append(take)
-                        pieces.append((doc_id or 0, int(doc_id is None), len(take), int(not len(own))))
-                        held += len(take)
-                        if long:
-                            yield flush(cut=True)
-                at += len(part)
+            doc_ids: list[int | None] = []
+            texts: list[str] = []
+            chars = 0
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                doc_ids.append(doc_id)
+                texts.append(text.as_py() or "")
+                chars += len(texts[-1])
+                if chars >= batch_chars:
+                    yield from placed(doc_ids, texts)
+                    doc_ids, texts, chars = [], [], 0
+            yield from placed(doc_ids, texts)
         if held:
             yield flush()
 

@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 from quillgraph.llm.wavelet_tokens import WaveletMatrix, WordEncoder, drops_white_space, encode_documents, pack_segment, read_documents, unpack_segment
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
+ENCODER, WHOLE = WordEncoder(PATH, most=64), Tokenizer.from_file(PATH)
 
 
 @settings(max_examples=30, deadline=None)
@@ -28,15 +29,30 @@ def test_matrix(values):
         m.select(values[0], values.count(values[0]))
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.one_of(st.text(max_size=80), st.lists(st.from_regex(r"[A-Za-zÀ-ÿ]{1,9}[.,!?;:|*%$&#']{0,3}", fullmatch=True), max_size=8).map(" ".join)))
+@settings(max_examples=400, deadline=None)
+@given(st.one_of(st.text(max_size=80), st.lists(st.from_regex(r"[A-Za-zÀ-ÿ]{1,9}[.,!?;:|*%$&#'<0-9]{0,3}[a-z]{0,2}", fullmatch=True), max_size=8).map(" ".join), st.text(st.characters(max_codepoint=0x17F), max_size=40)))
 def test_words_alone_give_the_same_ids(text):
-    code = WordEncoder(PATH)
+    code = ENCODER
     assert code.by_word and code.plain
-    whole = Tokenizer.from_file(PATH).encode(text.encode("utf-8", "replace").decode(), add_special_tokens=False).ids
+    whole = WHOLE.encode(text.encode("utf-8", "replace").decode(), add_special_tokens=False).ids
     assert np.frombuffer(code.encode([text])[0], code.dtype).tolist() == whole
 
 
+@pytest.mark.parametrize("text", ["Straße Ertzßsch", "x" * 300 + " a", "ÀÉÎÕÜ ß-ö", "a1b22 3,,4..", "e\u0301 é", "a<|endoftext|>b", "don't it's", "a\u00a0b\u2003c", ""])
+def test_pieces(text):
+    for code in (ENCODER, WordEncoder(PATH)):
+        assert np.frombuffer(code.encode([text, text])[1], code.dtype).tolist() == WHOLE.encode(text, add_special_tokens=False).ids
+
+
+def test_full_table_and_long_texts():
+    code = WordEncoder(PATH, most=256)
+    for n in range(40):
+        text = " ".join(f"w{chr(97 + (i * 7 + n) % 26)}{'abc'[i % 3] * (i % 11)}q{chr(97 + i % 26)}, the ß!" for i in range(n * 3))
+        assert np.frombuffer(code.encode([text])[0], code.dtype).tolist() == WHOLE.encode(text, add_special_tokens=False).ids
+    long = "Some words, and 12 more! " * 30_000 + "x" * 300_000
+    assert np.frombuffer(code.encode(["", long])[1], code.dtype).tolist() == WHOLE.encode(long, add_special_tokens=False).ids
+
+
 def test_other_tokenizers_encode_whole_texts():
     assert not drops_white_space(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
     assert not drops_white_space(json.dumps({"normalizer": None, "pre_tokenizer": None}))
