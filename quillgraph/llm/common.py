@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,12 +22,13 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def shared_folder(spark: SparkSession) -> str:
     """A new folder name below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is absent (tests on one machine) a temporary folder takes its place.
+    Only in local mode (tests on one machine) a temporary folder takes its place where that setting is absent.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.gettempdir() + "/quillgraph-shared"
-        spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/quillgraph-{uuid.uuid4().hex}"
 
 
@@ -37,22 +41,38 @@ def stored(df: DataFrame, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes the files of a table made by `stored` that no later plan reads."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/quillgraph-" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables made by `stored` that no later plan reads."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if "/quillgraph-" in folder:
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(conf).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1_000, size: str = "16m") -> None:
-    """Bounds what a Python worker holds at once: rows and bytes of an Arrow batch. The settings are read
-    when a plan runs, so they stay for the session."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, rows + 1):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+def small_batches(spark: SparkSession, rows: int = 1_000, size: int = 4 << 20) -> None:
+    """Bounds what a Python worker is handed at once: rows and bytes of an Arrow batch. Spark reads these settings
+    when a plan runs, after its function has returned, so they stay for the session; smaller ones are kept."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        given = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+        if given not in range(1, most + 1):
+            spark.conf.set(key, str(most))
+
+
+def arrow_rows(rows):
+    """`rows` (a function for mapInArrow) that hands free memory back when its task ends: Spark uses a Python worker
+    again, and what it keeps adds up with the executor's own."""
+
+    def all_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from rows(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # where the C library is another
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return all_rows
 
 
 def ascii_lower(c: Column) -> Column:

@@ -29,6 +29,7 @@ equal or linked; a null doc_id is smaller than any other.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import document_texts, shingle_hashes, stored, word_hashes
+from quillgraph.llm.common import arrow_rows, discard, document_texts, shingle_hashes, stored, word_hashes
 
 NO_ID = -(2**63)
 
@@ -206,7 +207,7 @@ class JaccardJoin:
         self.texts = document_texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
         if keyed:
             self.texts = self.texts.withColumn("key", text_key(F.col("text")))
-        self.rows = stored(self.texts.mapInArrow(_node_rows(size, num, den), f"doc_id long, {'key long, ' if keyed else ''}node long, n long, prefix binary, parity array<long>"))
+        self.rows = stored(self.texts.mapInArrow(arrow_rows(_node_rows(size, num, den)), f"doc_id long, {'key long, ' if keyed else ''}node long, n long, prefix binary, parity array<long>"))
 
     def _over(self, counts: DataFrame, room: int) -> np.ndarray:
         """The columns of more than `block` / 2 prefixes, or of more if they would be over `room`."""
@@ -214,31 +215,37 @@ class JaccardJoin:
         counted = stored(counts.groupBy("col").agg(F.sum("df").alias("df")).filter(F.col("df") > least))
         while (found := counted.filter(F.col("df") > least)).count() > room:
             least *= 2
-        return found.select("col").toPandas()["col"].to_numpy(np.int64).view(np.uint64)
+        columns = found.select("col").toPandas()["col"].to_numpy(np.int64).view(np.uint64)
+        discard(counted)
+        return columns
 
     def _frequent(self):
         """The columns to be ordered last, on all tasks; at most `most_frequent`. When they move back, others
         come into prefixes, of which some are frequent too: so again, a few times."""
-        found = self._over(self.rows.select("node", "prefix").mapInArrow(_prefix_counts, "col long, df long"), self.most_frequent)
+        found = self._over(self.rows.select("node", "prefix").mapInArrow(arrow_rows(_prefix_counts), "col long, df long"), self.most_frequent)
         carried = self.spark.sparkContext.broadcast(Frequent(found))
         for _ in range(self.rounds if len(found) else 0):
-            counts = self.texts.mapInArrow(_moved_counts(self.size, self.num, self.den, carried), "col long, df long")
+            counts = self.texts.mapInArrow(arrow_rows(_moved_counts(self.size, self.num, self.den, carried)), "col long, df long")
             more = self._over(counts, self.most_frequent - len(found))
             if not len(more):
                 break
             found = np.concatenate([found, more])
+            carried.destroy()
             carried = self.spark.sparkContext.broadcast(Frequent(found))
         return carried
 
     def _incidence(self) -> DataFrame:
         """(col, long, node, n, h): prefix columns of two nodes or more; h: the node's long columns."""
         carried = self._frequent()
-        found = self.texts.mapInArrow(_incidence_rows(self.size, self.num, self.den, carried), "col long, node long, n int").distinct()
+        found = self.texts.mapInArrow(arrow_rows(_incidence_rows(self.size, self.num, self.den, carried)), "col long, node long, n int").distinct()
         found = stored(found.select("col", "node", "n"))
+        carried.destroy()
         counted = found.groupBy("col").agg(F.count("*").alias("df")).filter("df >= 2")
         kept = stored(found.join(counted, "col").select("col", (F.col("df") > self.block).alias("long"), "node", F.col("n").cast("long").alias("n")))
         h = kept.filter("long").groupBy("node").agg(F.count("*").alias("h"))
-        return stored(kept.join(h, "node", "left").select("col", "long", "node", "n", F.coalesce("h", F.lit(0)).alias("h")))
+        rows = stored(kept.join(h, "node", "left").select("col", "long", "node", "n", F.coalesce("h", F.lit(0)).alias("h")))
+        discard(found, kept)
+        return rows
 
     def _pairs(self, left: DataFrame, right: DataFrame, condition: Column, long: bool = False) -> DataFrame:
         """Overlap counts of pairs that meet in a column: (a, b, c), a < b, under the bound. `long`: the
@@ -248,6 +255,12 @@ class JaccardJoin:
         bound, least_h = _bound(F.col("x.n"), F.col("y.n"), self.num, self.den), F.least("x.h", "y.h")
         on = (F.col("x.col") == F.col("y.col")) & _sizes_fit(F.col("x.n"), F.col("y.n"), self.num, self.den) & condition
         if long:
+            # sizes that fit lie in the same or in neighbouring classes: a column's members are dealt by class
+            wide = math.log(self.den / self.num) * 1.0001
+            own = lambda n: F.floor(F.ln(n) / F.lit(wide)) if wide else n
+            x = left.withColumn("class", F.explode(F.array(*(own(F.col("n")) + i for i in (-1, 0, 1))))).alias("x")
+            y = right.withColumn("class", own(F.col("n"))).alias("y")
+            on &= F.col("x.class") == F.col("y.class")
             early = (F.col("x.r") <= F.col("x.h") - bound + 1) & (F.col("y.r") <= F.col("y.h") - bound + 1)
             apart = sum((F.bit_count(F.get("x.parity", F.lit(i)).bitwiseXOR(F.get("y.parity", F.lit(i)))) for i in range(PARITY)), F.lit(0))
             most = F.col("x.n") + F.col("y.n") - 2 * _alpha(F.col("x.n"), F.col("y.n"), self.num, self.den)
@@ -266,10 +279,12 @@ class JaccardJoin:
         few = wanted.count() <= self.broadcast_rows
         ids = wanted.select("doc_id").distinct()
         picked = self.texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-        sets = stored(picked.mapInArrow(_set_rows(self.size), "node long, grams binary").dropDuplicates(["node"]))
+        sets = stored(picked.mapInArrow(arrow_rows(_set_rows(self.size)), "node long, grams binary").dropDuplicates(["node"]))
         with_b = pairs.select("a", "b").join(sets.withColumnRenamed("grams", "grams_b"), F.col("b") == F.col("node")).drop("node")
         with_both = with_b.join(sets.withColumnRenamed("grams", "grams_a"), F.col("a") == F.col("node")).select("a", "b", "grams_a", "grams_b")
-        return stored(with_both.mapInArrow(_linked_rows(self.num, self.den), "a long, b long"))
+        linked = stored(with_both.mapInArrow(arrow_rows(_linked_rows(self.num, self.den)), "a long, b long"))
+        discard(wanted, sets)
+        return linked
 
     def components(self) -> DataFrame:
         """(node, root) of the nodes that have a link."""
@@ -295,24 +310,26 @@ class JaccardJoin:
         own = Window.partitionBy("node").orderBy("col")  # at most a node's prefix
         placed = placed.withColumns({"r": F.row_number().over(own), "cols": F.collect_list("col").over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
         sketches = self.rows.groupBy("node").agg(F.first("parity").alias("parity"))
-        placed = placed.join(sketches, "node")
-        largest = placed.groupBy("col", "root").agg(F.count("*").alias("m")).groupBy("col").agg(F.max_by("root", F.struct("m", "root")).alias("main"))
-        placed = stored(placed.join(largest, "col"))
-        stray = placed.filter("root <> main")
-        left = self._pairs(stray, placed, (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))), long=True)
+        placed = stored(placed.join(sketches, "node"))
+        # stored, as a join of two tables is one whose hot keys Spark can split
+        largest = stored(placed.groupBy("col", "root").agg(F.count("*").alias("m")).groupBy("col").agg(F.max_by("root", F.struct("m", "root")).alias("main")))
+        marked = stored(placed.join(largest, "col"))
+        left = self._pairs(marked.filter("root <> main"), marked, (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))), long=True)
         left = stored(left)
         if not left.isEmpty():
-            links = stored(links.unionByName(self._verified(left)))
-            roots = connected(links)
+            roots = connected(links.unionByName(self._verified(left)))
+        discard(rows, pairs, placed, largest, marked, left)
         return roots
 
     def result(self) -> DataFrame:
         """doc_id, n_ngrams, component_id of every row."""
         roots = self.components()
         first = self.rows.groupBy("node").agg(F.min("doc_id").alias("first"))
-        placed = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-        named = placed.join(least, "root").select("node", "component_id")
+        placed = stored(first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        least = stored(placed.groupBy("root").agg(F.min("first").alias("component_id")))
+        # joins of stored tables: Spark can split the rows of a large component, or of many equal texts
+        named = stored(placed.join(least, "root").select("node", "component_id"))
+        discard(placed, least)
         out = self.rows.select("doc_id", "node", "n").join(named, "node")
         component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
         known = lambda c: F.when(c != NO_ID, c)
@@ -338,16 +355,20 @@ def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 def connected(links: DataFrame) -> DataFrame:
     """(node, root) of all nodes of `links` (a, b); root is a component's least node. Each round takes the
-    least root among neighbours and then the root's own root, so long chains halve."""
+    least root among neighbours and then the root's own root, so long chains halve. Roots are looked up once
+    each; every join is one of stored tables, so that Spark can split the rows of a large component."""
     edges = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     roots = stored(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("root")))
     while True:
-        heard = edges.join(roots, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("heard"))
-        near = roots.join(heard, F.col("node") == F.col("a")).select("node", F.col("root").alias("old"), F.least("root", "heard").alias("root"))
-        above = near.select(F.col("node").alias("up"), F.col("root").alias("up_root"))
-        to = stored(near.join(above, F.col("root") == F.col("up"), "left").select("node", "old", F.least("root", F.coalesce("up_root", "root")).alias("root")))
+        heard = stored(edges.join(roots, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("heard")))
+        near = stored(roots.join(heard, F.col("node") == F.col("a")).select("node", F.col("root").alias("old"), F.least("root", "heard").alias("root")))
+        up = near.select(F.col("root").alias("up")).distinct().join(near.select("node", F.col("root").alias("up_root")), F.col("up") == F.col("node"))
+        hops = stored(up.filter("up_root < up").select("up", "up_root"))
+        to = stored(near.join(hops, F.col("root") == F.col("up"), "left").select("node", "old", F.coalesce("up_root", "root").alias("root")))
+        discard(heard, near, hops, roots)
         roots = to.select("node", "root")
         if to.filter("root <> old").isEmpty():
+            discard(edges)
             return roots
 
 
@@ -365,13 +386,12 @@ def first_of_groups(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     """One row of `docs`, with all its columns, for each component: one with its smallest doc_id. Components are
     told apart by their texts, so rows of several may share a doc_id, or have none."""
     found = JaccardJoin(docs, size, num, den, keyed=True, **options).representatives()
-    own_id, own_key = F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)), text_key(docs["text"].cast("string"))
-
-    def kept_of(some: DataFrame) -> DataFrame:
-        return docs.join(some, (own_id == F.col("kept_id")) & (own_key == F.col("kept_key")))
-
-    again = found.filter("kept_times > 1")
-    if again.isEmpty():
-        return kept_of(found).drop(*found.columns)
-    once = kept_of(found).filter("kept_times = 1").drop(*found.columns)
-    return once.unionByName(kept_of(again).dropDuplicates(["kept_id", "kept_key"]).drop(*found.columns))
+    # the columns of `docs` travel as one, so that none can clash
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    packed = docs.select(row, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("own_id"), text_key(F.col("text").cast("string")).alias("own_key"))
+    met = packed.join(found, (F.col("own_id") == F.col("kept_id")) & (F.col("own_key") == F.col("kept_key")))
+    if found.filter("kept_times > 1").isEmpty():
+        return met.select("row.*")
+    once = met.filter("kept_times = 1").select("row")
+    again = met.filter("kept_times > 1").groupBy("kept_id", "kept_key").agg(F.first("row").alias("row")).select("row")
+    return once.unionByName(again).select("row.*")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import document_texts, running_hashes, small_batches, word_hashes
+from quillgraph.llm.common import arrow_rows, document_texts, running_hashes, small_batches, word_hashes
 
 _BLANKS = bytes(b if b >= 0x80 or chr(b).isdigit() or chr(b).islower() else 0x20 for b in range(256))
 def word_row(text: str | None) -> bytes:
@@ -175,7 +175,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_coverage: float =
                     columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "coverage", "item_words", "n_tiles", "first_word"])
 
-        part = document_texts(docs).mapInArrow(rows, "doc_id long, item_id long, coverage double, item_words long, n_tiles long, first_word long")
+        part = document_texts(docs).mapInArrow(arrow_rows(rows), "doc_id long, item_id long, coverage double, item_words long, n_tiles long, first_word long")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -192,5 +192,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least_coverage: float =
                 clean = [not carried.value.matches(words, least_coverage) for words in _words_of(batch)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        out = out.mapInArrow(rows, docs.schema)
+        out = out.mapInArrow(arrow_rows(rows), docs.schema)
     return out

@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import BYTE_VALUES, PIECE, cut_pieces, document_texts, running_hashes, shared_folder
+from quillgraph.llm.common import BYTE_VALUES, PIECE, arrow_rows, cut_pieces, document_texts, running_hashes, shared_folder
 
 BLOCK = 512
 FILE_SCHEMA = "partition int, segment int, first_start long, n_tokens long, cut boolean, blob binary"
@@ -423,7 +423,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = texts.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     n_planes = max(1, (vocabulary - 1).bit_length())
-    ordered.mapInArrow(_segments(tokenizer_path, end_id, n_planes, segment_tokens), FILE_SCHEMA).write.option("compression", "none").parquet(folder)
+    ordered.mapInArrow(arrow_rows(_segments(tokenizer_path, end_id, n_planes, segment_tokens)), FILE_SCHEMA).write.option("compression", "none").parquet(folder)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -453,9 +453,9 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     # one row a partition of the files: their number is the shard count, not the data
     totals = files.groupBy("partition").agg(F.sum("n_tokens").alias("total"))
     offsets = totals.select("partition", (F.sum("total").over(Window.orderBy("partition")) - F.col("total")).alias("offset"))
-    whole = files.filter("not cut").mapInArrow(_documents, "partition int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    whole = files.filter("not cut").mapInArrow(arrow_rows(_documents), "partition int, doc_id long, at long, n_tokens long, ids_crc32 long")
     # a document longer than a segment: its parts, numbered by the ends of those before
-    parts = files.filter("cut").mapInArrow(_parts, "partition int, doc_id long, at long, n long, is_last boolean, part binary")
+    parts = files.filter("cut").mapInArrow(arrow_rows(_parts), "partition int, doc_id long, at long, n long, is_last boolean, part binary")
     w = Window.partitionBy("partition").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("k", F.coalesce(F.sum(F.col("is_last").cast("int")).over(w), F.lit(0)))
     in_order = F.transform(F.array_sort(F.collect_list(F.struct("at", F.hex("part").alias("h")))), lambda x: x["h"])
