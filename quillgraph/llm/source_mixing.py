@@ -5,32 +5,33 @@ source has its target of words: sum(w * size) = target. The dual is convex with
 source, and its solution tilts the rates exponentially: w = min(cap, exp(lambda * size / mean)).
 
 1. Sizes are counted once, into a narrow table in the shared folder; one aggregate gives each
-   source's size, and the driver shares out the targets (sources are a catalogue: one row each,
-   checked against `max_sources`).
+   source's size, and the driver shares out the targets (sources are a catalogue: it holds a few numbers of each).
 2. Newton's method on the dual: each step is one distributed pass over (source, size, documents)
    cells and returns gradient and curvature of each source; a bracket guards every step, as the
    dual has kinks where rates reach the cap.
-3. Rates become copies: floor(rate * factor + u) with u from a hash of the id, so reruns agree. The
-   factor starts at 1; a few passes over all documents, each trying a grid of factors, bring
-   every source's realised words as close to its target as a document allows: first with one factor
-   for all, then with one for documents up to the source's mean size.
-
-Defined results: a null text has size 0 and is taken 0 times; a null source is a source of its own,
-last in order; a null doc_id is hashed as such; rows with the same doc_id get the same u, and
-copies by their own size. A source without words has target 0. An empty table gives no rows.
+3. Rates become copies: floor(rate), and one more for the documents of a cell whose hash is below the cell's mark. All
+   documents of a cell have one rate; marks are set cell by cell, from a source's longest documents to its
+   shortest, and what a cell's rounding leaves is made good by the next ones. Copies are thus the floor or the
+   ceiling of the rate, reruns agree, and a source misses its target by about half of its shortest document, if it has
+   documents enough. A task reads a source's cells one after another, in order, and holds one at a time; d different
+   sizes need more than d * d / 2 words, so there are few.
+
+Defined results: a null text has size 0 and is taken once, for 0 words; a null source is a source of its own,
+last in order; the hash is that of doc_id and text, so rows that agree in both get the same copies. A source
+without words has target 0. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quillgraph.llm.common import stored
+from quillgraph.llm.common import arrow_rows, discard, stored
 
 
 def word_count(text: Column) -> Column:
@@ -64,8 +65,6 @@ class Balance:
     tilt: float = 0.0
     low: float = -math.inf
     high: float = math.inf
-    factor: float = 1.0
-    small_factor: float = 1.0
     done: bool = field(default=False)
 
     def step(self, words: float, slope: float, tolerance: float) -> None:
@@ -82,47 +81,95 @@ class Balance:
         self.tilt = to
 
 
-def _table(spark, balances: list[Balance]) -> DataFrame:
-    schema = T.StructType([T.StructField("s", T.StringType()), *(T.StructField(c, T.DoubleType()) for c in ("mean", "target", "tilt", "factor", "small_factor")), T.StructField("total", T.LongType()), T.StructField("done", T.BooleanType())])
-    return F.broadcast(spark.createDataFrame([(b.source, b.mean, b.target, b.tilt, b.factor, b.small_factor, b.size, b.done) for b in balances], schema))
+#: Documents of a cell are told apart by this many values of their hash when it is rounded.
+BINS = 64
 
 
-def _rate(cap: float, factor: Column | None = None) -> Column:
-    tilted = F.least(F.lit(700.0), F.col("tilt") * F.col("size") / F.col("mean"))
-    rate = F.least(F.lit(cap), F.exp(tilted))
-    return rate if factor is None else F.least(F.lit(cap), rate * factor)
+def _table(spark: SparkSession, balances: list[Balance], broadcast_sources: int) -> DataFrame:
+    """The balances as a table; a plan joins it by broadcast as long as it has few rows."""
+    columns = {"s": pa.array([b.source for b in balances], pa.string()), "total": pa.array([b.size for b in balances], pa.int64()), "done": pa.array([b.done for b in balances], pa.bool_())}
+    columns |= {c: pa.array([getattr(b, c) for b in balances], pa.float64()) for c in ("mean", "target", "tilt")}
+    table = spark.createDataFrame(pa.table(columns))
+    return F.broadcast(table) if len(balances) <= broadcast_sources else table
 
 
-def unit_of(doc_id: Column) -> Column:
-    """In [0, 1), from a hash of the id."""
-    return F.pmod(F.xxhash64(F.lit("copies"), doc_id), F.lit(2**32)) / F.lit(2.0**32)
+def _rate(cap: float) -> Column:
+    return F.least(F.lit(cap), F.exp(F.least(F.lit(700.0), F.col("tilt") * F.col("size") / F.col("mean"))))
+
+
+def bin_of(doc_id: Column, text: Column) -> Column:
+    """0 to BINS - 1, from a hash of the id and the text."""
+    return F.pmod(F.xxhash64(F.lit("copies"), doc_id, text), F.lit(BINS)).cast("int")
+
+
+def _sized(docs: DataFrame) -> list[Column]:
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return [doc_id.alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text).alias("size"), bin_of(doc_id, text).alias("bin")]
+
+
+def round_cells(cells: Iterator[tuple[str | None, int, float, list[tuple[int, int]]]]) -> Iterator[tuple[str | None, int, float, int, int]]:
+    """(source, size, rate, [(bin, documents)]) of each cell, a source's together and its longest first. For each:
+    source, size, rate, copies of every document, and the mark: documents with a smaller bin get one more."""
+    now, owed = object(), 0.0
+    for source, size, rate, bins in cells:
+        if source != now:
+            now, owed = source, 0.0
+        whole = math.floor(rate)
+        part, n = rate - whole, sum(k for _, k in bins)
+        wanted = part * n + (owed / size if size else 0.0)
+        taken, mark = 0, 0
+        for number, k in sorted(bins) if part else ():
+            if abs(taken + k - wanted) >= abs(taken - wanted):
+                break
+            taken, mark = taken + k, number + 1
+        owed += (part * n - taken) * size
+        yield source, size, rate, whole, mark
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cells():
+        for batch in batches:
+            for source, size, rate, bins in zip(*(batch.column(c).to_pylist() for c in ("source", "size", "rate", "bins")), strict=True):
+                yield source, size, rate, [(x["bin"], x["k"]) for x in bins]
+
+    types, names = [pa.string(), pa.int64(), pa.float64(), pa.int32(), pa.int32()], ["s", "of_size", "rate", "whole", "mark"]
+    held: list[tuple] = []
+    for row in round_cells(cells()):
+        held.append(row)
+        if len(held) == 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
 
 
 @dataclass
 class Mixture:
-    """The fitted balance of every source and the table of sizes that it was fitted on."""
+    """The fitted balance of every source, the table of sizes that it was fitted on, and the cells' marks."""
 
     narrow: DataFrame
     balances: list[Balance]
-    cap: float
+    marks: DataFrame  # s, of_size, rate, whole, mark
+    few_marks: bool
+    broadcast_sources: int
 
     def taken(self, rows: DataFrame) -> DataFrame:
-        """`rows` (doc_id, source, size and others) with source_size, target, rate, copies and taken."""
-        out = rows.join(_table(rows.sparkSession, self.balances), F.col("source").eqNullSafe(F.col("s")))
-        factor = F.when(F.col("size") <= F.col("mean"), F.col("small_factor")).otherwise(F.col("factor"))
-        copies = F.floor(_rate(self.cap, factor) + unit_of(F.col("doc_id"))).cast("int")
-        out = out.select(*rows.columns, F.col("total").alias("source_size"), "target", _rate(self.cap).alias("rate"), copies.alias("copies"))
+        """`rows` (source, size, bin and others) with source_size, target, rate, copies and taken."""
+        marks = F.broadcast(self.marks) if self.few_marks else self.marks
+        out = rows.join(marks, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("of_size"))).drop("s")
+        out = out.join(_table(rows.sparkSession, self.balances, self.broadcast_sources), F.col("source").eqNullSafe(F.col("s")))
+        copies = F.col("whole") + (F.col("bin") < F.col("mark")).cast("int")
+        out = out.select(*(F.col(f"`{c}`") for c in rows.columns), F.col("total").alias("source_size"), "target", "rate", copies.alias("copies"))
         return out.withColumn("taken", F.col("copies") * F.col("size"))
 
 
-def fit_mixture(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, tolerance: float = 1e-4, newton_steps: int = 40, rounding_passes: int = 2, grid: int = 16, max_sources: int = 100_000) -> Mixture:
+def fit_mixture(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, tolerance: float = 1e-4, newton_steps: int = 40, broadcast_sources: int = 100_000, broadcast_cells: int = 200_000) -> Mixture:
     """Sources in code point order (null last) weigh `weights`, repeating."""
     spark = docs.sparkSession
-    narrow = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")))
-    cells = stored(narrow.groupBy("source", "size").agg(F.count("*").alias("n")))
-    found = cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("total"), F.sum("n").alias("n")).limit(max_sources + 1).collect()
-    if len(found) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
+    narrow = stored(docs.select(*_sized(docs)))
+    bins = stored(narrow.groupBy("source", "size", "bin").agg(F.count("*").alias("k")))
+    cells = stored(bins.groupBy("source", "size").agg(F.sum("k").alias("n"), F.collect_list(F.struct("bin", "k")).alias("bins")))
+    found = cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("total"), F.sum("n").alias("n")).collect()
     found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8")))
     balances = [Balance(r["source"], r["total"], max(1.0, r["total"] / r["n"])) for r in found]
     for b, target in zip(balances, share_out([b.size for b in balances], [weights[i % len(weights)] for i in range(len(balances))], cap), strict=True):
@@ -132,50 +179,32 @@ def fit_mixture(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: fl
             b.tilt, b.done = 1e9, True  # every rate is at the cap
     by_source = {b.source: b for b in balances}
 
+    def tilted() -> DataFrame:
+        return cells.join(_table(spark, balances, broadcast_sources), F.col("source").eqNullSafe(F.col("s")))
+
     for _ in range(newton_steps):
         if all(b.done for b in balances):
             break
-        joined = cells.join(_table(spark, balances), F.col("source").eqNullSafe(F.col("s"))).filter("not done")
         rate, words = _rate(cap), F.col("n") * F.col("size")
         slope = F.when(rate < cap, rate * F.col("size") / F.col("mean")).otherwise(0.0)
-        for row in joined.groupBy("source").agg(F.sum(words * rate).alias("words"), F.sum(words * slope).alias("slope")).collect():
+        for row in tilted().filter("not done").groupBy("source").agg(F.sum(words * rate).alias("words"), F.sum(words * slope).alias("slope")).collect():
             by_source[row["source"]].step(row["words"], row["slope"], tolerance)
 
-    # copies: first one factor for all documents, then one for those up to the mean size, which
-    # close the gap that a single long document can leave
-    live = [b for b in balances if b.tilt < 1e9 and b.size]
-    for small_only, passes in ((False, rounding_passes), (True, rounding_passes)):
-        brackets = {b.source: (0.8, 1.25) if not small_only else (0.2, 5.0) for b in live}
-        for _ in range(passes if live else 0):
-            tries = {s: np.geomspace(a, z, grid).tolist() for s, (a, z) in brackets.items()}
-            schema = T.StructType([T.StructField("s", T.StringType()), T.StructField("mean", T.DoubleType()), T.StructField("tilt", T.DoubleType()), T.StructField("factor", T.DoubleType()), T.StructField("tries", T.ArrayType(T.DoubleType()))])
-            table = F.broadcast(spark.createDataFrame([(s, by_source[s].mean, by_source[s].tilt, by_source[s].factor, t) for s, t in tries.items()], schema))
-            joined = narrow.join(table, F.col("source").eqNullSafe(F.col("s"))).withColumn("u", unit_of(F.col("doc_id")))
-            sums = []
-            for i in range(grid):
-                factor = F.when(F.col("size") <= F.col("mean"), F.col("tries")[i]).otherwise(F.col("factor")) if small_only else F.col("tries")[i]
-                sums.append(F.sum(F.col("size") * F.floor(_rate(cap, factor) + F.col("u"))).alias(f"w{i}"))
-            for row in joined.groupBy("source").agg(*sums).collect():
-                b, factors = by_source[row["source"]], tries[row["source"]]
-                best = min(range(grid), key=lambda i: (abs(row[f"w{i}"] - b.target), i))  # noqa: B023
-                brackets[b.source] = (factors[max(0, best - 1)], factors[min(grid - 1, best + 1)])
-                if small_only:
-                    b.small_factor = factors[best]
-                else:
-                    b.factor = b.small_factor = factors[best]
-
-    return Mixture(narrow, balances, cap)
+    in_order = tilted().select("source", "size", _rate(cap).alias("rate"), "bins").repartition("source").sortWithinPartitions("source", F.desc("size"))
+    marks = stored(in_order.mapInArrow(arrow_rows(_marks), "s string, of_size long, rate double, whole int, mark int"))
+    discard(bins, cells)
+    return Mixture(narrow, balances, marks, marks.count() <= broadcast_cells, broadcast_sources)
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies and taken of every row of `docs`."""
     mixture = fit_mixture(docs, **options)
-    return mixture.taken(mixture.narrow)
+    return mixture.taken(mixture.narrow).drop("bin")
 
 
 def repeat_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs`, with all their columns, as often as the mix takes them."""
     mixture = fit_mixture(docs, **options)
-    packed = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *_sized(docs))
     taken = mixture.taken(packed).filter("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
