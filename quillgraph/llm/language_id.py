@@ -1,20 +1,21 @@
 """Language identification by language-bitmask n-gram filters.
 
 Fitting: character n-grams of a bounded sample of labelled rows (`fit_rows` a language, taken by a
-hash of the id) are counted by language on the executors. An n-gram belongs to a language if its rate
-there is at least `least_rate` and at least `share` of its highest rate in any language. Each
-language has a Bloom filter over its n-grams; the filters are bit-sliced: one array of machine words
-in which bit l of a slot is language l's bit, so the AND of the slots that an n-gram hashes to is
+hash of the id) are counted by language on the executors, once, into the shared folder. An n-gram belongs to a
+language if its rate there is at least `least_rate` and at least `share` of its highest rate in any language; rates
+of a language add up to 1, so no more than 1 / `least_rate` n-grams (50,000) belong to it. Each
+language has a Bloom filter over its n-grams; the filters are bit-sliced: one array of machine words, one a slot for
+every 64 languages, in which bit l of a slot is language l's bit, so the AND of the slots that an n-gram hashes to is
 the set of all languages that contain it.
 
 Prediction: for every n-gram of the whole text one such mask; popcounts by language, less what
 the language's false positive rate (measured on the finished filter) explains, decide. The score is
-the best language's share of all corrected counts.
+the share of the text's n-grams that the best language explains, whatever the number of languages.
 
 Defined results: `und` with score 0 for a null text or one without a letter (\\p{L}); where no
 n-gram is known, the language with most fitting rows and score 0; equal counts go to the first
 language by code point. Without any labelled row every prediction is `und`. Rows are judged one
-by one: repeated rows and ids, nulls and other columns don't matter. At most 64 languages.
+by one: repeated rows and ids, nulls and other columns don't matter; a column named like a result gives way to it.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgraph.llm.common import small_batches
+from quillgraph.llm.common import arrow_rows, discard, small_batches, stored
 
 LETTER = regex.compile(r"\p{L}")
 NOT_LETTERS = regex.compile(r"[^\p{L}]+")
@@ -71,7 +72,7 @@ def _grams(codes: np.ndarray, owner: np.ndarray) -> Iterator[tuple[np.ndarray, n
 
 @dataclass
 class LanguageFilter:
-    """slots[i] bit l: slot i of language l's Bloom filter."""
+    """slots[i, w] bit l: slot i of the Bloom filter of language 64 * w + l."""
 
     languages: list[str]
     rows: list[int]
@@ -90,50 +91,66 @@ class LanguageFilter:
 
     @classmethod
     def over(cls, languages: list[str], rows: list[int], hashes: np.ndarray, masks: np.ndarray, bits_per_gram: int = 16) -> LanguageFilter:
-        """masks[i] bit l: hashes[i] belongs to language l."""
-        most = max([1, *(int((masks >> np.uint64(i) & np.uint64(1)).sum()) for i in range(len(languages)))])
+        """masks[i, w] bit l: hashes[i] belongs to language 64 * w + l."""
+        most = max([1, *(int(cls._bit(masks, i).sum()) for i in range(len(languages)))])
         size = 1 << max(10, int(bits_per_gram * most - 1).bit_length())
-        slots = np.zeros(size, np.uint64)
+        slots = np.zeros((size, masks.shape[1]), np.uint64)
         for at in cls._places(hashes, size):
             np.bitwise_or.at(slots, at, masks)
         # probes that no n-gram hashes to (random 64-bit numbers) give each filter's rate
         probes = np.random.default_rng(7).integers(0, 2**63, 100_000, np.uint64)
         out = cls(languages, rows, slots, np.zeros(len(languages)))
         found = out.masks(probes)
-        out.false_rates = np.array([float((found >> np.uint64(i) & np.uint64(1)).mean()) for i in range(len(languages))])
+        out.false_rates = np.array([float(cls._bit(found, i).mean()) for i in range(len(languages))])
         return out
 
+    @staticmethod
+    def _bit(masks: np.ndarray, language: int) -> np.ndarray:
+        return masks[:, language // 64] >> np.uint64(language % 64) & np.uint64(1)
+
     def masks(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.full(len(hashes), np.uint64(2**64 - 1))
+        out = np.full((len(hashes), self.slots.shape[1]), np.uint64(2**64 - 1))
         for at in self._places(hashes, len(self.slots)):
             out &= self.slots[at]
         return out
 
-    def predict(self, texts: list[str | None], chunk_chars: int = 500_000) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: list[str | None], chunk_chars: int = 250_000) -> tuple[list[str], np.ndarray]:
         names, scores = ["und"] * len(texts), np.zeros(len(texts))
         todo = [i for i, t in enumerate(texts) if t and self.languages and LETTER.search(t)]
         while todo:
             part, chars = [], 0
-            while todo and (not part or chars < chunk_chars):
+            while todo and (not part or chars + len(texts[todo[-1]]) <= chunk_chars):
                 part.append(todo.pop())
                 chars += len(texts[part[-1]])
-            codes, owner = _codes([texts[i] for i in part])
-            counts = np.zeros((len(self.languages), len(part)))
-            totals = np.zeros(len(part))
-            for hashes, owners in _grams(codes, owner):
-                found = self.masks(hashes)
-                totals += np.bincount(owners, minlength=len(part))
-                for lang in range(len(self.languages)):
-                    counts[lang] += np.bincount(owners, found >> np.uint64(lang) & np.uint64(1), len(part))
+            counts, totals = np.zeros((len(self.languages), len(part))), np.zeros(len(part))
+            # a long text goes piece by piece, cut where a word ends
+            pieces = [[texts[i] for i in part]] if chars <= chunk_chars else [[p] for p in _pieces(texts[part[0]], chunk_chars)]
+            for piece in pieces:
+                for hashes, owners in _grams(*_codes(piece)):
+                    found = self.masks(hashes)
+                    totals += np.bincount(owners, minlength=len(part))
+                    for lang in range(len(self.languages)):
+                        counts[lang] += np.bincount(owners, self._bit(found, lang), len(part))
             rate = self.false_rates[:, None]
             counts = np.maximum(0, (counts - totals * rate) / (1 - rate))
-            sums, best = counts.sum(axis=0), counts.argmax(axis=0)
+            best = counts.argmax(axis=0)
             for k, i in enumerate(part):
-                names[i] = self.languages[best[k] if sums[k] else int(np.argmax(self.rows))]
-                scores[i] = counts[best[k], k] / sums[k] if sums[k] else 0.0
+                known = counts[best[k], k]
+                names[i] = self.languages[best[k] if known else int(np.argmax(self.rows))]
+                scores[i] = min(1.0, known / totals[k]) if known else 0.0
         return names, scores
 
 
+def _pieces(text: str, size: int) -> Iterator[str]:
+    """A text in pieces of about `size` characters, each cut before a character that is no letter."""
+    at = 0
+    while at < len(text):
+        m = NOT_LETTERS.search(text, at + size)
+        to = m.start() if m and m.start() > at else len(text)
+        yield text[at:to]
+        at = to
+
+
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs = batch.column("lang").to_pylist()
@@ -146,31 +163,39 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(hashes)), pa.array(hashes.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
 
-def fit_languages(labelled: DataFrame, fit_rows: int = 2_000, least_rate: float = 2e-5, share: float = 0.2, most_grams: int = 200_000) -> LanguageFilter:
+def fit_languages(labelled: DataFrame, fit_rows: int = 2_000, least_rate: float = 2e-5, share: float = 0.2) -> LanguageFilter:
     """From labelled (doc_id, text, lang). The sample is bounded by `fit_rows` a language, the filter by
-    `most_grams` a language (the most frequent)."""
+    1 / `least_rate` n-grams a language; the driver holds one mask of each n-gram."""
     small_batches(labelled.sparkSession)
     rows = labelled.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang is not null and text is not null and text != ''")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(65).collect()}
-    if len(sizes) > 64:
-        raise ValueError("more than 64 languages")
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes, key=lambda x: x.encode("utf-8"))
+    words = max(1, -(-len(languages) // 64))
     if not languages:
-        return LanguageFilter([], [], np.zeros(1024, np.uint64), np.zeros(0))
+        return LanguageFilter([], [], np.zeros((1024, words), np.uint64), np.zeros(0))
+
+    def by_language(values: dict[str, float | int]) -> Column:
+        return F.element_at(F.create_map(*(F.lit(v) for pair in values.items() for v in pair)), F.col("lang"))
+
     # a hash of the id under a threshold: in expectation fit_rows of each language
     unit = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(2**32))
-    limit = F.element_at(F.create_map(*(F.lit(v) for k, n in sizes.items() for v in (k, int(2**32 * min(1.0, fit_rows / n))))), F.col("lang"))
-    counted = rows.filter(unit < limit).select("text", "lang").mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    totals = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    total = F.element_at(F.create_map(*(F.lit(v) for k, n in totals.items() for v in (k, float(n)))), F.col("lang"))
-    rates = counted.withColumn("rate", F.col("n") / total).filter(F.col("rate") >= least_rate)
-    found: dict[int, dict[int, float]] = {}
-    for number, lang in enumerate(languages):
-        for r in rates.filter(F.col("lang") == lang).orderBy(F.desc("rate"), "gram").limit(most_grams).select("gram", "rate").collect():
-            found.setdefault(r["gram"], {})[number] = r["rate"]
-    hashes = np.array(list(found), np.int64).view(np.uint64)
-    masks = np.array([sum(1 << i for i, x in own.items() if x >= share * max(own.values())) for own in found.values()], np.uint64)
-    return LanguageFilter.over(languages, [sizes[x] for x in languages], hashes, masks)
+    limit = by_language({k: int(2**32 * min(1.0, fit_rows / n)) for k, n in sizes.items()})
+    counted = rows.filter(unit < limit).select("text", "lang").mapInArrow(arrow_rows(_count_grams), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = stored(counted)
+    totals = {r["lang"]: float(r["n"]) for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    rates = counted.select("gram", by_language({k: i for i, k in enumerate(languages)}).alias("number"), (F.col("n") / by_language(totals)).alias("rate")) if totals else counted.select("gram", F.lit(0).alias("number"), F.lit(0.0).alias("rate"))
+    rates = rates.filter(F.col("rate") >= least_rate).groupBy("gram").agg(F.max("rate").alias("most"), F.collect_list(F.struct("number", "rate")).alias("own"))
+    belongs = F.transform(F.filter("own", lambda x: x["rate"] >= share * F.col("most")), lambda x: x["number"])
+
+    def word(w: int) -> Column:
+        bits = F.filter(belongs, lambda x: F.floor(x / 64) == w)
+        return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x, F.lit(64)).cast("int"))))
+
+    masks = F.array(*map(word, range(words)))
+    found = rates.select("gram", masks.alias("masks")).orderBy("gram").toPandas()
+    discard(counted)
+    packed = np.array(found["masks"].tolist(), np.int64).reshape(len(found), words).view(np.uint64)
+    return LanguageFilter.over(languages, [sizes[x] for x in languages], found["gram"].to_numpy(np.int64).view(np.uint64), packed)
 
 
 def identify_languages(docs: DataFrame, model: LanguageFilter) -> DataFrame:
@@ -186,11 +211,11 @@ def identify_languages(docs: DataFrame, model: LanguageFilter) -> DataFrame:
 
     fields = [f for f in docs.schema.fields if f.name in kept]
     schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select(*kept).mapInArrow(rows, schema)
+    return docs.select(*kept).mapInArrow(arrow_rows(rows), schema)
 
 
-def keep_languages(docs: DataFrame, model: LanguageFilter, least_score: float = 0.3) -> DataFrame:
-    """The rows of `docs`, with all their columns, whose text has a language with `least_score` or more."""
+def keep_languages(docs: DataFrame, model: LanguageFilter, least_score: float = 0.15) -> DataFrame:
+    """The rows of `docs`, with all their columns, of whose n-grams a language explains `least_score` or more."""
     small_batches(docs.sparkSession)
     carried = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -199,7 +224,7 @@ def keep_languages(docs: DataFrame, model: LanguageFilter, least_score: float =
             names, scores = carried.value.predict(batch.column("text").to_pylist())
             yield batch.filter(pa.array([n != "und" and bool(s >= least_score) for n, s in zip(names, scores, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return docs.mapInArrow(arrow_rows(rows), docs.schema)
 
 
 def held_out_split(docs: DataFrame) -> tuple[DataFrame, Column]:
