@@ -10,14 +10,14 @@ only in the document with the largest id that holds it.
    perfect hash (levels of bit arrays with ranks) over one half of the hash; its slots index
    arrays of fingerprints (the other half), counts and largest ids.
 3. Documents send packed hashes to the shards, not lines. A shard that expects more than its
-   share of probes, as it holds a frequent line, is copied `replicas` times and its probes are
-   dealt over the copies. The streams are sorted so that a shard's arrays come just before its
+   share of probes, as it holds a frequent line, is copied and its probes are dealt over the copies (the driver
+   holds a number for each shard that is). The streams are sorted so that a shard's arrays come just before its
    probes: a task holds one shard at a time.
 4. The shards' answers (keys that a document loses) meet the texts again by doc_id.
 
 Defined results: a null or empty text is one empty line; rows with the same doc_id count as
-documents of their own, and all rows with the largest id keep the line; a null doc_id is
-smaller than any other. Other columns are ignored. An empty table gives no rows.
+one document when documents are counted, and all rows with the largest id keep the line; a null doc_id is an id
+that is smaller than any other. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import SPACE_BYTES, document_texts, stored
+from quillgraph.llm.common import SPACE_BYTES, arrow_rows, document_texts, stored
 
 NO_ID = -(2**63)
 KEY = np.dtype([("hi", "<i8"), ("lo", "<i8")])
@@ -186,7 +187,7 @@ def _count_rows(min_chars: int):
     return rows
 
 
-def _probe_rows(min_chars: int, n_shards: int, replicas: np.ndarray):
+def _probe_rows(min_chars: int, n_shards: int, copies: dict[int, int]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [])
@@ -202,7 +203,7 @@ def _probe_rows(min_chars: int, n_shards: int, replicas: np.ndarray):
                 deal = xxhash.xxh32_intdigest(str(doc_id).encode())
                 for s, part in zip(shard[np.concatenate([[0], cuts])].tolist(), np.split(keys, cuts), strict=True):
                     out[0].append(s)
-                    out[1].append(deal % int(replicas[s]))
+                    out[1].append(deal % copies.get(s, 1))
                     out[2].append(NO_ID if doc_id is None else doc_id)
                     out[3].append(part.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], ["shard", "replica", "doc_id", "packed"])
@@ -223,15 +224,20 @@ def _answers(min_docs: int):
         at, shard = None, None
         for batch in batches:
             ids, packed = [], []
-            for s, r, kind, doc_id, blob in zip(*(batch.column(c).to_pylist() for c in ("shard", "replica", "kind", "doc_id", "packed")), strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("shard", "replica", "kind", "doc_id", "packed")]
+            for (s, r, kind), group in groupby(zip(*columns, strict=True), key=lambda x: x[:3]):
+                probes = list(group)
                 if kind == 0:
-                    at, shard = (s, r), Shard.unpacked(blob)
-                elif at == (s, r):
-                    keys = np.frombuffer(blob, KEY)
-                    lost = shard.lost(keys, np.int64(doc_id), min_docs)
-                    if lost.any():
-                        ids.append(doc_id)
-                        packed.append(keys[lost].tobytes())
+                    at, shard = (s, r), Shard.unpacked(probes[0][4])
+                elif at == (s, r):  # the probes of all documents at once
+                    sizes = [len(x[4]) // KEY.itemsize for x in probes]
+                    keys = np.frombuffer(b"".join(x[4] for x in probes), KEY)
+                    lost = shard.lost(keys, np.repeat(np.array([x[3] for x in probes], np.int64), sizes), min_docs)
+                    starts = np.cumsum([0, *sizes])
+                    for k in np.flatnonzero(np.add.reduceat(lost, starts[:-1])).tolist():
+                        own = slice(starts[k], starts[k + 1])
+                        ids.append(probes[k][3])
+                        packed.append(keys[own][lost[own]].tobytes())
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], ["lost_id", "packed"])
 
@@ -271,7 +277,10 @@ def _no_text(rows):
 
 def repeated_keys(docs: DataFrame, min_chars: int = 40) -> DataFrame:
     """(hi, lo, n_docs, largest) of the long keys that stand in two documents or more."""
-    rows = document_texts(docs).mapInArrow(_count_rows(min_chars), "hi long, lo long, doc_id long")
+    texts = document_texts(docs)
+    rows = texts.mapInArrow(arrow_rows(_count_rows(min_chars)), "hi long, lo long, doc_id long")
+    if not texts.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        rows = rows.distinct()
     counted = rows.groupBy("hi", "lo").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("largest"))
     return counted.filter("n_docs >= 2").select("hi", "lo", "n_docs", F.coalesce("largest", F.lit(NO_ID)).alias("largest"))
 
@@ -285,20 +294,19 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, shard_k
     n_keys = keys.count()
     n_shards = max(1, math.ceil(n_keys / shard_keys))
     shard = F.pmod("hi", F.lit(n_shards)).alias("shard")
-    # one number a shard (n_shards is keys / shard_keys): its expected probes, by which it is copied
-    load = np.zeros(n_shards, np.int64)
-    for row in keys.groupBy(shard).agg(F.sum("n_docs").alias("probes")).toLocalIterator():
-        load[row["shard"]] = row["probes"]
-    replicas = np.maximum(1, -(-load // replica_probes)).astype(np.int64)
+    load = keys.groupBy(shard).agg(F.sum("n_docs").alias("probes")).filter(F.col("probes") > replica_probes)
+    copies = {r["shard"]: -(-r["probes"] // replica_probes) for r in load.collect()}
 
     blobs = keys.withColumn("shard", shard).groupBy("shard").applyInPandas(_build_shards, "shard long, blob binary")
-    copies = F.element_at(F.lit(replicas.tolist()).cast("array<long>"), (F.col("shard") + 1).cast("int"))
-    shards = blobs.select("shard", F.explode(F.sequence(F.lit(0), (copies - 1).cast("int"))).alias("replica"), F.lit(0).alias("kind"), F.lit(NO_ID).alias("doc_id"), F.col("blob").alias("packed"))
-    probes = texts.mapInArrow(_probe_rows(min_chars, n_shards, replicas), "shard long, replica int, doc_id long, packed binary")
-    met = shards.unionByName(probes.withColumn("kind", F.lit(1))).repartition("shard", "replica").sortWithinPartitions("shard", "replica", "kind")
-    answers = met.mapInArrow(_answers(min_docs), "lost_id long, packed binary").groupBy("lost_id").agg(F.collect_list("packed").alias("lost"))
+    times = F.coalesce(F.element_at(F.create_map(*(F.lit(int(v)) for pair in copies.items() for v in pair)), F.col("shard").cast("int")), F.lit(1)) if copies else F.lit(1)
+    shards = blobs.select("shard", F.explode(F.sequence(F.lit(0), times - 1)).alias("replica"), F.lit(0).alias("kind"), F.lit(NO_ID).alias("doc_id"), F.col("blob").alias("packed"))
+    probes = texts.mapInArrow(arrow_rows(_probe_rows(min_chars, n_shards, copies)), "shard long, replica int, doc_id long, packed binary")
+    # as many tasks as shards and copies, up to the number of shuffle partitions: small ones aren't merged
+    n_tasks = min(n_shards + sum(copies.values()), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    met = shards.unionByName(probes.withColumn("kind", F.lit(1))).repartition(n_tasks, "shard", "replica").sortWithinPartitions("shard", "replica", "kind")
+    answers = met.mapInArrow(arrow_rows(_answers(min_docs)), "lost_id long, packed binary").groupBy("lost_id").agg(F.collect_list("packed").alias("lost"))
     joined = texts.join(answers, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("lost_id"), "left").select("doc_id", "text", "lost")
     rows = _drop_rows(min_chars)
     if with_text:
-        return joined.mapInArrow(rows, "doc_id long, n_lines long, n_dropped long, kept_text string, kept_sha256 string")
-    return joined.mapInArrow(_no_text(rows), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+        return joined.mapInArrow(arrow_rows(rows), "doc_id long, n_lines long, n_dropped long, kept_text string, kept_sha256 string")
+    return joined.mapInArrow(arrow_rows(_no_text(rows)), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")

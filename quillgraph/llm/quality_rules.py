@@ -155,12 +155,14 @@ def lasso_logistic(z: np.ndarray, y: np.ndarray, penalty: float, steps: int = 40
 
 def fit_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, trees: int = 40, depth: int = 3, penalty: float = 1e-3) -> RuleEnsemble:
     """From documents and labels (doc_id, label); learns from all labelled rows it is given, at most
-    `fit_rows` of them."""
+    `fit_rows` of them: repeated labels count once, of documents with one id the last by text is read."""
     names = list(STATISTICS)
     sample = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("label").cast("double").alias("label")).filter("label is not null and label_id is not null")
-    sample = sample.orderBy(F.xxhash64(F.lit("quality"), "label_id"), "label").limit(fit_rows)
-    picked = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "label")
-    rows = with_statistics(picked, "label").select("label", *names).limit(4 * fit_rows).toPandas()
+    sample = sample.distinct().orderBy(F.xxhash64(F.lit("quality"), "label_id"), "label").limit(fit_rows)
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"))
+    # of documents that share an id, and so a label, one is learned from
+    picked = picked.groupBy("doc_id", "label").agg(F.max("text").alias("text"))
+    rows = with_statistics(picked, "label").select("doc_id", "label", *names).toPandas().sort_values(["doc_id", "label"])
     y = (rows["label"].to_numpy() > 0.5).astype(float) if len(rows) else np.zeros(0)
     share = (y.sum() + 1) / (len(y) + 2)
     if len(y) < 20 or y.min() == y.max():

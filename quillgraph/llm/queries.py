@@ -75,7 +75,7 @@ WITH lines AS (
 keyed AS (SELECT *, translate(trim(line, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)),
                               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
 often AS (SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40
-          GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+          GROUP BY key HAVING count(DISTINCT doc_id) + max((doc_id IS NULL)::int) >= 5),
 marked AS (SELECT k.*, o.keeper IS NOT NULL AND o.keeper <> k.doc_id AS gone FROM keyed k LEFT JOIN often o USING (key))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256

@@ -9,16 +9,16 @@ from quillgraph.llm.line_dedup import PerfectHash, Shard, dedup_lines
 def brute(rows, min_chars=40, min_docs=5):
     holders = defaultdict(set)
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
-    for number, (doc_id, text) in enumerate(rows):
+    for doc_id, text in rows:
         for line in (text or "").split("\n"):
-            holders[key(line)].add((-1 if doc_id is None else doc_id, number))
+            holders[key(line)].add(-1 if doc_id is None else doc_id)
     out = []
     for doc_id, text in rows:
         lines = (text or "").split("\n")
         kept = []
         for line in lines:
             k = key(line)
-            gone = len(k) >= min_chars and len(holders[k]) >= min_docs and max(holders[k])[0] != (-1 if doc_id is None else doc_id)
+            gone = len(k) >= min_chars and len(holders[k]) >= min_docs and max(holders[k]) != (-1 if doc_id is None else doc_id)
             if not gone:
                 kept.append(line)
         out.append((doc_id, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
@@ -45,6 +45,8 @@ def test_against_brute_force(docs_of, odd):
         rows.append((i, text + ("\n" + hot if i % 9 == 0 else "")))
     rows += [(200, "ä" * 40), (201, "ä" * 40), (202, "ä" * 40), (203, "ä" * 40), (204, "ä" * 40), (205, "ä" * 39)]
     rows += [(300, "repeated row with a line of more than forty characters")] * 6
+    shared = "a line that several rows with one number hold, long enough"
+    rows += [(i, shared) for i in (400, 400, 400, 401, 402)] + [(i, shared.replace("one", "no")) for i in (None, None, 403, 404, 405, 406)]
     for options in ({}, {"shard_keys": 3, "replica_probes": 5}):
         assert got(dedup_lines(docs_of(rows), **options)) == brute(rows)
 
