@@ -10,7 +10,10 @@ units in a row that two texts share give a common anchor. Short texts have less
 hash, none from 2 * FADE on, so that texts of similar length have anchors of the same kinds. The fingerprint lists
 the chosen k-mers' 32-bit hashes (8 hex digits each) in text order.
 
-Likeness of two fingerprints: 2 * common / (a + b) over their distinct hashes.
+Likeness of two fingerprints is positional: the anchors that both have are put in either's order of first
+appearance; `kept` is 1 plus the number of neighbours in the one order that are neighbours in the other (0 without
+common anchors); 2 * kept / (a + b) over the distinct hashes. Passages in another order thus count less than the same
+passages in place.
 
 Defined results: a null text counts as empty; a text without units has one anchor, the hash of none. Equal texts
 always have equal fingerprints. Rows with the same doc_id are ordered by a hash of their text; a null
@@ -19,6 +22,7 @@ doc_id is the last in descending order. A table of one row has itself as next do
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -82,7 +86,13 @@ def hex_of(hashes: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    return 2.0 * F.size(F.array_intersect(a, b)) / (F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)))
+    def neighbours(x: Column) -> Column:
+        after = F.slice(x, F.lit(2), F.greatest(F.size(x) - 1, F.lit(0)))
+        return F.transform(after, lambda h, i: F.get(x, i).cast("long") * F.lit(2**32) + F.pmod(h.cast("long"), F.lit(2**32)))
+
+    in_place = F.array_intersect(let(F.array_intersect(a, b), neighbours), let(F.array_intersect(b, a), neighbours))
+    kept = F.size(in_place) + F.arrays_overlap(a, b).cast("int")
+    return 2.0 * kept / (F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -107,30 +117,36 @@ def _bucket(bounds: Column, value: Column, n: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve)["lo"]
 
 
-def _numbers(values: list[float | int | None], kind: str) -> Column:
-    """A constant array, written out in one expression."""
-    return F.expr(f"array({','.join('null' if v is None else str(v) for v in values)})").cast(f"array<{kind}>")
+def _numbers(values: list[int | None]) -> Column:
+    """A constant array of whole numbers, however many: Spark reads the text once, when it plans."""
+    return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
 
 
-def with_next(rows: DataFrame, columns: list[str], bucket_rows: int = 250, most_buckets: int = 16_384) -> DataFrame:
+def with_next(rows: DataFrame, columns: list[str], bucket_rows: int = 250, most_buckets: int = 1 << 20, measured: int = 1 << 14) -> DataFrame:
     """`rows` (with doc_id and text) and next_<c> of each column: the next row in descending doc_id, and the
     first after the last. Rows are dealt by range of doc_id, in one shuffle; each range's first row is dealt a
-    second time, to the end of the range before it. What the driver holds is two numbers a range."""
+    second time, to the end of the range before it. Up to `measured` ends of ranges are quantiles, more lie evenly between
+    these. What the driver holds is two numbers a range; beyond `most_buckets` ranges they get longer, and Spark
+    sorts them on disk."""
     count = rows.count()
     n = max(1, min(most_buckets, math.ceil(count / bucket_rows)))
     bounds: list[int] = []
     if n > 1:
-        points = _numbers([i / n for i in range(1, n)], "double")
-        bounds = sorted(set(rows.agg(F.percentile_approx("doc_id", points, F.lit(4 * n)).alias("bounds")).first()["bounds"] or []))
-    bucket = _bucket(_numbers(bounds, "long"), F.col("doc_id"), len(bounds)) if bounds else F.lit(0)
+        marks = min(n, measured)
+        points = [i / marks for i in range(1, marks)]
+        bounds = sorted(set(rows.agg(F.percentile_approx("doc_id", points, 4 * marks).alias("bounds")).first()["bounds"] or []))
+        parts = math.ceil(n / marks)
+        between = {lo + (hi - lo) * i // parts for lo, hi in zip(bounds, bounds[1:], strict=False) for i in range(1, parts)}
+        bounds = sorted(between.union(bounds))
+    bucket = _bucket(_numbers(bounds), F.col("doc_id"), len(bounds)) if bounds else F.lit(0)
     heads = dict(rows.select("doc_id", bucket.alias("bucket")).groupBy("bucket").agg(F.max("doc_id")).collect())
     present = sorted(heads, reverse=True)
     before = {b: present[k - 1] for k, b in enumerate(present)}
     every = range(len(bounds) + 1)
-    head, end_of = _numbers([heads.get(b) for b in every], "long"), _numbers([before.get(b) for b in every], "int")
+    head, end_of = _numbers([heads.get(b) for b in every]), _numbers([before.get(b) for b in every])
     first = F.col("doc_id").eqNullSafe(F.get(head, F.col("bucket")))
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("tail"))
-    again = F.struct(F.get(end_of, F.col("bucket")).alias("bucket"), F.lit(1).alias("tail"))
+    again = F.struct(F.get(end_of, F.col("bucket")).cast("int").alias("bucket"), F.lit(1).alias("tail"))
     places = F.when(first, F.array(own, again)).otherwise(F.array(own))
     dealt = rows.withColumn("bucket", bucket).withColumn("place", F.explode(places)).withColumn("tie", F.xxhash64("text"))
     w = Window.partitionBy("place.bucket").orderBy("place.tail", F.col("doc_id").desc_nulls_last(), "tie")
