@@ -2,25 +2,24 @@
 
 Texts are encoded with a ready tokenizer and written, in ascending doc_id order, as segments of
 about `segment_tokens` ids. A segment is one wavelet matrix: a bit-plane for every bit of the ids
-(most significant first). Access, rank (how often an id stands before a position) and select (where
-it stands for the n-th time) need one rank or select a plane and no other file. They are of one
-segment, whose blob is decompressed whole; a plane's number of ones before every block of 512 bits is not
-stored but counted in memory at its first use. Planes and document lengths are compressed
-together with zstd into one blob.
+(most significant first), and for every plane its number of ones in each block of 512 bits. Access, rank (how often an
+id stands before a position) and select (where it stands for the n-th time) need one rank or select a plane: the
+blocks' counts and the bits of one block. `tokens_at`, `count_tokens` and `locate_token` answer over all files; a plane
+is unpacked when it is first asked for.
 
 File format (Parquet, one row a segment; part files are the shards, in doc_id order):
 partition int, segment int, first_start long (ids before it in its partition), n_tokens long,
-cut boolean (it holds a part of one longer document), blob binary = zstd of: header <i8 [n_tokens, n_planes, n_docs, zeros of each plane ...], planes
-(packed bits, each padded to 8 bytes), then for each document or part <i8 [doc_id, is_null, n_tokens,
-is_last].
+cut boolean (it holds a part of one longer document); ranks binary: <u2 ones of each block, plane by plane; planes
+array<binary>: packed bits, each padded to whole blocks; pieces binary: for each document or part
+<i8 [doc_id, is_null, n_tokens, is_last]. All binaries are zstd frames.
 
 Texts are dealt by range of doc_id before they are encoded, so ids are never shuffled. Encoding
 remembers the ids of each blank-separated word; no rule of the tokenizer reaches over white
 space, which tests check against whole-text encoding.
 
 Defined results: a null or empty text is its end id alone; a null doc_id comes first; rows with
-the same doc_id are ordered by text. A text longer than a segment spans several. An
-empty table gives an empty file set.
+the same doc_id are ordered by text. A text longer than a segment spans several; their checksums are combined, not
+their ids. An empty table gives an empty file set.
 """
 
 from __future__ import annotations
@@ -34,13 +33,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import BYTE_VALUES, PIECE, arrow_rows, cut_pieces, document_texts, running_hashes, shared_folder
 
 BLOCK = 512
-FILE_SCHEMA = "partition int, segment int, first_start long, n_tokens long, cut boolean, blob binary"
+FILE_SCHEMA = "partition int, segment int, first_start long, n_tokens long, cut boolean, ranks binary, planes array<binary>, pieces binary"
 
 
 # ------------------------------------------------------------------ wavelet matrix
@@ -50,57 +49,67 @@ class WaveletMatrix:
     """A sequence of ids as bit-planes; plane p holds bit (n_planes - 1 - p) of the ids as the planes
     before have sorted them: those with a 0 first, in order, then those with a 1."""
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int]):
-        self.n, self.planes, self.zeros = n, planes, zeros  # planes: packed bits
-        self._ranks: list[np.ndarray] = []
-
-    @classmethod
-    def over(cls, ids: np.ndarray, n_planes: int) -> WaveletMatrix:
-        planes, zeros, now = [], [], ids
+    def __init__(self, n: int, frames: list[bytes], ranks: bytes):
+        self.n, self.frames = n, frames
+        ones = np.frombuffer(_unpacked(ranks), "<u2").reshape(len(frames), -1)
+        # before[p][i]: ones of plane p before block i
+        self.before = np.concatenate([np.zeros((len(frames), 1), np.int64), np.cumsum(ones, axis=1, dtype=np.int64)], axis=1)
+        self.zeros = (n - self.before[:, -1]).tolist()
+        self._planes: dict[int, np.ndarray] = {}
+
+    @staticmethod
+    def pack(ids: np.ndarray, n_planes: int) -> tuple[list[bytes], bytes]:
+        """The planes and their ranks, compressed."""
+        frames, ranks, now = [], [], ids
         for shift in range(n_planes - 1, -1, -1):
             bits = (now & now.dtype.type(1 << shift)) != 0
-            planes.append(np.packbits(bits))
-            low = np.flatnonzero(~bits)  # gathers by place are twice as fast as by mask
-            zeros.append(len(low))
-            now = np.concatenate([now.take(low), now.take(np.flatnonzero(bits))])
-        return cls(len(ids), planes, zeros)
-
-    def bits(self, plane: int) -> np.ndarray:
-        return np.unpackbits(self.planes[plane], count=self.n).view(bool)
+            plane = np.packbits(bits)
+            plane = np.pad(plane, (0, -len(plane) % (BLOCK // 8)))
+            frames.append(_packed(plane))
+            ranks.append(np.bitwise_count(plane.view(np.uint64)).reshape(-1, BLOCK // 64).sum(axis=1, dtype="<u2"))
+            # gathers by place are twice as fast as by mask
+            now = np.concatenate([now.take(np.flatnonzero(~bits)), now.take(np.flatnonzero(bits))])
+        return frames, _packed(np.concatenate(ranks))
+
+    def plane(self, p: int) -> np.ndarray:
+        if p not in self._planes:
+            self._planes[p] = np.frombuffer(_unpacked(self.frames[p]), np.uint8)
+        return self._planes[p]
 
     def decode(self) -> np.ndarray:
         """All ids: the planes undone from the last to the first."""
-        now = np.zeros(self.n, np.uint32 if len(self.planes) > 16 else np.uint16)
-        for plane in range(len(self.planes) - 1, -1, -1):
-            bits, zeros = self.bits(plane), self.zeros[plane]
+        planes = len(self.frames)
+        now = np.zeros(self.n, np.uint32 if planes > 16 else np.uint16)
+        for p in range(planes - 1, -1, -1):
+            bits, zeros = np.unpackbits(np.frombuffer(_unpacked(self.frames[p]), np.uint8), count=self.n).view(bool), self.zeros[p]
             before = np.empty_like(now)
             before[np.flatnonzero(~bits)] = now[:zeros]
-            before[np.flatnonzero(bits)] = now[zeros:] | now.dtype.type(1 << (len(self.planes) - 1 - plane))
+            before[np.flatnonzero(bits)] = now[zeros:] | now.dtype.type(1 << (planes - 1 - p))
             now = before
         return now
 
-    def _ones(self, plane: int, at: int) -> int:
-        """Ones before position `at`: the block's count and the bits of the rest."""
-        if not self._ranks:
-            for p in self.planes:
-                ones = np.bitwise_count(np.pad(p, (0, -len(p) % (BLOCK // 8))).reshape(-1, BLOCK // 8)).sum(axis=1)
-                self._ranks.append(np.concatenate([[0], np.cumsum(ones)]))
-        block = at // BLOCK
-        rest = np.unpackbits(self.planes[plane][block * BLOCK // 8 : (at + 7) // 8])[: at - block * BLOCK]
-        return int(self._ranks[plane][block]) + int(rest.sum())
+    def _block(self, p: int, block: int) -> np.ndarray:
+        return np.unpackbits(self.plane(p)[block * BLOCK // 8 : (block + 1) * BLOCK // 8])
+
+    def _ones(self, p: int, at: int) -> int:
+        """Ones before position `at`: those of the blocks before and of the rest."""
+        block, rest = divmod(at, BLOCK)
+        return int(self.before[p, block]) + (int(self._block(p, block)[:rest].sum()) if rest else 0)
 
     def access(self, at: int) -> int:
         out = 0
-        for plane, zeros in enumerate(self.zeros):
-            ones = self._ones(plane, at)
-            bit = int(self.planes[plane][at // 8] >> (7 - at % 8)) & 1
+        for p, zeros in enumerate(self.zeros):
+            ones = self._ones(p, at)
+            bit = int(self.plane(p)[at // 8] >> (7 - at % 8)) & 1
             out, at = out << 1 | bit, zeros + ones if bit else at - ones
         return out
 
     def _range(self, token: int, start: int, end: int) -> tuple[int, int]:
-        for plane, zeros in enumerate(self.zeros):
-            bit = token >> (len(self.zeros) - 1 - plane) & 1
-            a, z = self._ones(plane, start), self._ones(plane, end)
+        for p, zeros in enumerate(self.zeros):
+            if start == end:
+                break
+            bit = token >> (len(self.zeros) - 1 - p) & 1
+            a, z = self._ones(p, start), self._ones(p, end)
             start, end = (zeros + a, zeros + z) if bit else (start - a, end - z)
         return start, end
 
@@ -111,42 +120,53 @@ class WaveletMatrix:
         a, z = self._range(token, 0, end)
         return z - a
 
-    def _find(self, plane: int, bit: int, nth: int) -> int:
+    def _find(self, p: int, bit: int, nth: int) -> int:
         """The position of the nth (from 0) `bit` in a plane: a search over blocks, then in one block."""
-        self._ones(plane, 0)
-        ranks = self._ranks[plane]
-        counts = ranks if bit else np.arange(len(ranks)) * BLOCK - ranks
+        ones = self.before[p]
+        counts = ones if bit else np.arange(len(ones)) * BLOCK - ones
         block = int(np.searchsorted(counts, nth, side="right")) - 1
-        bits = np.unpackbits(self.planes[plane][block * BLOCK // 8 : (block + 1) * BLOCK // 8])
-        return block * BLOCK + int(np.flatnonzero(bits == bit)[nth - int(counts[block])])
+        return block * BLOCK + int(np.flatnonzero(self._block(p, block) == bit)[nth - int(counts[block])])
 
     def select(self, token: int, nth: int) -> int:
         """Where `token` stands for the nth time (from 0)."""
         if not 0 <= nth < self.rank(token, self.n):
             raise IndexError(nth)
         at = self._range(token, 0, self.n)[0] + nth
-        for plane in range(len(self.zeros) - 1, -1, -1):
-            bit = token >> (len(self.zeros) - 1 - plane) & 1
-            at = self._find(plane, bit, at - self.zeros[plane] if bit else at)
+        for p in range(len(self.zeros) - 1, -1, -1):
+            bit = token >> (len(self.zeros) - 1 - p) & 1
+            at = self._find(p, bit, at - self.zeros[p] if bit else at)
         return at
 
 
-def pack_segment(ids: np.ndarray, pieces: list[tuple[int, int, int, int]], n_planes: int) -> bytes:
-    """pieces: (doc_id, is_null, n_tokens, is_last) of each document's part in the segment."""
-    matrix = WaveletMatrix.over(ids, n_planes)
-    head = np.array([len(ids), n_planes, len(pieces), *matrix.zeros], "<i8").tobytes()
-    planes = b"".join(p.tobytes() + bytes(-len(p) % 8) for p in matrix.planes)
-    return zstandard.ZstdCompressor(level=1).compress(head + planes + np.array(pieces, "<i8").tobytes())
+def _packed(values: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
+
+
+def _unpacked(frame: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(frame)
 
 
-def unpack_segment(blob: bytes) -> tuple[WaveletMatrix, np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    n, n_planes, n_docs = np.frombuffer(raw, "<i8", 3).tolist()
-    zeros, at, planes = np.frombuffer(raw, "<i8", n_planes, 24).tolist(), 24 + 8 * n_planes, []
-    for _ in range(n_planes):
-        planes.append(np.frombuffer(raw, np.uint8, (n + 7) // 8, at))
-        at += ((n + 7) // 8 + 7) // 8 * 8
-    return WaveletMatrix(n, planes, zeros), np.frombuffer(raw, "<i8", 4 * n_docs, at).reshape(-1, 4)
+def _crc_times(a: int, b: int) -> int:
+    """Product of two polynomials modulo that of CRC-32, bits in reflected order."""
+    out = 0
+    for i in range(31, -1, -1):
+        if a >> i & 1:
+            out ^= b
+        b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
+    return out
+
+
+def joined_crc(parts: list[tuple[int, int]]) -> int:
+    """The crc32 of byte strings one after another, from (crc32, length) of each."""
+    out = 0
+    for crc, length in parts:
+        shift, power = 1 << 31, 1 << 23  # x to the 0th, x to the 8th
+        while length:
+            if length & 1:
+                shift = _crc_times(shift, power)
+            power, length = _crc_times(power, power), length >> 1
+        out = _crc_times(out, shift) ^ crc
+    return out
 
 
 # ------------------------------------------------------------------ encoding
@@ -376,8 +396,10 @@ def _segments(path: str, end_id: int, n_planes: int, segment_tokens: int, batch_
 
         def flush(cut: bool = False) -> pa.RecordBatch:
             nonlocal ids, pieces, held, segment, start
-            blob = pack_segment(np.frombuffer(b"".join(ids), code.dtype), pieces, n_planes)
-            out = pa.RecordBatch.from_arrays([pa.array([partition], pa.int32()), pa.array([segment], pa.int32()), pa.array([start], pa.int64()), pa.array([held // width], pa.int64()), pa.array([cut]), pa.array([blob], pa.binary())], ["partition", "segment", "first_start", "n_tokens", "cut", "blob"])
+            planes, ranks = WaveletMatrix.pack(np.frombuffer(b"".join(ids), code.dtype), n_planes)
+            columns = {"partition": pa.array([partition], pa.int32()), "segment": pa.array([segment], pa.int32()), "first_start": pa.array([start], pa.int64()), "n_tokens": pa.array([held // width], pa.int64()), "cut": pa.array([cut])}
+            columns |= {"ranks": pa.array([ranks], pa.binary()), "planes": pa.array([planes], pa.list_(pa.binary())), "pieces": pa.array([_packed(np.array(pieces, "<i8"))], pa.binary())}
+            out = pa.RecordBatch.from_pydict(columns)
             ids, pieces, start, held, segment = [], [], start + held // width, 0, segment + 1
             return out
 
@@ -416,52 +438,109 @@ def _segments(path: str, end_id: int, n_planes: int, segment_tokens: int, batch_
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, vocabulary: int = 49_408, segment_tokens: int = 1_000_000, partitions: int | None = None) -> None:
-    """Writes the ids of all `docs`, each followed by `end_id`, below `folder`."""
+    """Writes the ids of all `docs`, each followed by `end_id`, below `folder`; as many shards as Spark has shuffle
+    partitions, or as the input has partitions (which follow its bytes), whatever is more."""
     if end_id >= vocabulary:
         raise ValueError("end_id is outside the vocabulary")
     texts = document_texts(docs)
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), texts.rdd.getNumPartitions())
     ordered = texts.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     n_planes = max(1, (vocabulary - 1).bit_length())
     ordered.mapInArrow(arrow_rows(_segments(tokenizer_path, end_id, n_planes, segment_tokens)), FILE_SCHEMA).write.option("compression", "none").parquet(folder)
 
 
+def _stored_segments(batch: pa.RecordBatch) -> Iterator[tuple[dict, WaveletMatrix]]:
+    for row in batch.to_pylist():
+        yield row, WaveletMatrix(row["n_tokens"], row["planes"], row["ranks"])
+
+
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document, or part of one that is cut."""
+    names = ["partition", "doc_id", "at", "n_tokens", "ids_crc32", "cut", "is_last"]
     for batch in batches:
-        for partition, start, blob in zip(*(batch.column(c).to_pylist() for c in ("partition", "first_start", "blob")), strict=True):
-            matrix, pieces = unpack_segment(blob)
+        for row, matrix in _stored_segments(batch):
+            pieces = np.frombuffer(_unpacked(row["pieces"]), "<i8").reshape(-1, 4)
             data = matrix.decode().astype("<u4").tobytes()
             ends = np.cumsum(pieces[:, 2])
             begins = ends - pieces[:, 2]
             crc = [zlib.crc32(data[4 * a : 4 * z]) for a, z in zip(begins.tolist(), ends.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([partition] * len(pieces), pa.int32()), pa.array([None if p[1] else int(p[0]) for p in pieces], pa.int64()), pa.array(start + begins, pa.int64()), pa.array(pieces[:, 2]), pa.array(crc, pa.int64())], ["partition", "doc_id", "at", "n_tokens", "ids_crc32"])
+            n = len(pieces)
+            ids = pa.array(pieces[:, 0], pa.int64(), mask=pieces[:, 1] != 0)
+            yield pa.RecordBatch.from_arrays([pa.array([row["partition"]] * n, pa.int32()), ids, pa.array(row["first_start"] + begins, pa.int64()), pa.array(pieces[:, 2]), pa.array(crc, pa.int64()), pa.array([row["cut"]] * n), pa.array(pieces[:, 3] != 0)], names)
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for partition, start, blob in zip(*(batch.column(c).to_pylist() for c in ("partition", "first_start", "blob")), strict=True):
-            matrix, pieces = unpack_segment(blob)
-            doc_id, is_null, n, is_last = pieces[0].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array([partition], pa.int32()), pa.array([None if is_null else doc_id], pa.int64()), pa.array([start], pa.int64()), pa.array([n], pa.int64()), pa.array([bool(is_last)]), pa.array([matrix.decode().astype("<u4").tobytes()], pa.binary())], ["partition", "doc_id", "at", "n", "is_last", "part"])
+        crc = [joined_crc([(p["ids_crc32"], 4 * p["n_tokens"]) for p in parts]) for parts in batch.column("parts").to_pylist()]
+        columns = [batch.column(c) for c in ("partition", "doc_id", "at", "n_tokens")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(crc, pa.int64())], ["partition", "doc_id", "at", "n_tokens", "ids_crc32"])
 
 
-def read_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """From the files: doc_id, start (ids before it), n_tokens (with the end id), ids_crc32."""
-    from pyspark.sql import Window
-
+def _files(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The segments, and the ids before each partition: one row a partition of the files, whose number is that of
+    the shards."""
     files = spark.read.schema(FILE_SCHEMA).parquet(folder)
-    # one row a partition of the files: their number is the shard count, not the data
     totals = files.groupBy("partition").agg(F.sum("n_tokens").alias("total"))
-    offsets = totals.select("partition", (F.sum("total").over(Window.orderBy("partition")) - F.col("total")).alias("offset"))
-    whole = files.filter("not cut").mapInArrow(arrow_rows(_documents), "partition int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    return files, totals.select("partition", (F.sum("total").over(Window.orderBy("partition")) - F.col("total")).alias("offset"))
+
+
+def read_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """From the files: doc_id, start (ids before it), n_tokens (with the end id), ids_crc32."""
+    files, offsets = _files(spark, folder)
+    found = "partition int, doc_id long, at long, n_tokens long, ids_crc32 long"
+    whole = files.filter("not cut").mapInArrow(arrow_rows(_documents), found + ", cut boolean, is_last boolean").drop("cut", "is_last")
     # a document longer than a segment: its parts, numbered by the ends of those before
-    parts = files.filter("cut").mapInArrow(arrow_rows(_parts), "partition int, doc_id long, at long, n long, is_last boolean, part binary")
+    parts = files.filter("cut").mapInArrow(arrow_rows(_documents), found + ", cut boolean, is_last boolean")
     w = Window.partitionBy("partition").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("k", F.coalesce(F.sum(F.col("is_last").cast("int")).over(w), F.lit(0)))
-    in_order = F.transform(F.array_sort(F.collect_list(F.struct("at", F.hex("part").alias("h")))), lambda x: x["h"])
-    joined = parts.groupBy("partition", "k").agg(F.min("doc_id").alias("doc_id"), F.min("at").alias("at"), F.sum("n").alias("n_tokens"), F.crc32(F.unhex(F.array_join(in_order, ""))).alias("ids_crc32"))
-    rows = whole.unionByName(joined.drop("k"))
-    return rows.join(F.broadcast(offsets), "partition").select("doc_id", (F.col("at") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
+    grouped = parts.groupBy("partition", "k").agg(F.min("doc_id").alias("doc_id"), F.min("at").alias("at"), F.sum("n_tokens").alias("total"), F.array_sort(F.collect_list(F.struct("at", "n_tokens", "ids_crc32"))).alias("parts"))
+    joined = grouped.select("partition", "doc_id", "at", F.col("total").alias("n_tokens"), "parts").mapInArrow(arrow_rows(_joined), found)
+    return whole.unionByName(joined).join(F.broadcast(offsets), "partition").select("doc_id", (F.col("at") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def _placed(spark: SparkSession, folder: str) -> DataFrame:
+    files, offsets = _files(spark, folder)
+    return files.join(F.broadcast(offsets), "partition").withColumn("start", F.col("first_start") + F.col("offset"))
+
+
+def tokens_at(spark: SparkSession, folder: str, positions: list[int]) -> DataFrame:
+    """position, token of each of the given positions that the files have; only segments that hold one are read."""
+    wanted = np.unique(np.array(positions, np.int64))
+    asked = spark.createDataFrame([(int(p),) for p in wanted], "position long")
+    segments = _placed(spark, folder).join(F.broadcast(asked), (F.col("position") >= F.col("start")) & (F.col("position") < F.col("start") + F.col("n_tokens")), "left_semi")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, matrix in _stored_segments(batch):
+                own = wanted[(wanted >= row["start"]) & (wanted < row["start"] + row["n_tokens"])]
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([matrix.access(p) for p in (own - row["start"]).tolist()], pa.int64())], ["position", "token"])
+
+    return segments.select("start", "n_tokens", "ranks", "planes").mapInArrow(arrow_rows(rows), "position long, token long")
+
+
+def count_tokens(spark: SparkSession, folder: str, tokens: list[int]) -> DataFrame:
+    """token, n: how often each of the given tokens stands in all files, by ranks alone."""
+    wanted = sorted(set(tokens))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, matrix in _stored_segments(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(wanted, pa.int64()), pa.array([matrix.rank(t, matrix.n) for t in wanted], pa.int64())], ["token", "n"])
+
+    files, _ = _files(spark, folder)
+    return files.select("n_tokens", "ranks", "planes").mapInArrow(arrow_rows(rows), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def locate_token(spark: SparkSession, folder: str, token: int) -> DataFrame:
+    """position: every place where `token` stands, by select."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, matrix in _stored_segments(batch):
+                found = [row["start"] + matrix.select(token, i) for i in range(matrix.rank(token, matrix.n))]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["position"])
+
+    return _placed(spark, folder).select("start", "n_tokens", "ranks", "planes").mapInArrow(arrow_rows(rows), "position long")
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder: str | None = None, **options) -> DataFrame:

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from quillgraph.llm.wavelet_tokens import WaveletMatrix, WordEncoder, drops_white_space, encode_documents, pack_segment, read_documents, unpack_segment
+from quillgraph.llm.wavelet_tokens import WaveletMatrix, WordEncoder, count_tokens, drops_white_space, encode_documents, joined_crc, locate_token, read_documents, tokens_at
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ENCODER, WHOLE = WordEncoder(PATH, most=64), Tokenizer.from_file(PATH)
@@ -18,7 +18,7 @@ ENCODER, WHOLE = WordEncoder(PATH, most=64), Tokenizer.from_file(PATH)
 @given(st.lists(st.integers(0, 1000), min_size=1, max_size=2000))
 def test_matrix(values):
     ids = np.array(values, np.uint16)
-    m, _ = unpack_segment(pack_segment(ids, [(1, 0, len(ids), 1)], 10))
+    m = WaveletMatrix(len(ids), *WaveletMatrix.pack(ids, 10))
     assert m.decode().tolist() == values
     for at in {0, len(ids) // 2, len(ids) - 1}:
         assert m.access(at) == values[at]
@@ -58,19 +58,30 @@ def test_other_tokenizers_encode_whole_texts():
     assert not drops_white_space(json.dumps({"normalizer": None, "pre_tokenizer": None}))
 
 
-@pytest.mark.parametrize("segment", [50, 1_000_000])
+@pytest.mark.parametrize("segment", [500, 1_000_000])
 def test_files_by_brute_force(docs_of, odd, spark, segment, tmp_path):
-    rows = [r for r in odd if r[0] != 7] + [(i, f"Document {i} <|endoftext|> it's naïve " * (i % 9)) for i in range(20, 60)]
+    rows = [*odd, (7, "a second text"), (None, None)] + [(i, f"Document {i} <|endoftext|> it's naïve " * (i % 9)) for i in range(20, 60)]
     folder = f"file://{tmp_path}/tokens"
     got = sorted(((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in encode_documents(docs_of(rows), PATH, folder=folder, segment_tokens=segment).collect()), key=lambda r: r[0])
     tokenizer = Tokenizer.from_file(PATH)
-    want, start = [], 0
+    want, start, every = [], 0, []
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
         ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
         want.append((start, doc_id, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
+        every += ids.tolist()
     assert got == want
     assert read_documents(spark, folder).count() == len(rows)
+    asked = [0, 1, len(every) // 2, len(every) - 1, len(every)]
+    assert {r.position: r.token for r in tokens_at(spark, folder, asked).collect()} == {i: every[i] for i in asked[:-1]}
+    tokens = [2, every[10], every[-2], 49_000, 10**9]
+    assert {r.token: r.n for r in count_tokens(spark, folder, tokens).collect()} == {t: every.count(t) for t in tokens}
+    assert sorted(r.position for r in locate_token(spark, folder, 2).collect()) == [i for i, t in enumerate(every) if t == 2]
+
+
+@given(st.lists(st.binary(max_size=300), max_size=6))
+def test_checksums_are_joined(parts):
+    assert joined_crc([(zlib.crc32(p), len(p)) for p in parts]) == zlib.crc32(b"".join(parts))
 
 
 def test_empty(docs_of):
