@@ -3,24 +3,27 @@
 A text is lower-cased (A-Z) and becomes a row of words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ with one blank
 between. A keyword prefilter looks for a handful of substrings in the raw text first; only texts
 that hold one are matched. Rules are regular expressions over the row of words, in order of
-priority: what a licence is called, crossed with how texts refer to it, and longer passages from the
-licences themselves. Of two overlapping detections the one with higher priority stays; of equal
-priority, the longer; a detection that lies inside a kept one is suppressed, unless it has the
-same label and then counts once. Three base phrases are counted wherever their words stand.
+priority: passages from the licences themselves, and what a licence is called in the ways that texts refer to it.
+Overlaps are resolved by priority, then length, then the rules' order: a detection that lies inside a kept one, or
+overlaps it, goes. Three base phrases are counted wherever their words stand.
 
-Defined results: a null or empty text has no words, no label and score 0. Rows are judged one by one.
+Defined results: a null or empty text has no words, no label and score 0. The score is 1 less the product of what
+the kept detections leave open (1 - confidence), and 0.85 at least where a base phrase stands. Rows are judged one by
+one.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillgraph.llm.common import document_texts
+from quillgraph.llm.common import arrow_rows, document_texts
 
 #: The base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -104,6 +107,9 @@ NAMES: list[tuple[str, list[str]]] = [
     ("json", ["json"]),
 ]
 
+#: Names that are also words or programs: only with the word licence after them, or in an SPDX line.
+COMMON = {"mit-0", "isc", "elastic", "artistic", "python", "php", "ruby", "postgresql", "openssl", "vim", "json", "zlib", "cc", "epl", "mpl", "bsd"}
+
 #: How a text refers to a licence ({} is the name): priority, confidence, expression.
 REFERENCES: list[tuple[int, float, str]] = [
     (90, 1.0, "spdx license identifier {}"),
@@ -117,23 +123,93 @@ REFERENCES: list[tuple[int, float, str]] = [
 #: Passages of the licences themselves and other marks: label, priority, confidence, expression.
 PASSAGES: list[tuple[str, int, float, str]] = [
     ("mit", 85, 0.95, "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("mit", 84, 0.9, "to deal in the software without restriction including without limitation the rights to use copy modify merge"),
+    ("mit", 83, 0.8, "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit-0", 84, 0.9, "to permit persons to whom the software is furnished to do so the software is provided as is"),
     ("isc", 85, 0.9, "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", 83, 0.7, "the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
     ("bsd", 85, 0.9, "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", 84, 0.8, "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", 84, 0.8, "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
     ("bsd-3-clause", 86, 0.9, "neither the name of .{1,80}? may be used to endorse or promote products"),
+    ("bsd-4-clause", 86, 0.9, "all advertising materials mentioning features or use of this software must display the following acknowledg(?:e)?ment"),
+    ("0bsd", 86, 0.9, "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted the software is provided as is"),
+    ("apache-2.0", 86, 0.95, "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
+    ("apache-2.0", 84, 0.85, "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache-2.0", 83, 0.8, "see the license for the specific language governing permissions and limitations under the license"),
+    ("apache-2.0", 83, 0.8, "terms and conditions for use reproduction and distribution"),
+    ("apache-1.1", 86, 0.9, "this product includes software developed by the apache software foundation"),
     ("gpl", 85, 0.95, "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl-2.0", 87, 0.95, "under the terms of the gnu general public license as published by the free software foundation(?: either)? version 2"),
+    ("gpl-3.0", 87, 0.95, "under the terms of the gnu general public license as published by the free software foundation(?: either)? version 3"),
+    ("gpl", 84, 0.8, "you should have received a copy of the gnu general public license along with this program"),
+    ("gpl", 83, 0.7, "without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license"),
     ("gpl", 40, 0.8, "gnu general public license"),
+    ("lgpl", 87, 0.95, "under the terms of the gnu (?:lesser|library) general public license as published by the free software foundation"),
+    ("lgpl", 84, 0.85, "you should have received a copy of the gnu (?:lesser|library) general public license"),
+    ("agpl", 87, 0.95, "under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("agpl", 84, 0.85, "you should have received a copy of the gnu affero general public license"),
+    ("agpl-3.0", 84, 0.8, "your modified version must prominently offer all users interacting with it remotely through a computer network"),
+    ("gfdl", 85, 0.95, "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("gfdl", 83, 0.7, "with no invariant sections no front cover texts and no back cover texts"),
+    ("mpl-2.0", 86, 0.95, "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-1.1", 86, 0.95, "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("epl", 85, 0.9, "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("cddl", 85, 0.9, "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("cpl", 85, 0.9, "made available under the terms of the common public license"),
+    ("eupl", 85, 0.9, "licensed under the eupl"),
     ("zlib", 85, 0.9, "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
+    ("zlib", 84, 0.85, "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("libpng", 84, 0.85, "the png reference library is supplied as is"),
     ("unlicense", 85, 0.95, "this is free and unencumbered software released into the public domain"),
-    ("boost", 85, 0.9, "permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
+    ("unlicense", 84, 0.85, "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("bsl-1.0", 85, 0.9, "permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
+    ("busl", 84, 0.85, "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use"),
+    ("sspl", 84, 0.85, "if you make the functionality of the program or a modified version available to third parties as a service"),
+    ("wtfpl", 85, 0.95, "you just do what the fuck you want to"),
+    ("artistic", 85, 0.9, "the intent of this document is to state the conditions under which a package may be copied"),
+    ("artistic-2.0", 84, 0.85, "this license establishes the terms under which a given free software package may be copied modified distributed"),
+    ("python", 84, 0.85, "this license agreement is between the python software foundation"),
+    ("php", 85, 0.9, "this product includes php software freely available from"),
+    ("openssl", 85, 0.9, "this product includes software developed by the openssl project"),
+    ("ncsa", 84, 0.85, "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimers"),
+    ("w3c", 84, 0.85, "by obtaining using and or copying this work you the licensee agree that you have read understood"),
+    ("ofl-1.1", 85, 0.9, "this font software is licensed under the sil open font license"),
+    ("ofl-1.1", 84, 0.8, "neither the font software nor any of its individual components in original or modified versions may be sold by itself"),
+    ("cc0", 85, 0.9, "to the extent possible under law .{1,80}? waived all copyright and related or neighboring rights"),
+    ("cc-by", 84, 0.85, "this work is licensed under a creative commons attribution(?: \\d 0)?(?: international)? license"),
+    ("cc-by-sa", 85, 0.9, "this work is licensed under a creative commons attribution share ?alike"),
+    ("cc-by-nc", 85, 0.9, "this work is licensed under a creative commons attribution non ?commercial"),
+    ("cc", 60, 0.8, "some rights reserved"),
+    ("pddl", 84, 0.85, "dedicate the work to the public domain for the benefit of the public"),
+    ("odbl", 84, 0.85, "any rights in individual contents of the database are licensed under"),
+    ("openrail", 84, 0.85, "you agree not to use the model or derivatives of the model"),
+    ("llama", 84, 0.85, "you will not use .{1,80}? to improve any other large language model"),
+    ("ms-pl", 84, 0.85, "if you use the software you accept this license if you do not accept the license do not use the software"),
+    ("json", 84, 0.9, "the software shall be used for good not evil"),
+    ("postgresql", 84, 0.85, "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("curl", 84, 0.8, "except as contained in this notice the name of a copyright holder shall not be used in advertising"),
+    ("vim", 84, 0.85, "there are no restrictions on distributing unmodified copies of vim"),
+    ("beerware", 85, 0.9, "you can do whatever you want with this stuff if we meet some day"),
+    ("hpnd", 83, 0.8, "permission to use copy modify and distribute this software and its documentation for any purpose"),
+    ("ijg", 84, 0.85, "this software is based in part on the work of the independent jpeg group"),
+    ("unicode", 84, 0.85, "to deal in the data files or software without restriction"),
+    ("tcl", 84, 0.8, "the authors hereby grant permission to use copy modify distribute and license this software"),
+    ("cecill", 84, 0.85, "ce logiciel est regi par la licence cecill"),
+    ("mulan", 84, 0.85, "you can use this software according to the terms and conditions of the mulan"),
+    ("lppl", 84, 0.85, "this work may be distributed and or modified under the conditions of the latex project public license"),
     ("public-domain", 60, 0.8, "(?:dedicated to|released (?:in)?to|placed in|in) the public domain"),
-    ("proprietary", 60, 0.8, "(?:proprietary and confidential|unauthorized (?:copying|use|distribution) of this (?:file|software|document|work))"),
+    ("proprietary", 60, 0.8, "(?:proprietary and confidential|unauthorized (?:copying|use|distribution|reproduction) of this (?:file|software|document|work))"),
+    ("proprietary", 60, 0.7, "no part of this (?:publication|document|work|software) may be reproduced"),
+    ("proprietary", 60, 0.7, "you may not (?:copy|redistribute|reverse engineer|decompile) (?:this|the) (?:software|program|work)"),
+    ("non-commercial", 60, 0.7, "(?:for|licensed for) non ?commercial use only"),
     ("all-rights-reserved", 50, 0.6, "all rights reserved"),
     ("gpl", 30, 0.6, "copyleft"),
     ("unknown", 10, 0.5, "(?:(?:re)?licen[cs]ed under|licen[cs]e agreement|terms of (?:this|the) licen[cs]e|see (?:the )?licen[cs]e)"),
 ]
 
-#: Substrings of the lower-cased bytes; every rule and base phrase has a word with one of them.
-KEYWORDS = re.compile(rb"licen[cs]e|under|domain|permission|redistribution|warranty|reserved|copyleft|proprietary|unauthorized|neither")
+#: Parts of single words; every rule and base phrase has a word with one of them.
+KEYWORDS = tuple(b"licens licenc under domain permi distribut warrant reserved copyleft proprietary unauthori neither software copi copy reproduc rights materials commercial invariant stuff misrepresented restriction modified derivatives improve fuck library acknowledg receive package agree waived interacting includes grant libre logiciel product".split())
 
 
 @dataclass(frozen=True)
@@ -147,7 +223,14 @@ class Rule:
 
 def build_rules() -> list[Rule]:
     """One rule for each name and reference, and the passages; over the row of words."""
-    specs = [(label, priority, sure, reference.format(f"(?:{name})")) for label, names in NAMES for name in names for priority, sure, reference in REFERENCES]
+    specs = []
+    for label, names in NAMES:
+        for name in names:
+            for priority, sure, reference in REFERENCES:
+                if label in COMMON and priority == 50:
+                    continue
+                body = reference.replace("(?: licen[cs]e)?", " licen[cs]e") if label in COMMON else reference
+                specs.append((label, priority, sure, body.format(f"(?:{name})")))
     specs += PASSAGES
     order = {label: i for i, (label, _) in enumerate(NAMES)}
     return [Rule(label, priority, sure, re.compile(rb"(?<![^ ])(?:" + body.encode() + rb")(?![^ ])"), order.get(label, len(order)) * 100_000 + i) for i, (label, priority, sure, body) in enumerate(specs)]
@@ -186,18 +269,21 @@ class Scanner:
     def resolve(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
         """By priority, then length, then the rules' order: a detection that a kept one contains or
         overlaps goes."""
-        kept: list[tuple[int, int, Rule]] = []
+        starts: list[int] = []
+        kept: list[tuple[int, int, Rule]] = []  # apart from each other, by start
         for start, end, rule in sorted(found, key=lambda x: (-x[2].priority, x[0] - x[1], x[2].order, x[0])):
-            if all(end <= a or start >= z for a, z, _ in kept):
-                kept.append((start, end, rule))
-        return sorted(kept, key=lambda x: x[:2])
+            at = bisect.bisect_left(starts, start)
+            if (at == 0 or kept[at - 1][1] <= start) and (at == len(kept) or end <= kept[at][0]):
+                starts.insert(at, start)
+                kept.insert(at, (start, end, rule))
+        return kept
 
-    def scan(self, text: bytes) -> dict:
+    def scan(self, text: bytes, with_spans: bool = True) -> dict:
         low = text.lower()
         words = low.translate(_BLANKS).split()
         n_words = len(words)
         none = {"n_words": n_words, "n_base": 0, "first_word": None, "last_word": None, "base_labels": "", "labels": "", "score": 0.0, "spans": []}
-        if not KEYWORDS.search(low):
+        if not any(map(low.__contains__, KEYWORDS)):
             return none
         row = b" ".join(words)
         places = [(m.start(), label) for pattern, label in self.base for m in pattern.finditer(row)]
@@ -205,7 +291,8 @@ class Scanner:
         if not places and not kept:
             return none
         base = {label for _, label in places}
-        word = lambda at: row.count(b" ", 0, at)
+        blanks = np.flatnonzero(np.frombuffer(row, np.uint8) == 32)
+        word = lambda at: int(np.searchsorted(blanks, at))
         starts = [at for at, _ in places]
         miss = 1.0
         for _, _, rule in kept:
@@ -219,7 +306,7 @@ class Scanner:
             "base_labels": ",".join(sorted(base)),
             "labels": ",".join(sorted(base | {rule.label for _, _, rule in kept})),
             "score": score,
-            "spans": [(word(a), word(z - 1) + 1, rule.label) for a, z, rule in kept],
+            "spans": [(word(a), word(z - 1) + 1, rule.label) for a, z, rule in kept] if with_spans else [],
         }
 
 
@@ -234,7 +321,7 @@ def _rows(with_spans: bool):
         if not _scanner:
             _scanner.append(Scanner())
         for batch in batches:
-            found = [_scanner[0].scan(t.as_py() or b"") for t in batch.column("text").cast(pa.binary())]
+            found = [_scanner[0].scan(t.as_py() or b"", with_spans) for t in batch.column("text").cast(pa.binary())]
             columns = [batch.column("doc_id"), *(pa.array([x[c] for x in found], t) for c, t in zip(names[1:], types[1:], strict=True))]
             if with_spans:
                 kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64()), ("label", pa.string())]))
@@ -248,4 +335,4 @@ def scan_licenses(docs: DataFrame, with_spans: bool = True) -> DataFrame:
     """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and, if
     asked for, spans (first word, word after the last, label) of the kept detections."""
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double" + ", spans array<struct<first: long, end: long, label: string>>" * with_spans
-    return document_texts(docs).mapInArrow(_rows(with_spans), schema)
+    return document_texts(docs).mapInArrow(arrow_rows(_rows(with_spans)), schema)
