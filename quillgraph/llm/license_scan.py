@@ -19,6 +19,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -219,6 +220,17 @@ class Rule:
     confidence: float
     pattern: re.Pattern
     order: int
+    literal: str | None = None  # a row without it has no match
+
+
+def required(body: str) -> str | None:
+    """The longest run of letters and digits that every match of an expression has, if it has three or more."""
+    before = None
+    while before != body:
+        before, body = body, re.sub(r"\((?:\?:)?[^()]*\)[?*+]?", " ", body)
+    body = re.sub(r"\\\w[*+?]?|\.\{[^}]*\}\??|\[[^\]]*\][?*+]?|.\?", " ", body)
+    found = max(re.findall("[a-z0-9]+", body), key=len, default="")
+    return found if len(found) >= 3 else None
 
 
 def build_rules() -> list[Rule]:
@@ -230,40 +242,31 @@ def build_rules() -> list[Rule]:
                 if label in COMMON and priority == 50:
                     continue
                 body = reference.replace("(?: licen[cs]e)?", " licen[cs]e") if label in COMMON else reference
-                specs.append((label, priority, sure, body.format(f"(?:{name})")))
-    specs += PASSAGES
+                specs.append((label, priority, sure, body.format(f"(?:{name})"), required(name)))
+    specs += [(*x, required(x[3])) for x in PASSAGES]
     order = {label: i for i, (label, _) in enumerate(NAMES)}
-    return [Rule(label, priority, sure, re.compile(rb"(?<![^ ])(?:" + body.encode() + rb")(?![^ ])"), order.get(label, len(order)) * 100_000 + i) for i, (label, priority, sure, body) in enumerate(specs)]
+    return [Rule(label, priority, sure, re.compile(rb"(?<![^ ])(?:" + body.encode() + rb")(?![^ ])"), order.get(label, len(order)) * 100_000 + i, literal) for i, (label, priority, sure, body, literal) in enumerate(specs)]
 
 
 class Scanner:
     def __init__(self, rules: list[Rule] | None = None):
         self.rules = build_rules() if rules is None else rules
         self.base = [(re.compile(rb"(?<![^ ])" + p.encode() + rb"(?![^ ])"), label) for p, label in BASE.items()]
-        # rules whose licence's name the row lacks needn't be tried
-        self.heads = [self._head(r) for r in self.rules]
+        self.keywords = self._automaton({k.decode() for k in KEYWORDS})
+        self.literals = self._automaton({r.literal for r in self.rules if r.literal})
 
     @staticmethod
-    def _head(rule: Rule) -> re.Pattern | None:
-        """What the rule names, alone: a cheap test before the whole expression."""
-        body = rule.pattern.pattern.removeprefix(rb"(?<![^ ])(?:").removesuffix(rb")(?![^ ])")
-        for _, names in NAMES:
-            for name in names:
-                if (part := f"(?:{name})".encode()) in body and rule.label:
-                    return re.compile(part)
-        return None
+    def _automaton(words: set[str]) -> ahocorasick.Automaton:
+        out = ahocorasick.Automaton()
+        for word in words or {"\0"}:
+            out.add_word(word, word)
+        out.make_automaton()
+        return out
 
     def detections(self, row: bytes) -> list[tuple[int, int, Rule]]:
         """(start, end, rule) of every rule's matches in a row of words, before suppression."""
-        out, present = [], {}
-        for rule, head in zip(self.rules, self.heads, strict=True):
-            if head is not None:
-                if head not in present:
-                    present[head] = bool(head.search(row))
-                if not present[head]:
-                    continue
-            out += [(m.start(), m.end(), rule) for m in rule.pattern.finditer(row)]
-        return out
+        present = {None, *(word for _, word in self.literals.iter(row.decode("latin-1")))}
+        return [(m.start(), m.end(), rule) for rule in self.rules if rule.literal in present for m in rule.pattern.finditer(row)]
 
     @staticmethod
     def resolve(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
@@ -283,7 +286,7 @@ class Scanner:
         words = low.translate(_BLANKS).split()
         n_words = len(words)
         none = {"n_words": n_words, "n_base": 0, "first_word": None, "last_word": None, "base_labels": "", "labels": "", "score": 0.0, "spans": []}
-        if not any(map(low.__contains__, KEYWORDS)):
+        if next(self.keywords.iter(low.decode("latin-1")), None) is None:
             return none
         row = b" ".join(words)
         places = [(m.start(), label) for pattern, label in self.base for m in pattern.finditer(row)]
