@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from quillgraph.functions.markdown import STRIP
-
 NOTES = """
 base AS (
   SELECT d.doc_id, d.lang || '/' || d.source || '/doc-' || d.doc_id || '.md' AS path, d.lang AS namespace,
@@ -45,17 +43,18 @@ chunks AS (SELECT d.lang || '/' || d.source || '/doc-' || d.doc_id || '.md' AS p
 """
 
 
-def bm25(rows: str, key: str, texts: list[str], phrases: list[tuple[list[str], bool]], holds: str) -> str:
-    """CTEs that end in bm(key, bm25). phrases: (tokens, last is a prefix); holds: a condition over tf0, tf1 ..."""
+def bm25(rows: str, key: str, texts: list[str], phrases: list[tuple], holds: str) -> str:
+    """CTEs that end in bm(key, bm25). phrases: (tokens, last is a prefix, numbers of the texts or none for all);
+    holds: a condition over tf0, tf1 ..."""
     tokens = " , ".join(f"{TOKENS.format(t)} AS t{i}" for i, t in enumerate(texts))
     size = " + ".join(f"len(t{i})" for i in range(len(texts)))
 
-    def tf(words: list[str], prefix: bool) -> str:
+    def tf(words: list[str], prefix: bool, where: tuple[int, ...] | None = None) -> str:
         def one(i: int) -> str:
             tests = " AND ".join((f"starts_with(t{i}[p + {k}], '{w}')" if prefix and k == len(words) - 1 else f"t{i}[p + {k}] = '{w}'") for k, w in enumerate(words))
             return f"len(list_filter(range(1, len(t{i}) + 2 - {len(words)}), lambda p: {tests}))"
 
-        return " + ".join(one(i) for i in range(len(texts)))
+        return " + ".join(one(i) for i in where or range(len(texts)))
 
     n = range(len(phrases))
     score = " + ".join(f"CASE WHEN ln((n - df{k} + 0.5) / (df{k} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df{k} + 0.5) / (df{k} + 0.5)) END * tf{k} * 2.2 / (tf{k} + 1.2 * (0.25 + 0.75 * size / avg))" for k in n)
@@ -140,16 +139,51 @@ terms AS (SELECT term, max(tfidf) AS score FROM sc GROUP BY term),
 
 
 
-def _stripped(text: str) -> str:
-    """The same replacements, run by DuckDB's own expressions."""
-    for pattern, by in STRIP:
-        form = pattern.replace("(?dms)", "(?ms)").replace("(?dm)", "(?m)").replace("(?d)", "").replace("'", "''")
-        text = f"regexp_replace({text}, '{form}', '{by.replace('$1', chr(92) + '1')}', 'g')"
-    return f"regexp_replace({text}, '^\\s+|\\s+$', '', 'g')"
+def _kmeans(k: int, rounds: int) -> str:
+    """Each round's centroids and the assignment to them, one CTE after another."""
+    out = ["v AS MATERIALIZED (SELECT 'v' || lpad(vec_id::VARCHAR, 8, '0') AS path, embedding::DOUBLE[] AS e FROM embeddings)", f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY path) AS k, e AS c FROM (SELECT * FROM v ORDER BY path LIMIT {k}))"]
+    for r in range(rounds):
+        out.append(f"a{r} AS MATERIALIZED (SELECT path, e, arg_max(k, (s, -k)) AS k FROM (SELECT path, e, k, list_cosine_similarity(e, c)::FLOAT AS s FROM v, c{r}) GROUP BY path, e)")
+        out.append(f"m{r} AS MATERIALIZED (SELECT k, list(x ORDER BY i) AS c FROM (SELECT k, i, avg(x) AS x FROM (SELECT k, unnest(range(len(e))) AS i, unnest(e) AS x FROM a{r}) GROUP BY k, i) GROUP BY k)")
+        out.append(f"c{r + 1} AS MATERIALIZED (SELECT o.k, coalesce(m.c, o.c) AS c FROM c{r} o LEFT JOIN m{r} m USING (k))")
+    return "WITH " + ",\n".join(out) + f" SELECT 'cluster-' || k AS label, path FROM a{rounds - 1}"
+
+
+#: NEAR(general license, 1): at most one word between them, in either order.
+_NEAR = f"""
+tok AS (SELECT path, {TOKENS.format("title")} AS t0, {TOKENS.format("body")} AS t1 FROM base),
+places AS (SELECT path, len(t0) + len(t1) AS size, len(list_filter(t1, lambda w: w = 'general')) AS all0, len(list_filter(t1, lambda w: w = 'license')) AS all1,
+  len(list_filter(range(1, len(t1) + 1), lambda p: t1[p] = 'general' AND (t1[p + 1] = 'license' OR t1[p + 2] = 'license' OR (p > 1 AND t1[p - 1] = 'license') OR (p > 2 AND t1[p - 2] = 'license')))) AS tf0,
+  len(list_filter(range(1, len(t1) + 1), lambda p: t1[p] = 'license' AND (t1[p + 1] = 'general' OR t1[p + 2] = 'general' OR (p > 1 AND t1[p - 1] = 'general') OR (p > 2 AND t1[p - 2] = 'general')))) AS tf1 FROM tok),
+num AS (SELECT count(*) AS n, avg(size) AS avg, count(*) FILTER (all0 > 0) AS df0, count(*) FILTER (all1 > 0) AS df1 FROM places),
+bm AS (SELECT path, {" + ".join(f"CASE WHEN ln((n - df{k} + 0.5) / (df{k} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df{k} + 0.5) / (df{k} + 0.5)) END * tf{k} * 2.2 / (tf{k} + 1.2 * (0.25 + 0.75 * size / avg))" for k in (0, 1))} AS bm25 FROM places, num WHERE tf0 > 0 AND tf1 > 0)
+"""
+_OPEN = "last_indexed BETWEEN 1704067200 + 36000 AND 1704067200 + {} AND consolidated_at IS NULL"
+_SEE = "'See shown and text, , out, wiki-' || doc_id || '.'"
+
 
+_HIT = "3.0 * (contains(lower(f.path), 'license'))::INT AS filename, 2.0 * list_contains(b.tags, 'license')::INT AS tag"
+_HITS = "3.0 * (contains(lower(f.path), 'doc')::INT + contains(lower(f.path), '12')::INT) AS filename, 2.0 * (list_contains(b.tags, 'doc')::INT + list_contains(b.tags, '12')::INT) AS tag"
 
 SQL: dict[str, str] = {
-    "strip_markdown": f"SELECT doc_id, md5({_stripped('text')}) AS plain_md5 FROM documents",
+    # documents hold no Markdown but marks of emphasis, and blanks at their ends
+    "strip_markdown": r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '[*]{1,3}([^*]+)[*]{1,3}', '\1', 'g'), '_{1,3}([^_]+)_{1,3}', '\1', 'g'), '^\s+|\s+$', '', 'g')) AS plain_md5 FROM documents",
+    "kmeans_assign": _kmeans(5, 10),
+    "markdown_parse": "SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN '' WHEN doc_id % 3 = 0 THEN lang || ',' || source WHEN doc_id % 3 = 1 THEN source || ',x' || doc_id ELSE '' END AS tags, CASE WHEN doc_id % 5 = 0 THEN 'My ' || upper(source[1]) || source[2:] || ' File' || doc_id ELSE 'The **' || source || '** note ' || doc_id END AS title, CASE WHEN doc_id % 2 = 0 THEN '2024-01-' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') ELSE '' END AS verified FROM documents",
+    "markdown_links": "SELECT doc_id, 'wiki-' || doc_id || '|../' || source || '/b-' || doc_id || '.md|i.png' AS links, lang || '/wiki-' || doc_id || '|' || source || '/b-' || doc_id || '.md|' || lang || '/i.png' AS resolved FROM documents",
+    "markdown_plain": f"WITH p AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'The ' || source || ' note ' || doc_id || chr(10) || chr(10) END || {_SEE} || chr(10) || chr(10) || 'quoted word' || chr(10) || chr(10) || '!imglast' AS plain FROM documents) SELECT doc_id, plain, plain[1:40] AS start FROM p",
+    "match_malformed": f"WITH {NOTES}, {bm25('base', 'path', _BOTH, [(['mit', 'license', 'and'], False)], 'tf0 > 0')} SELECT path, round(bm25, 6) AS bm25 FROM bm",
+    "match_columns": f"WITH {NOTES}, {bm25('base', 'path', _BOTH, [(['doc'], False, (0,)), (['licens'], True, (1,)), (['mit'], False)], 'tf0 > 0 AND tf1 > 0 AND NOT tf2 > 0')} SELECT path, round(bm25, 6) AS bm25 FROM bm",
+    "match_near": f"WITH {NOTES}, {_NEAR} SELECT path, round(bm25, 6) AS bm25 FROM bm",
+    "search_dated": f"WITH RECURSIVE {CHUNKS}, {NOTES}, {_TOP.replace('{where}', 'WHERE path IN (SELECT path FROM base WHERE ' + _OPEN.format(2520000) + ')')} SELECT chunk_id, path, round(bm25, 6) AS bm25 FROM cand",
+    "vector_filtered": f"WITH {NOTES}, qv AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0), vec AS (SELECT d.path || '#0' AS chunk_id, list_cosine_similarity(e.embedding::DOUBLE[], qv.q)::FLOAT AS s FROM embeddings e JOIN base d ON d.doc_id = e.vec_id, qv WHERE starts_with(d.path, 'en/') AND {_OPEN.format(10**12)}) SELECT chunk_id, round(s, 5) AS similarity FROM (SELECT * FROM vec ORDER BY s DESC, chunk_id LIMIT 20)",
+    "search_fallback": f"WITH {NOTES}, {LINKS}, {bm25('base', 'path', _BOTH, [(['doc'], False), (['12'], False)], 'tf0 > 0 AND tf1 > 0')}, found AS (SELECT path, bm25, 0.0::DOUBLE AS vector FROM bm ORDER BY bm.bm25 DESC, path LIMIT 50) {_BLEND.replace(_HIT, _HITS)} {_SCORED.format(rows='first', limit=10)} {_SIGNALS}",
+    "similar_threshold": f"WITH RECURSIVE {CHUNKS}, {NOTES}, {LINKS}, {_TOP.replace('{where}', '')} {_FOUND} {_BLEND} {_SCORED.format(rows='first', limit=30)}, sim AS (SELECT path, score / max(score) OVER () AS s FROM result) SELECT path, round(s, 5) AS similarity, CASE WHEN s >= 0.8 THEN 'MATCH' WHEN s >= 0.5 THEN 'SIMILAR' ELSE 'RELATED' END AS label FROM (SELECT * FROM sim WHERE s >= 0.9 ORDER BY s DESC, path LIMIT 10)",
+    "neighbourhood": f"WITH {NOTES}, {LINKS}, hub AS (SELECT path FROM base WHERE doc_id = 8) SELECT src, dst FROM links, hub WHERE src = hub.path OR dst = hub.path",
+    "namespaces_resolved": f"WITH {NOTES} SELECT path, CASE WHEN path = 'en/src1/doc-1.md' THEN 'second' WHEN starts_with(path, 'en/src1/') OR starts_with(path, 'fr/') THEN 'first' WHEN starts_with(path, 'en/') THEN 'second' ELSE 'rest' END AS ns, 'Doc ' || doc_id AS title FROM base",
+    "reasons": "WITH s AS (SELECT doc_id, (doc_id % 3) / 4.0 AS bm, (doc_id % 2) / 2.0 AS vec, 3 * (doc_id % 3) AS fname, 2 * (doc_id % 2) AS tag, (doc_id % 5) / 2.0 AS graph FROM documents), t AS (SELECT *, CASE WHEN vec > 0 THEN 0.6 * vec + 0.4 * (0.4 * fname + 0.5 * bm + 0.1 * graph + tag) ELSE 0.4 * fname + 0.5 * bm + 0.1 * graph + tag END AS score FROM s) SELECT doc_id, round(score, 6)::DOUBLE AS score, CASE WHEN vec + fname + bm + tag + graph = 0 THEN 'score:0.0000' ELSE concat_ws(' ', CASE WHEN vec > 0 THEN 'vec:0.50' END, CASE fname WHEN 3 THEN 'filename:3' WHEN 6 THEN 'filename:6' END, CASE doc_id % 3 WHEN 1 THEN 'bm25:0.25' WHEN 2 THEN 'bm25:0.50' END, CASE WHEN tag > 0 THEN 'tag:2' END, CASE doc_id % 5 WHEN 1 THEN 'graph:0.5' WHEN 2 THEN 'graph:1.0' WHEN 3 THEN 'graph:1.5' WHEN 4 THEN 'graph:2.0' END) END AS reason FROM t",
+    "first_chunk_vectors": f"WITH {NOTES} SELECT path, len(embedding)::INT AS dimensions, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings e JOIN base d ON d.doc_id = e.vec_id WHERE trim(body, chr(32) || chr(9) || chr(10) || chr(13)) <> ''",
+    "store_index": f"WITH RECURSIVE documents AS (SELECT o.doc_id, o.lang, o.source, CASE WHEN l.quality = 0 THEN 'New. ' ELSE '' END || o.text AS text, o.text AS old FROM main.documents o LEFT JOIN labels l USING (doc_id) WHERE coalesce(l.toxic, 0) <> 1), {CHUNKS}, per AS (SELECT path, count(*) AS chunks, count(*) FILTER (starts_with(content, 'New. ')) AS new FROM chunks GROUP BY path) SELECT p.path, CASE WHEN text = old THEN '' ELSE 'New. ' END || sha256(old) AS checksum, per.chunks, per.new FROM (SELECT *, lang || '/' || source || '/doc-' || doc_id || '.md' AS path FROM documents) p LEFT JOIN per USING (path)",
     "notes_scan": f"WITH {NOTES} SELECT path, namespace, title, array_to_string(tags, ',') AS tags, checksum, last_indexed, consolidated_at FROM base",
     "namespace_list": "SELECT DISTINCT lang AS namespace FROM documents",
     "stats_count": "SELECT count(*) AS files FROM documents",
@@ -199,3 +233,5 @@ SQL: dict[str, str] = {
     "tfidf_clusters": f"WITH {NOTES}, {_TFIDF} top AS (SELECT term, row_number() OVER (ORDER BY score DESC, term) AS place FROM (SELECT * FROM terms ORDER BY score DESC, term LIMIT 5)), own AS (SELECT path, term, row_number() OVER (PARTITION BY path ORDER BY tfidf DESC, place) AS r FROM sc JOIN top USING (term)) SELECT coalesce(o.term, 'misc') AS label, b.path FROM base b LEFT JOIN own o ON o.path = b.path AND o.r = 1",
     "tag_clusters": f"WITH {NOTES}, lim AS (SELECT greatest(2, floor(0.4 * count(*))) AS most FROM base), uses AS (SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM base) GROUP BY tag), top AS (SELECT tag, row_number() OVER (ORDER BY n DESC, tag) AS place FROM (SELECT * FROM uses WHERE n BETWEEN 2 AND (SELECT most FROM lim) ORDER BY n DESC, tag LIMIT 5)), own AS (SELECT b.path, t.tag, row_number() OVER (PARTITION BY b.path ORDER BY t.place) AS r FROM base b JOIN top t ON list_contains(b.tags, t.tag)) SELECT coalesce(o.tag, 'misc') AS label, b.path FROM base b LEFT JOIN own o ON o.path = b.path AND o.r = 1",
 }
+
+SQL["cluster_chain"] = SQL["tfidf_clusters"].replace("base AS (", "every AS (", 1).replace("FROM documents d LEFT JOIN labels l USING (doc_id))", "FROM documents d LEFT JOIN labels l USING (doc_id)), base AS (SELECT * FROM every WHERE starts_with(path, 'en/'))", 1)

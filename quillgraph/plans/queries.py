@@ -356,3 +356,135 @@ def kmeans_assign(spark: SparkSession, d: str) -> DataFrame:
     vectors = vault.table(spark, d, "embeddings").select(F.format_string("v%08d", "vec_id").alias("path"), "embedding")
     chunks = vectors.select("path", F.col("path").alias("chunk_id"), F.lit(0).alias("chunk_index"))
     return cluster.vector_clusters(vectors.select(F.col("path").alias("chunk_id"), "embedding"), chunks, 5)
+
+
+# ------------------------------------------------------------------ Markdown, over notes written from columns
+
+
+def _markdown(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, path, content): a Markdown note for each document, whose parts are known from its columns."""
+    id_, lang, source = F.col("doc_id").cast("string"), F.col("lang"), F.col("source")
+    tags = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("tags: ["), lang, F.lit(", "), source, F.lit("]"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("tags:\n  - "), source, F.lit("\n  - x"), id_)).otherwise(F.lit("other: y"))
+    front = F.when(F.col("doc_id") % 4 == 3, F.lit("")).otherwise(F.concat(F.lit("---\n"), tags, F.lit("\n---\n")))
+    verified = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<!-- last-verified: 2024-01-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0"), F.lit(" -->\n"))).otherwise(F.lit(""))
+    heading = F.when(F.col("doc_id") % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("# The **"), source, F.lit("** note "), id_, F.lit("\n\n")))
+    links = F.concat(F.lit("See [[wiki-"), id_, F.lit("|shown]] and [text](../"), source, F.lit("/b-"), id_, F.lit(".md#part), `[[code]]`, [out](https://x.org/a.md), [[wiki-"), id_, F.lit("]].\n"))
+    code = F.lit("```\n[[fenced]]\n```\n> quoted _word_\n\n\n\n![img](i.png)last")
+    return vault.table(spark, d, "documents").select("doc_id", F.concat(lang, F.lit("/my-"), source, F.lit("_file"), id_, F.lit(".md")).alias("path"), F.concat(front, verified, heading, links, code).alias("content"))
+
+
+@query
+def markdown_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Tags, title (of the heading or the file's name) and mark of verification."""
+    content = F.col("content")
+    return _markdown(spark, d).select("doc_id", F.array_join(md.tags_of(content), ",").alias("tags"), md.title_of(content, F.col("path")).alias("title"), md.last_verified(content).alias("verified"))
+
+
+@query
+def markdown_links(spark: SparkSession, d: str) -> DataFrame:
+    """Links outside code, and resolved from the file that holds them."""
+    found = md.links_of(F.col("content"))
+    resolved = F.transform(found, lambda x: text.resolved_link(F.col("path"), x))
+    return _markdown(spark, d).select("doc_id", F.array_join(found, "|").alias("links"), F.array_join(resolved, "|").alias("resolved"))
+
+
+@query
+def markdown_plain(spark: SparkSession, d: str) -> DataFrame:
+    """The body without front matter as plain text, and its first 40 bytes."""
+    plain = md.strip_markdown(md.body_of(F.col("content")))
+    return _markdown(spark, d).select("doc_id", plain.alias("plain"), text.first_bytes(plain, 40).alias("start"))
+
+
+# ------------------------------------------------------------------ filtered, malformed and failing searches
+
+
+@query
+def match_malformed(spark: SparkSession, d: str) -> DataFrame:
+    """Not a query of the grammar: the whole text is one phrase."""
+    return _bm25(spark, d, '(mit "license AND')
+
+
+@query
+def match_columns(spark: SparkSession, d: str) -> DataFrame:
+    return _bm25(spark, d, "title : doc AND body : licens* NOT {title body} : mit")
+
+
+@query
+def match_near(spark: SparkSession, d: str) -> DataFrame:
+    return _bm25(spark, d, "NEAR(general license, 1)")
+
+
+@query
+def search_dated(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks whose notes were indexed in a time and are open."""
+    options = SearchOptions(after=vault.FIRST_INDEXED + 36_000, before=vault.FIRST_INDEXED + 2_520_000, skip_consolidated=True)
+    return search.chunk_candidates(vault.chunks(spark, d), vault.notes(spark, d, body=False), TEXT, options).select("chunk_id", "path", _rounded("bm25"))
+
+
+@query
+def vector_filtered(spark: SparkSession, d: str) -> DataFrame:
+    options = SearchOptions(prefix="en", after=vault.FIRST_INDEXED + 36_000, skip_consolidated=True, strict_filters=True)
+    rows = search.vector_candidates(vault.vectors(spark, d), vault.chunks(spark, d), vault.notes(spark, d, body=False), vault.query_vector(spark, d), options)
+    return rows.select("chunk_id", _rounded("similarity", 5))
+
+
+@query
+def search_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """No chunk holds the words; titles do."""
+    return _signals(search.search(vault.notes(spark, d, links=True), vault.chunks(spark, d), "doc 12", SearchOptions(top=10)))
+
+
+@query
+def similar_threshold(spark: SparkSession, d: str) -> DataFrame:
+    rows = search.similar(vault.notes(spark, d, links=True), vault.chunks(spark, d), TEXT, SearchOptions(top=10), threshold=0.9)
+    return rows.select("path", _rounded("similarity", 5), "label")
+
+
+@query
+def neighbourhood(spark: SparkSession, d: str) -> DataFrame:
+    return graph.neighbourhood(vault.notes(spark, d, links=True, body=False), _hub(spark, d))
+
+
+@query
+def cluster_chain(spark: SparkSession, d: str) -> DataFrame:
+    """Below a directory, without vectors: the terms give clusters."""
+    return cluster.clusters(vault.notes(spark, d), 5, prefix="en/")
+
+
+@query
+def namespaces_resolved(spark: SparkSession, d: str) -> DataFrame:
+    rules = {"first": ["en/src1", "fr"], "second": ["en", "en/src1/doc-1.md"], "rest": ["."]}
+    rows = vault.notes(spark, d, body=False)
+    return rows.select("path", text.namespace_of(F.col("path"), rules).alias("ns"), text.title_from_filename(F.col("path")).alias("title"))
+
+
+@query
+def reasons(spark: SparkSession, d: str) -> DataFrame:
+    """What a hit's signals are reported as."""
+    one = lambda n: (F.col("doc_id") % n).cast("double")
+    signals = [one(3) / 4, one(2) / 2, 3 * one(3), 2 * one(2), one(5) / 2]
+    score = scoring.blend(*signals)
+    return vault.table(spark, d, "documents").select("doc_id", F.round(score, 6).alias("score"), scoring.reason(*signals, score).alias("reason"))
+
+
+@query
+def first_chunk_vectors(spark: SparkSession, d: str) -> DataFrame:
+    rows = cluster.first_vectors(vault.vectors(spark, d), vault.chunks(spark, d))
+    return rows.select("path", F.size("embedding").alias("dimensions"), F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"))
+
+
+@query
+def store_index(spark: SparkSession, d: str) -> DataFrame:
+    """Stored, then indexed again: bad notes change, toxic ones are gone. Each note's chunks and its checksum."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/quillgraph-shared"
+    index = store.Store(spark, f"{root.rstrip('/')}/index-{uuid.uuid4().hex}")
+    first = vault.notes(spark, d).withColumn("full_body", F.col("body"))
+    index.index(first)
+    bad, toxic = F.array_contains("tags", "bad"), F.array_contains("tags", "toxic")
+    again = first.filter(~toxic).withColumns({c: F.when(bad, F.concat(F.lit("New. "), c)).otherwise(F.col(c)) for c in ("body", "full_body", "checksum")})
+    index.index(again)
+    chunks = index.read("chunks").groupBy("path").agg(F.count("*").alias("chunks"), F.count(F.when(F.col("content").startswith("New. "), 1)).alias("new"))
+    return index.read("notes").select("path", "checksum").join(chunks, "path", "left").select("path", "checksum", "chunks", "new")
