@@ -124,13 +124,13 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "query":
         text = " ".join(a.text)
         options = SearchOptions(a.top or workspace.config.top_n, config.context_prefix(workspace, a.ctx) if a.ctx else "", tuple(a.ns), a.hops, seconds_of(a.after), seconds_of(a.before, 86400), a.skip_consolidated, **vectors_for(text))
-        rows = search.search(notes, chunks, text, options, store.read("vectors") if embedder else None).collect()
+        rows = search.search(notes, chunks, text, options, store.read("vectors") if embedder else None, store.text_index()).collect()
         form = a.format or workspace.config.format
         print({"json": report.results_json, "paths": report.paths}.get(form, report.table)(rows))
     elif a.command == "similar":
         text = " ".join(a.text)
         options = SearchOptions(a.top, a.against, tuple(a.ns), **vectors_for(text))
-        rows = search.similar(notes, chunks, text, options, a.threshold, store.read("vectors") if embedder else None).collect()
+        rows = search.similar(notes, chunks, text, options, a.threshold, store.read("vectors") if embedder else None, store.text_index()).collect()
         print(report.similar_table(rows) if rows else f"No results above threshold {a.threshold:.2f}")
     elif a.command == "graph":
         path = relative(a.file, workspace.root)

@@ -37,7 +37,7 @@ def _best_terms(scores: DataFrame, k: int) -> DataFrame:
 
 def content_clusters(notes: DataFrame, k: int = 5) -> DataFrame:
     """(label, path): each note goes to the topic term with its highest TF-IDF, the rest to misc."""
-    scores = _term_scores(notes)
+    scores = _term_scores(notes).persist()  # both for the best terms and for the notes
     own = scores.join(F.broadcast(_best_terms(scores, k)), "term")  # k rows
     best = own.filter("tfidf > 0").groupBy("path").agg(F.max_by("term", F.struct("tfidf", -F.col("place"))).alias("label"))
     return notes.select("path").join(best, "path", "left").select(F.coalesce("label", F.lit(MISC)).alias("label"), "path")
@@ -79,7 +79,7 @@ def _assigned(rows: DataFrame, centroids: list[list[float]]) -> DataFrame:
 def vector_clusters(vectors: DataFrame, chunks: DataFrame, k: int = 5, rounds: int = 10) -> DataFrame:
     """(label, path) by k-means on the cosine: the first k notes by path are the first centroids, ten rounds
     of assignment and mean. Raises ValueError with fewer than k notes."""
-    rows = first_vectors(vectors, chunks)
+    rows = first_vectors(vectors, chunks).persist()  # read in every round
     start = rows.orderBy("path").limit(k).collect()  # k rows
     if len(start) < k:
         raise ValueError("fewer notes with vectors than clusters")

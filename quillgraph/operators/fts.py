@@ -1,9 +1,9 @@
 """Full-text search: match grammar, BM25.
 
 A query is parsed on the driver into phrases and a boolean tree over them, and compiled into columns over
-token arrays: one scan computes every phrase's frequency, one small aggregate the corpus numbers (over
-the whole table, before any filter), and a second pass scores. Nothing is shuffled but one row of
-sums. For many queries over one snapshot, `postings` builds a table by term instead.
+token arrays: one scan computes every phrase's frequency and observes the corpus numbers (over the whole table, before
+any filter); its hits are kept and scored. Nothing is shuffled but one row of sums. A stored `TextIndex` (postings by
+term) tells which rows need to be read at all.
 
 Grammar: words (all must match), "phrases", prefix*, AND OR NOT (upper case), parentheses, column: filters
 and {a b}: lists, NEAR(a b, n), + between parts of a phrase. Anything else raises MatchError; `match`
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import let, plain_token, search_tokens
@@ -323,12 +323,15 @@ def _number(node: Node, numbers: dict[int, int], at: int = 0) -> int:
     return at
 
 
-def match(rows: DataFrame, text: str, columns: dict[str, str], keep: Column | None = None) -> DataFrame:
-    """The rows that match, with their BM25 score `bm25` (higher is better).
+def match(rows: DataFrame, text: str, columns: dict[str, str], keep: Column | None = None, index: TextIndex | None = None) -> DataFrame:
+    """The rows that match, with their BM25 score `bm25` (higher is better), without the searched columns.
 
     columns: the searched columns by the name that queries may use. Corpus numbers come from all
-    `rows`; `keep` is a filter on the result alone.
+    `rows`; `keep` is a filter on the result alone. One pass over `rows` counts and keeps the hits. With an index, only
+    rows that hold all words of a phrase are read: no other can match or count for a phrase.
     """
+    if index is not None:
+        rows = rows.join(index.candidates(parsed_or_phrase(text, tuple(columns))), index.key, "left_semi")
     node = parsed_or_phrase(text, tuple(columns))
     found, numbers = units(node), {}
     _number(node, numbers)
@@ -341,19 +344,22 @@ def match(rows: DataFrame, text: str, columns: dict[str, str], keep: Column | No
         computed[f"__tf{k}"] = _frequency(leaf, i, tokens)
         # a phrase's rarity is its own, near others or not
         computed[f"__df{k}"] = _frequency(leaf.phrases[i], 0, tokens) if isinstance(leaf, Near) else computed[f"__tf{k}"]
-    parts = parts.withColumns(computed).drop(*names.values())
+    parts = parts.withColumns(computed).drop(*names.values(), *columns.values())
     tf = {k: F.col(f"__tf{k}") for k in range(len(found))}
-    numbers_row = parts.agg(F.count("*").alias("n"), F.avg("__size").alias("avg"), *(F.count(F.when(F.col(f"__df{k}") > 0, 1)).alias(f"df{k}") for k in tf)).first()
+    seen = Observation()
+    sums = [F.count(F.lit(1)).alias("n"), F.avg("__size").alias("avg"), *(F.count(F.when(F.col(f"__df{k}") > 0, 1)).alias(f"df{k}") for k in tf)]
+    hits = parts.observe(seen, *sums).filter(_holds(node, tf, numbers)).persist()
+    # without hits Spark may not have run the plan that counts, and nothing is scored
+    numbers_row = seen.get if hits.count() else {"n": 0, "avg": None} | {f"df{k}": 0 for k in tf}
+    n, average = (numbers_row["n"], numbers_row["avg"] or 1.0) if index is None else (index.n, index.average or 1.0)
     counted: dict[int, Column] = {}
     _counted(node, tf, numbers, F.lit(True), counted)
-    n, average = numbers_row["n"], numbers_row["avg"] or 1.0
     score = F.lit(0.0)
     for k in tf:
         c, df = F.when(counted[k], tf[k]).otherwise(0), numbers_row[f"df{k}"]
         idf = F.log(F.lit((n - df + 0.5) / (df + 0.5)))
         idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
         score = score + idf * c * (K1 + 1) / (c + K1 * (1 - B + B * F.col("__size") / F.lit(float(average))))
-    hits = parts.filter(_holds(node, tf, numbers))
     if keep is not None:
         hits = hits.filter(keep)
     return hits.withColumn("bm25", score).drop(*computed)
@@ -362,21 +368,72 @@ def match(rows: DataFrame, text: str, columns: dict[str, str], keep: Column | No
 # ------------------------------------------------------------------ index
 
 
-def postings(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """The inverted index (term, key, tf, size): one shuffle by (key, term), summed before it moves. Written
-    partitioned or bucketed by term, a query reads its terms only."""
-    tokens = rows.select(F.col(key).alias("key"), search_tokens(F.col(text)).alias("tokens"))
-    each = tokens.select("key", F.size("tokens").alias("size"), F.explode("tokens").alias("term"))
-    return each.groupBy("key", "term").agg(F.count("*").alias("tf"), F.first("size").alias("size"))
+#: Files of an index: a term's postings are in the one that its hash names.
+BUCKETS = 64
+POSTINGS = "term string, chunk_id string, path string, tf long, bucket int"
 
 
-def score_postings(index: DataFrame, terms: list[str], n: int, average: float) -> DataFrame:
-    """(key, bm25) of the keys that hold all `terms`, from an index and its corpus numbers."""
+def bucket_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def postings(rows: DataFrame, key: str, text: str, *carried: str) -> DataFrame:
+    """The inverted index (term, the key, the carried columns, tf, bucket): one shuffle by (key, term), summed before it
+    moves. Written partitioned by bucket, a query reads the files of its terms only."""
+    each = rows.select(key, *carried, F.explode(search_tokens(F.col(text))).alias("term"))
+    counted = each.groupBy(key, *carried, "term").agg(F.count("*").alias("tf"))
+    return counted.select("term", key, *carried, "tf", bucket_of(F.col("term")).alias("bucket"))
+
+
+def sizes(rows: DataFrame, key: str, text: str, *carried: str) -> DataFrame:
+    """(the key, the carried columns, size): how many tokens each row has."""
+    return rows.select(key, *carried, F.size(search_tokens(F.col(text))).alias("size"))
+
+
+@dataclass
+class TextIndex:
+    """Postings of the rows to be searched, how many these are, and their mean number of tokens."""
+
+    postings: DataFrame
+    key: str
+    n: int
+    average: float
+
+    def candidates(self, node: Node) -> DataFrame:
+        """The keys of the rows that hold every token of one of the phrases: one read of the tokens' postings."""
+        phrases = [leaf.phrases[i] if isinstance(leaf, Near) else leaf for leaf, i in units(node)]
+        exact = sorted({t for p in phrases for t in (p.tokens[:-1] if p.prefix else p.tokens)})
+        starts = sorted({p.tokens[-1] for p in phrases if p.prefix and p.tokens})
+        term = F.col("term")
+        wanted, tests = F.lit(False), {}
+        if exact:
+            # the buckets are known, so that only their files are listed and read
+            known = self.postings.sparkSession.range(1).select(F.transform(F.lit(exact), bucket_of).alias("b")).first()["b"]
+            wanted = F.col("bucket").isin(sorted(set(known))) & term.isin(exact)
+            tests |= {("=", t): term == t for t in exact}
+        for t in starts:
+            wanted = wanted | term.startswith(t)
+            tests["*", t] = term.startswith(t)
+        held = {k: f"__h{i}" for i, k in enumerate(tests)}
+        some = self.postings.filter(wanted).groupBy(self.key).agg(*(F.max(test).alias(held[k]) for k, test in tests.items())) if tests else self.postings.limit(0)
+        either = F.lit(False)
+        for p in phrases:
+            last = len(p.tokens) - 1 if p.prefix else -1
+            one = F.lit(bool(p.tokens))
+            for i, t in enumerate(p.tokens):
+                one = one & F.col(held["*" if i == last else "=", t])
+            either = either | one
+        return some.filter(either).select(self.key)
+
+
+def score_postings(index: DataFrame, lengths: DataFrame, terms: list[str], key: str) -> DataFrame:
+    """(the key, bm25) of the rows that hold all `terms`, from postings and sizes alone."""
     wanted = sorted({t for term in terms for t in plain_token(term)})
+    numbers = lengths.agg(F.count("*").alias("n"), F.avg("size").alias("avg")).first()
     own = index.filter(F.col("term").isin(wanted))
     df = own.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = F.log((F.lit(numbers["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
-    scored = own.join(F.broadcast(df), "term")  # one row a query term
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.lit(average)))
-    return scored.groupBy("key").agg(F.sum(part).alias("bm25"), F.count("*").alias("held")).filter(F.col("held") == len(wanted)).drop("held")
+    scored = own.join(F.broadcast(df), "term").join(lengths, key)  # df: one row a query term
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.lit(numbers["avg"] or 1.0)))
+    return scored.groupBy(key).agg(F.sum(part).alias("bm25"), F.count("*").alias("held")).filter(F.col("held") == len(wanted)).drop("held")

@@ -71,7 +71,7 @@ def expand(notes: DataFrame, found: DataFrame, hops: int, namespaces: tuple[str,
         reached = frontier.join(all_edges, F.col("path") == F.col("src")).select(F.col("dst"), (F.col("base") * 0.5 ** (hop + 1)).alias("base"))
         if known is not None:
             reached = reached.join(known, "dst", "left_semi")
-        new = reached.join(visited, F.col("dst") == F.col("path"), "left_anti").groupBy(F.col("dst").alias("path")).agg(F.max("base").alias("base"))
+        new = reached.join(visited, F.col("dst") == F.col("path"), "left_anti").groupBy(F.col("dst").alias("path")).agg(F.max("base").alias("base")).persist()
         rows = new.select("path", "base", F.lit(model.LINK_HIT).alias("graph"), F.lit(hop + 1).alias("hop"))
         out = rows if out is None else out.unionByName(rows)
         frontier, visited = new, visited.unionByName(new.select("path"))

@@ -51,9 +51,9 @@ def _dated(rows: DataFrame, notes: DataFrame, options: SearchOptions) -> DataFra
     return rows.join(open_notes.select("path"), "path", "left_semi")
 
 
-def chunk_candidates(chunks: DataFrame, notes: DataFrame, text: str, options: SearchOptions = SearchOptions(), limit: int = model.CANDIDATES) -> DataFrame:
+def chunk_candidates(chunks: DataFrame, notes: DataFrame, text: str, options: SearchOptions = SearchOptions(), limit: int = model.CANDIDATES, index: fts.TextIndex | None = None) -> DataFrame:
     """(chunk_id, path, bm25) of the best chunks; corpus numbers are those of all chunks."""
-    hits = fts.match(chunks.select("chunk_id", "path", "namespace", "content"), text, {"content": "content"}, place_filter(options))
+    hits = fts.match(chunks.select("chunk_id", "path", "namespace", "content"), text, {"content": "content"}, place_filter(options), index)
     return _dated(hits, notes, options).select("chunk_id", "path", "bm25").orderBy(F.desc("bm25"), "chunk_id").limit(limit)
 
 
@@ -88,6 +88,11 @@ def fused(chunks: DataFrame, text_side: DataFrame, vector_side: DataFrame | None
     return placed.groupBy("path").agg(F.max("b").cast("double").alias("bm25"), F.max("s").cast("double").alias("vector"))
 
 
+def kept(few: DataFrame) -> DataFrame:
+    """A bounded number of rows (candidates), worked out once."""
+    return few.sparkSession.createDataFrame(few.collect(), few.schema)
+
+
 def tag_only(notes: DataFrame, found: DataFrame, terms: list[str], options: SearchOptions = SearchOptions()) -> DataFrame:
     """Paths with a tag that equals a term, not found before."""
     hit = F.exists("tags", lambda x: F.lower(x).isin(terms)) if terms else F.lit(False)
@@ -104,17 +109,17 @@ def graph_boosts(scored: DataFrame, top: int = 3) -> DataFrame:
     return counted.join(scored.select("path"), "path", "left_semi")
 
 
-def search(notes: DataFrame, chunks: DataFrame, text: str, options: SearchOptions = SearchOptions(), vectors: DataFrame | None = None) -> DataFrame:
+def search(notes: DataFrame, chunks: DataFrame, text: str, options: SearchOptions = SearchOptions(), vectors: DataFrame | None = None, index: fts.TextIndex | None = None) -> DataFrame:
     """(path, title, score, tags, last_verified, reason), best first, with the signals that made the score."""
     terms = query_terms(text)
     if not terms:
         empty = "path string, title string, score double, tags array<string>, last_verified string, reason string, bm25 double, vector double, filename double, tag double, graph double"
         return notes.sparkSession.createDataFrame([], empty)
-    text_side = chunk_candidates(chunks, notes, text, options)
+    text_side = kept(chunk_candidates(chunks, notes, text, options, index=index))
     vector_side = None
     if vectors is not None and options.query_vector:
         vector_side = vector_candidates(vectors, chunks, notes, options.query_vector, options)
-    found = fused(chunks, text_side, vector_side)
+    found = kept(fused(chunks, text_side, vector_side))
     if found.isEmpty():
         found = note_candidates(notes, text, options).withColumn("vector", F.lit(0.0))
     tagged = tag_only(notes, found, terms, options).select("path", F.lit(0.0).alias("bm25"), F.lit(0.0).alias("vector"))
@@ -135,15 +140,15 @@ def search(notes: DataFrame, chunks: DataFrame, text: str, options: SearchOption
     return out.orderBy(F.desc("score"), "path").limit(options.limit)
 
 
-def similar(notes: DataFrame, chunks: DataFrame, text: str, options: SearchOptions = SearchOptions(), threshold: float = 0.0, vectors: DataFrame | None = None) -> DataFrame:
+def similar(notes: DataFrame, chunks: DataFrame, text: str, options: SearchOptions = SearchOptions(), threshold: float = 0.0, vectors: DataFrame | None = None, index: fts.TextIndex | None = None) -> DataFrame:
     """(path, title, similarity, label): scores over the best one. Without a hit the longest word (by bytes,
     the first of equals) is tried alone."""
     from dataclasses import replace
 
     wide = replace(options, top=3 * options.limit)
-    rows = search(notes, chunks, text, wide, vectors)
+    rows = search(notes, chunks, text, wide, vectors, index)
     if rows.isEmpty() and text.split():
-        rows = search(notes, chunks, max(text.split(), key=lambda w: len(w.encode())), wide, vectors)
+        rows = search(notes, chunks, max(text.split(), key=lambda w: len(w.encode())), wide, vectors, index)
     best = F.max("score").over(Window.partitionBy(F.lit(1)))
     rows = rows.withColumn("similarity", F.when(best > 0, F.col("score") / best).otherwise(F.lit(1.0)))
     rows = rows.filter(F.col("similarity") >= threshold)

@@ -235,3 +235,6 @@ SQL: dict[str, str] = {
 }
 
 SQL["cluster_chain"] = SQL["tfidf_clusters"].replace("base AS (", "every AS (", 1).replace("FROM documents d LEFT JOIN labels l USING (doc_id))", "FROM documents d LEFT JOIN labels l USING (doc_id)), base AS (SELECT * FROM every WHERE starts_with(path, 'en/'))", 1)
+
+_CHANGED = SQL["store_index"].partition(", per AS (")[0]
+SQL["store_search"] = f"{_CHANGED}, {bm25('chunks', 'path, namespace, chunk_index', ['content'], [(['public'], False), (['licens'], True)], 'tf0 > 0 AND tf1 > 0')}, cand AS (SELECT path || '#' || chunk_index AS chunk_id, path, bm25 FROM bm ORDER BY bm25 DESC, chunk_id LIMIT 20) SELECT chunk_id, path, round(bm25, 6) AS bm25 FROM cand"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -139,9 +141,8 @@ def bm25_boolean(spark: SparkSession, d: str) -> DataFrame:
 def bm25_postings(spark: SparkSession, d: str) -> DataFrame:
     """The same score of one term from the inverted index of the texts."""
     docs = vault.table(spark, d, "documents")
-    index = fts.postings(docs, "doc_id", "text")
-    numbers = docs.agg(F.count("*").alias("n"), F.avg(F.size(text.search_tokens(F.col("text")))).alias("avg")).first()
-    return fts.score_postings(index, [TEXT], numbers["n"], numbers["avg"]).select(F.col("key").alias("doc_id"), _rounded("bm25"))
+    index, lengths = fts.postings(docs, "doc_id", "text"), fts.sizes(docs, "doc_id", "text")
+    return fts.score_postings(index, lengths, [TEXT], "doc_id").select("doc_id", _rounded("bm25"))
 
 
 @query
@@ -476,15 +477,27 @@ def first_chunk_vectors(spark: SparkSession, d: str) -> DataFrame:
 @query
 def store_index(spark: SparkSession, d: str) -> DataFrame:
     """Stored, then indexed again: bad notes change, toxic ones are gone. Each note's chunks and its checksum."""
-    import tempfile
-    import uuid
+    index = _changed_store(spark, d)
+    chunks = index.read("chunks").groupBy("path").agg(F.count("*").alias("chunks"), F.count(F.when(F.col("content").startswith("New. "), 1)).alias("new"))
+    return index.read("notes").select("path", "checksum").join(chunks, "path", "left").select("path", "checksum", "chunks", "new")
+
+
+@query
+def store_search(spark: SparkSession, d: str) -> DataFrame:
+    """The best chunks of the changed store, by its postings."""
+    index = _changed_store(spark, d)
+    rows = search.chunk_candidates(index.read("chunks"), index.read("notes"), "public licens*", index=index.text_index())
+    return rows.select("chunk_id", "path", _rounded("bm25"))
+
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/quillgraph-shared"
-    index = store.Store(spark, f"{root.rstrip('/')}/index-{uuid.uuid4().hex}")
+def _changed_store(spark: SparkSession, d: str) -> store.Store:
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    index = store.Store(spark, f"{(root or tempfile.gettempdir() + '/quillgraph-shared').rstrip('/')}/index-{uuid.uuid4().hex}")
     first = vault.notes(spark, d).withColumn("full_body", F.col("body"))
     index.index(first)
     bad, toxic = F.array_contains("tags", "bad"), F.array_contains("tags", "toxic")
     again = first.filter(~toxic).withColumns({c: F.when(bad, F.concat(F.lit("New. "), c)).otherwise(F.col(c)) for c in ("body", "full_body", "checksum")})
     index.index(again)
-    chunks = index.read("chunks").groupBy("path").agg(F.count("*").alias("chunks"), F.count(F.when(F.col("content").startswith("New. "), 1)).alias("new"))
-    return index.read("notes").select("path", "checksum").join(chunks, "path", "left").select("path", "checksum", "chunks", "new")
+    return index

@@ -36,7 +36,7 @@ def namespaces(store: Store) -> list[str]:
 def found(store: Store, text: str) -> str:
     if not text:
         return "[]"
-    return report.results_json(search.search(store.read("notes"), store.read("chunks"), text, SearchOptions(top=20)).collect())
+    return report.results_json(search.search(store.read("notes"), store.read("chunks"), text, SearchOptions(top=20), index=store.text_index()).collect())
 
 
 def handler(store: Store) -> type[BaseHTTPRequestHandler]:

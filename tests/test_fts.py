@@ -40,16 +40,15 @@ def test_bad_queries_become_phrases(corpus, text):
 
 def test_index_scores_alike(corpus):
     df, _ = corpus
-    n = df.count()
-    from pyspark.sql import functions as F
-
-    from quillgraph.functions.text import search_tokens
-
-    average = df.agg(F.avg(F.size(search_tokens(F.col("body"))))).first()[0]
-    index = fts.postings(df, "id", "body")
-    got = {r.key: r.bm25 for r in fts.score_postings(index, ["alpha", "beta"], n, average).collect()}
+    index, lengths = fts.postings(df, "id", "body"), fts.sizes(df, "id", "body")
+    got = {r.id: r.bm25 for r in fts.score_postings(index, lengths, ["alpha", "beta"], "id").collect()}
     want = {r.id: r.bm25 for r in fts.match(df, "alpha beta", {"body": "body"}).collect()}
     assert got == pytest.approx(want)
+    sums = lengths.agg({"size": "avg", "*": "count"}).first()
+    stored = fts.TextIndex(index, "id", sums["count(1)"], sums["avg(size)"])
+    for text in ("alpha", '"alpha beta" OR gam*', "alpha NOT beta", "NEAR(alpha beta, 2)", "alp* bet*", "nowhere", "...", '"unclosed alpha'):
+        got = {r.id: r.bm25 for r in fts.match(df, text, {"body": "body"}, index=stored).collect()}
+        assert got == pytest.approx({r.id: r.bm25 for r in fts.match(df, text, {"body": "body"}).collect()}), text
 
 
 def test_filter_leaves_corpus_numbers(corpus):

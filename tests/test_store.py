@@ -49,6 +49,37 @@ def test_incremental(spark, vault, tmp_path):
     assert store.stats()["files"] == 2 and store.stats()["bytes"] > 0
 
 
+def test_segments_hold_what_one_index_would(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from quillgraph.operators import search
+    from quillgraph.sources import vault as columns
+
+    first = columns.notes(spark, "/root/testdata/sf0.001").withColumn("full_body", F.col("body"))
+    store, fresh = Store(spark, f"file://{tmp_path}/many", most_segments=3), Store(spark, f"file://{tmp_path}/one")
+    store.index(first)
+    before = store.manifest()
+    for i in range(4):
+        own = F.col("last_indexed") % 5 == i
+        first = first.withColumns({c: F.when(own, F.concat(F.lit(f"edit {i} "), c)).otherwise(F.col(c)) for c in ("body", "full_body", "checksum")}).filter(f"last_indexed % 7 <> {i} or last_indexed % 3 > 0")
+        store.index(first)
+        if not i:
+            with pytest.raises(RuntimeError):
+                store._publish(before)
+    assert len(store.manifest().segments) <= 3
+    fresh.index(first)
+    for name in ("notes", "chunks", "postings", "sizes"):
+        drop = [c for c in ("last_indexed", "consolidated_at") if c in store.read(name).columns]
+        got, want = (sorted(map(str, s.read(name).drop(*drop).collect())) for s in (store, fresh))
+        assert got == want, name
+    assert (store.manifest().chunks, store.manifest().tokens) == (fresh.manifest().chunks, fresh.manifest().tokens) == (fresh.read("sizes").count(), fresh.read("sizes").agg(F.sum("size")).first()[0])
+    for text in ("license", '"mit license"', "licens* NOT mit", "edit 2"):
+        plain = search.chunk_candidates(fresh.read("chunks"), fresh.read("notes"), text).collect()
+        assert [r.chunk_id for r in search.chunk_candidates(store.read("chunks"), store.read("notes"), text, index=store.text_index()).collect()] == [r.chunk_id for r in plain], text
+    store.vacuum()
+    assert store.read("chunks").count() == fresh.read("chunks").count() and store.index(first).updated == 0
+
+
 def test_stream(spark, vault, tmp_path):
     from quillgraph.streaming.ingest import markdown_stream, stream_into
 
