@@ -285,7 +285,7 @@ def repeated_keys(docs: DataFrame, min_chars: int = 40) -> DataFrame:
     return counted.filter("n_docs >= 2").select("hi", "lo", "n_docs", F.coalesce("largest", F.lit(NO_ID)).alias("largest"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, shard_keys: int = 50_000, replica_probes: int = 2_000_000, with_text: bool = True) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, shard_keys: int = 4_000, replica_probes: int = 200_000, with_text: bool = True) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_text (if `with_text`) and kept_sha256 of every row of `docs`."""
     if min_docs < 2:
         raise ValueError("min_docs must be 2 or more")
