@@ -258,8 +258,10 @@ class JaccardJoin:
             # sizes that fit lie in the same or in neighbouring classes: a column's members are dealt by class
             wide = math.log(self.den / self.num) * 1.0001
             own = lambda n: F.floor(F.ln(n) / F.lit(wide)) if wide else n
-            x = left.withColumn("class", F.explode(F.array(*(own(F.col("n")) + i for i in (-1, 0, 1))))).alias("x")
-            y = right.withColumn("class", own(F.col("n"))).alias("y")
+            # few rows with much work each: dealt to all tasks, which Spark doesn't merge
+            n_tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            x = left.repartition(n_tasks, "node").withColumn("class", F.explode(F.array(*(own(F.col("n")) + i for i in (-1, 0, 1))))).alias("x")
+            y = right.repartition(n_tasks, "node").withColumn("class", own(F.col("n"))).alias("y")
             on &= F.col("x.class") == F.col("y.class")
             early = (F.col("x.r") <= F.col("x.h") - bound + 1) & (F.col("y.r") <= F.col("y.h") - bound + 1)
             apart = sum((F.bit_count(F.get("x.parity", F.lit(i)).bitwiseXOR(F.get("y.parity", F.lit(i)))) for i in range(PARITY)), F.lit(0))
