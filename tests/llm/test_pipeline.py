@@ -45,3 +45,19 @@ def test_near_duplicate_stage_in_the_chain(spark):
     more = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows[-2:]], docs.schema)
     kept = corpus_pipeline.near_duplicate_stage(spark, docs.unionByName(more), SF)
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == plain_first_of_groups(rows)
+
+
+def test_stages_with_odd_rows(spark):
+    """Nulls, empty and repeated texts, no rows at all: every stage runs and keeps the columns."""
+    from quillgraph.llm.common import stored
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", None, 0), (5, "the and of " * 20, None, "src1", 1), (5, "the and of " * 20, "en", "src1", 1), (None, "in the and of it " * 9, "en", None, 3)], docs.schema)
+    more = docs.limit(40).unionByName(odd).selectExpr("*", "1 as score", "2 as copies", "3 as kept_id")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        some, none = stage(spark, more, SF), stage(spark, more.limit(0), SF)
+        assert some.columns == more.columns and none.columns == more.columns and none.count() == 0, name
+        more = stored(some)
+        assert more.count() > 0
+    assert corpus_pipeline.STAGES[-1][1](spark, more, SF).count() == more.count()
+    assert corpus_pipeline.STAGES[-1][1](spark, more.limit(0), SF).count() == 0
