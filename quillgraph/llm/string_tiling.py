@@ -10,8 +10,9 @@ share of its words that are marked; a document is contaminated by every item of
 Items are a query set: they are read in blocks of at most `block_bytes` bytes, each sent to all
 tasks (its size is proven by the block), and every block meets all documents.
 
-Defined results: items and documents without words (null, empty) match nothing; an item shorter than
-`seed` words is one seed as a whole; repeated items (same text) each match; rows of documents with
+Defined results: items and documents without words (null, empty) match nothing; items of fewer than `least_words` words
+contaminate nothing, as they stand in texts by chance; an item that is let in with fewer words than `seed` is one seed as
+a whole; repeated items (same text) each match; rows of documents with
 the same doc_id are judged one by one; a null doc_id or item_id is reported as null.
 """
 
@@ -142,10 +143,12 @@ class TestBlock:
         return max(s for s in self.seeds if s <= len(item))
 
 
-def test_blocks(benchmark: DataFrame, seed: int, block_bytes: int) -> Iterator[TestBlock]:
+def test_blocks(benchmark: DataFrame, seed: int, block_bytes: int, least_words: int) -> Iterator[TestBlock]:
     items, size = [], 0
     for row in benchmark.select("item_id", F.col("text").cast("string").alias("text")).toLocalIterator():
         words = word_row(row["text"])
+        if len(words.split()) < least_words:
+            continue
         if size + len(words) > block_bytes and items:
             yield TestBlock.over(items, seed)
             items, size = [], 0
@@ -158,11 +161,11 @@ def _words_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     return word_hashes(word_row(t.as_py()) for t in batch.column("text"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least_coverage: float = 0.6, seed: int = 5, block_bytes: int = 4_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least_coverage: float = 0.6, seed: int = 5, block_bytes: int = 4_000_000, least_words: int = 5) -> DataFrame:
     """doc_id, item_id, coverage, item_words, n_tiles, first_word (of the document) of every contaminated
     document and the items that it covers."""
     spark, out = docs.sparkSession, None
-    for block in test_blocks(benchmark, seed, block_bytes):
+    for block in test_blocks(benchmark, seed, block_bytes, least_words):
         carried = spark.sparkContext.broadcast(block)
 
         def rows(batches: Iterator[pa.RecordBatch], carried=carried) -> Iterator[pa.RecordBatch]:
@@ -180,11 +183,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_coverage: float =
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, least_coverage: float = 0.6, seed: int = 5, block_bytes: int = 4_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, least_coverage: float = 0.6, seed: int = 5, block_bytes: int = 4_000_000, least_words: int = 5) -> DataFrame:
     """The rows of `docs`, with all their columns, that no item contaminates."""
     spark, out = docs.sparkSession, docs
     small_batches(spark)
-    for block in test_blocks(benchmark, seed, block_bytes):
+    for block in test_blocks(benchmark, seed, block_bytes, least_words):
         carried = spark.sparkContext.broadcast(block)
 
         def rows(batches: Iterator[pa.RecordBatch], carried=carried) -> Iterator[pa.RecordBatch]:

@@ -53,7 +53,7 @@ def tables(spark, docs_of, odd):
     return docs_of([*rows, (600, "this has the three word item in it")]), bench
 
 
-@pytest.mark.parametrize("options", [{}, {"block_bytes": 400}])
+@pytest.mark.parametrize("options", [{"least_words": 1}, {"least_words": 1, "block_bytes": 400}])
 def test_finds_verbatim_and_reordered(tables, options):
     docs, bench = tables
     got = contaminated(docs, bench, **options).collect()
@@ -63,6 +63,48 @@ def test_finds_verbatim_and_reordered(tables, options):
     assert clean.columns == docs.columns and clean.count() == docs.count() - 22
 
 
+def test_short_items_take_nothing_unless_asked(tables):
+    docs, bench = tables
+    assert 600 not in {r.doc_id for r in contaminated(docs, bench).collect()}
+
+
+def plain_tiles(item, doc, least):
+    """The longest common run of unmarked words, first in the item, then in the document, again and again."""
+    marked_i, marked_d, tiles = set(), set(), []
+    while True:
+        best = None
+        for a in range(len(item)):
+            for b in range(len(doc)):
+                n = 0
+                while a + n < len(item) and b + n < len(doc) and item[a + n] == doc[b + n] and a + n not in marked_i and b + n not in marked_d:
+                    n += 1
+                if n >= least and (best is None or n > best[0]):
+                    best = n, a, b
+        if best is None:
+            return tiles
+        n, a, b = best
+        marked_i.update(range(a, a + n))
+        marked_d.update(range(b, b + n))
+        tiles.append((a, b, n))
+
+
+def test_result_columns_by_brute_force(spark, docs_of):
+    rng = random.Random(11)
+    word = lambda: rng.choice("abcdef") * rng.randint(1, 2)
+    items = [(i, [word() for _ in range(rng.randint(5, 16))]) for i in range(12)]
+    docs = [(i, [word() for _ in range(30)] + rng.choice(items)[1][: rng.randint(4, 16)] + [word() for _ in range(5)] + rng.choice(items)[1]) for i in range(25)]
+    want = []
+    for i, d in docs:
+        for k, w in items:
+            tiles = plain_tiles(w, d, 5)
+            coverage = sum(t[2] for t in tiles) / len(w)
+            if coverage >= 0.6:
+                want.append((i, k, round(coverage, 9), len(w), len(tiles), min(t[1] for t in tiles)))
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    got = [(r.doc_id, r.item_id, round(r.coverage, 9), r.item_words, r.n_tiles, r.first_word) for r in contaminated(docs_of([(i, " ".join(d)) for i, d in docs]), bench).collect()]
+    assert sorted(got) == sorted(want) and want
+
+
 def test_empty(tables, docs_of, spark):
     docs, bench = tables
     assert contaminated(docs_of([]), bench).count() == 0
