@@ -183,7 +183,7 @@ SQL: dict[str, str] = {
     "namespaces_resolved": f"WITH {NOTES} SELECT path, CASE WHEN path = 'en/src1/doc-1.md' THEN 'second' WHEN starts_with(path, 'en/src1/') OR starts_with(path, 'fr/') THEN 'first' WHEN starts_with(path, 'en/') THEN 'second' ELSE 'rest' END AS ns, 'Doc ' || doc_id AS title FROM base",
     "reasons": "WITH s AS (SELECT doc_id, (doc_id % 3) / 4.0 AS bm, (doc_id % 2) / 2.0 AS vec, 3 * (doc_id % 3) AS fname, 2 * (doc_id % 2) AS tag, (doc_id % 5) / 2.0 AS graph FROM documents), t AS (SELECT *, CASE WHEN vec > 0 THEN 0.6 * vec + 0.4 * (0.4 * fname + 0.5 * bm + 0.1 * graph + tag) ELSE 0.4 * fname + 0.5 * bm + 0.1 * graph + tag END AS score FROM s) SELECT doc_id, round(score, 6)::DOUBLE AS score, CASE WHEN vec + fname + bm + tag + graph = 0 THEN 'score:0.0000' ELSE concat_ws(' ', CASE WHEN vec > 0 THEN 'vec:0.50' END, CASE fname WHEN 3 THEN 'filename:3' WHEN 6 THEN 'filename:6' END, CASE doc_id % 3 WHEN 1 THEN 'bm25:0.25' WHEN 2 THEN 'bm25:0.50' END, CASE WHEN tag > 0 THEN 'tag:2' END, CASE doc_id % 5 WHEN 1 THEN 'graph:0.5' WHEN 2 THEN 'graph:1.0' WHEN 3 THEN 'graph:1.5' WHEN 4 THEN 'graph:2.0' END) END AS reason FROM t",
     "first_chunk_vectors": f"WITH {NOTES} SELECT path, len(embedding)::INT AS dimensions, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings e JOIN base d ON d.doc_id = e.vec_id WHERE trim(body, chr(32) || chr(9) || chr(10) || chr(13)) <> ''",
-    "store_index": f"WITH RECURSIVE documents AS (SELECT o.doc_id, o.lang, o.source, CASE WHEN l.quality = 0 THEN 'New. ' ELSE '' END || o.text AS text, o.text AS old FROM main.documents o LEFT JOIN labels l USING (doc_id) WHERE coalesce(l.toxic, 0) <> 1), {CHUNKS}, per AS (SELECT path, count(*) AS chunks, count(*) FILTER (starts_with(content, 'New. ')) AS new FROM chunks GROUP BY path) SELECT p.path, CASE WHEN text = old THEN '' ELSE 'New. ' END || sha256(old) AS checksum, per.chunks, per.new FROM (SELECT *, lang || '/' || source || '/doc-' || doc_id || '.md' AS path FROM documents) p LEFT JOIN per USING (path)",
+    "store_index": f"WITH RECURSIVE changed AS (SELECT o.doc_id, o.lang, o.source, CASE WHEN l.quality = 0 THEN 'New. ' ELSE '' END || o.text AS text, o.text AS old FROM documents o LEFT JOIN labels l USING (doc_id) WHERE coalesce(l.toxic, 0) <> 1), {CHUNKS.replace('documents', 'changed')}, per AS (SELECT path, count(*) AS chunks, count(*) FILTER (starts_with(content, 'New. ')) AS new FROM chunks GROUP BY path) SELECT p.path, CASE WHEN text = old THEN '' ELSE 'New. ' END || sha256(old) AS checksum, per.chunks, per.new FROM (SELECT *, lang || '/' || source || '/doc-' || doc_id || '.md' AS path FROM changed) p LEFT JOIN per USING (path)",
     "notes_scan": f"WITH {NOTES} SELECT path, namespace, title, array_to_string(tags, ',') AS tags, checksum, last_indexed, consolidated_at FROM base",
     "namespace_list": "SELECT DISTINCT lang AS namespace FROM documents",
     "stats_count": "SELECT count(*) AS files FROM documents",
