@@ -12,10 +12,13 @@ transpose is computed only where it can matter:
    alpha + 1 - ceil(num*max(a,b)/den) columns of their prefixes. Pairs that can't reach this bound,
    even if all their longer columns were shared, are discarded.
 3. Longer columns (a large group of near copies, or a passage that many share) are not multiplied out.
-   Each is first matched against a few pivots, the nodes with the largest shares of such columns; members whose links join them to one component need no further comparison among themselves. What is
-   left, members outside a column's largest component against the others, is multiplied out, but only
-   where both share enough long columns to reach the bound by these alone and where parity sketches of
-   their whole sets don't prove that they differ in too many n-grams.
+   The nodes that have one are few. All n-grams of these are counted among them and ordered again, the rarest
+   first, and steps 1 and 2 are repeated in this order: copies with many edits of their own then have few long columns.
+   Each long column is first matched against a few pivots, the nodes with the largest shares of such columns; members
+   whose links join them to one component need no further comparison among themselves. What is left, members outside
+   a column's largest component against the others, is multiplied out, but only for sizes at which a member has enough
+   long columns to reach the bound by these alone, where both share as many, and where parity sketches of their
+   whole sets don't prove that they differ in too many n-grams.
 4. Pairs that remain are verified on whole sets; links give connected components. Of the pairs of step 2,
    each node's best is verified first, then those that still lie between components.
 
@@ -167,6 +170,16 @@ def _set_rows(size: int):
     return rows
 
 
+def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each n-gram of a set."""
+    for batch in batches:
+        sets = [np.frombuffer(s.as_py(), np.int64) for s in batch.column("grams")]
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        if sizes.sum():
+            nodes = batch.column("node").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(np.repeat(nodes, sizes)), pa.array(np.repeat(sizes, sizes))], ["col", "node", "n"])
+
+
 def _linked_rows(num: int, den: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,6 +209,10 @@ def _bound(a: Column, b: Column, num: int, den: int) -> Column:
     return _alpha(a, b, num, den) + 1 - F.floor((num * F.greatest(a, b) + (den - 1)) / den)
 
 
+#: Classes of size between two sizes that just fit.
+CLASSES = 8
+
+
 class JaccardJoin:
     """The join over one table; see the module's text."""
 
@@ -255,12 +272,17 @@ class JaccardJoin:
         bound, least_h = _bound(F.col("x.n"), F.col("y.n"), self.num, self.den), F.least("x.h", "y.h")
         on = (F.col("x.col") == F.col("y.col")) & _sizes_fit(F.col("x.n"), F.col("y.n"), self.num, self.den) & condition
         if long:
-            # sizes that fit lie in the same or in neighbouring classes: a column's members are dealt by class
-            wide = math.log(self.den / self.num) * 1.0001
+            # a column's members are dealt by classes of size; sizes that fit lie in the same or in CLASSES + 1 neighbouring
+            # ones. A row goes to those with a size at which its h reaches the bound, which falls from n on both sides
+            wide = math.log(self.den / self.num) * 1.0001 / CLASSES
             own = lambda n: F.floor(F.ln(n) / F.lit(wide)) if wide else n
+            to = F.explode(F.sequence(own(F.col("n")) - (CLASSES + 1), own(F.col("n")) + (CLASSES + 1))) if wide else own(F.col("n"))
+            ends = (F.greatest(F.floor(F.exp(F.col("class") * wide)) - 1, F.lit(1)), F.ceil(F.exp((F.col("class") + 1) * wide)) + 1) if wide else (F.col("n"), F.col("n"))
+            # rounding lifts an end by one above a size within at most
+            reaches = F.least(*(_bound(F.col("n"), end, self.num, self.den) for end in ends)) - 1 <= F.col("h") - F.col("r") + 1
             # few rows with much work each: dealt to all tasks, which Spark doesn't merge
             n_tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            x = left.repartition(n_tasks, "node").withColumn("class", F.explode(F.array(*(own(F.col("n")) + i for i in (-1, 0, 1))))).alias("x")
+            x = left.withColumn("class", to).filter(reaches).repartition(n_tasks, "node").alias("x")
             y = right.repartition(n_tasks, "node").withColumn("class", own(F.col("n"))).alias("y")
             on &= F.col("x.class") == F.col("y.class")
             early = (F.col("x.r") <= F.col("x.h") - bound + 1) & (F.col("y.r") <= F.col("y.h") - bound + 1)
@@ -273,26 +295,52 @@ class JaccardJoin:
         counted = met.groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), bound.alias("bound"), least_h.alias("h")).agg(F.count("*").alias("c"))
         return counted.filter(F.col("c") + F.col("h") >= F.col("bound")).select("a", "b", "c")
 
-    def _verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link, by their whole sets."""
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    def _sets(self, nodes: DataFrame) -> DataFrame:
+        """(node, grams): whole sets of `nodes`, and of others whose rows have the same doc_id."""
         first = self.rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-        wanted = stored(ends.join(first, "node").select("doc_id", "node"))
+        wanted = stored(nodes.join(first, "node").select("doc_id", "node"))
         few = wanted.count() <= self.broadcast_rows
         ids = wanted.select("doc_id").distinct()
         picked = self.texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
         sets = stored(picked.mapInArrow(arrow_rows(_set_rows(self.size)), "node long, grams binary").dropDuplicates(["node"]))
+        discard(wanted)
+        return sets
+
+    def _rare_first(self, nodes: DataFrame) -> DataFrame:
+        """(col, long, node, n, h): prefix columns that two of `nodes` or more have, in the order of how many of `nodes`
+        have them; h: the node's long columns."""
+        sets = self._sets(nodes)
+        cells = stored(sets.join(nodes, "node", "left_semi").mapInArrow(arrow_rows(_cell_rows), "col long, node long, n long"))
+        counted = stored(cells.groupBy("col").agg(F.count("*").alias("df")).filter("df >= 2"))
+        shared = stored(cells.join(counted, "col"))
+        own = Window.partitionBy("node")  # at most a node's n-grams
+        # n-grams of no other node come before those that are shared
+        ranked = shared.withColumn("r", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "col")))
+        kept = ranked.filter(F.col("r") <= F.col("n") - F.floor((self.num * F.col("n") + (self.den - 1)) / self.den) + 1)
+        kept = kept.select("col", (F.col("df") > self.block).alias("long"), "node", "n")
+        rows = stored(kept.withColumn("h", F.sum(F.col("long").cast("long")).over(own)))
+        discard(sets, cells, counted, shared)
+        return rows
+
+    def _verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that link, by their whole sets."""
+        sets = self._sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         with_b = pairs.select("a", "b").join(sets.withColumnRenamed("grams", "grams_b"), F.col("b") == F.col("node")).drop("node")
         with_both = with_b.join(sets.withColumnRenamed("grams", "grams_a"), F.col("a") == F.col("node")).select("a", "b", "grams_a", "grams_b")
         linked = stored(with_both.mapInArrow(arrow_rows(_linked_rows(self.num, self.den)), "a long, b long"))
-        discard(wanted, sets)
+        discard(sets)
         return linked
 
     def components(self) -> DataFrame:
         """(node, root) of the nodes that have a link."""
         rows = self._incidence()
-        light, long = rows.filter(~F.col("long")), rows.filter("long")
-        pairs = stored(self._pairs(light, light, F.col("x.node") < F.col("y.node")))
+        light = rows.filter(~F.col("long"))
+        once = F.col("x.node") < F.col("y.node")
+        # linked nodes that share long columns only have one both: they are found in the second order
+        nodes = stored(rows.filter("long").select("node").distinct())
+        again = self._rare_first(nodes)
+        light_again, long = again.filter(~F.col("long")), again.filter("long")
+        pairs = stored(self._pairs(light, light, once).unionByName(self._pairs(light_again, light_again, once)))
         share = F.col("h") / (F.col("n") - F.floor((self.num * F.col("n") + (self.den - 1)) / self.den) + 1)
         pivots = long.groupBy("col", F.pmod("node", F.lit(self.pivots)).alias("deal")).agg(F.max(F.struct(share.alias("share"), -F.col("n"), "node", "n", "h")).alias("p")).select("col", F.col("p.h").alias("h"), F.col("p.node").alias("node"), F.col("p.n").alias("n"))
         stars = self._pairs(long, pivots, F.col("x.node") != F.col("y.node"))
@@ -320,7 +368,7 @@ class JaccardJoin:
         left = stored(left)
         if not left.isEmpty():
             roots = connected(links.unionByName(self._verified(left)))
-        discard(rows, pairs, placed, largest, marked, left)
+        discard(rows, nodes, again, pairs, placed, largest, marked, left)
         return roots
 
     def result(self) -> DataFrame:
@@ -352,7 +400,7 @@ def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     a = roots.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
     b = roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
     both = pairs.join(a, "a", "left").join(b, "b", "left")
-    return stored(both.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
+    return stored(both.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").distinct())
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -364,14 +412,17 @@ def connected(links: DataFrame) -> DataFrame:
     while True:
         heard = stored(edges.join(roots, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("heard")))
         near = stored(roots.join(heard, F.col("node") == F.col("a")).select("node", F.col("root").alias("old"), F.least("root", "heard").alias("root")))
+        discard(heard, roots)
+        if near.filter("root <> old").isEmpty():  # neighbours agree
+            discard(edges)
+            return near.select("node", "root")
         up = near.select(F.col("root").alias("up")).distinct().join(near.select("node", F.col("root").alias("up_root")), F.col("up") == F.col("node"))
         hops = stored(up.filter("up_root < up").select("up", "up_root"))
-        to = stored(near.join(hops, F.col("root") == F.col("up"), "left").select("node", "old", F.coalesce("up_root", "root").alias("root")))
-        discard(heard, near, hops, roots)
-        roots = to.select("node", "root")
-        if to.filter("root <> old").isEmpty():
-            discard(edges)
-            return roots
+        roots = near.select("node", "root")
+        if not hops.isEmpty():
+            roots = stored(near.join(hops, F.col("root") == F.col("up"), "left").select("node", F.coalesce("up_root", "root").alias("root")))
+            discard(near)
+        discard(hops)
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, **options) -> DataFrame:

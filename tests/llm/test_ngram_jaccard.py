@@ -2,8 +2,9 @@ import random
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
-from quillgraph.llm.ngram_jaccard import first_of_groups, jaccard_components
+from quillgraph.llm.ngram_jaccard import JaccardJoin, first_of_groups, jaccard_components
 
 
 def brute(rows, size, num, den):
@@ -72,6 +73,31 @@ def test_columns_with_odd_names_and_a_long_text(docs_of, odd):
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "5", "6", "7", "8", "None"]
 
 
+def test_copies_with_many_edits_are_not_all_compared(docs_of, monkeypatch):
+    """Members of a large group that are too far from all others have few long columns in the second order."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    base, rows = [word() for _ in range(200)], []
+    for i in range(160):
+        copy = list(base)
+        for at in rng.sample(range(200), 1 if i % 2 else 5):
+            copy[at] = word()
+        rows.append((i, " ".join(copy)))
+    compared, pairs = [], JaccardJoin._pairs
+
+    def counted(self, left, right, condition, long=False):
+        if long:
+            met = left.alias("x").join(right.alias("y"), (F.col("x.col") == F.col("y.col")) & condition & (F.col("x.h") >= 14) & (F.col("y.h") >= 14))
+            compared.append(met.count())
+        return pairs(self, left, right, condition, long)
+
+    monkeypatch.setattr(JaccardJoin, "_pairs", counted)
+    got = sorted(((r.doc_id, r.n_ngrams, r.component_id) for r in jaccard_components(docs_of(rows), 4, 85, 100, block=8).collect()), key=str)
+    assert got == brute(rows, 4, 85, 100)
+    # 1,085 comparisons; in the order of hashes alone 172,495
+    assert len({r[2] for r in got}) > 70 and len(compared) == 1 and compared[0] < 5_000
+
+
 def test_empty(docs_of):
     assert jaccard_components(docs_of([])).count() == 0
 
