@@ -60,6 +60,15 @@ def small_batches(spark: SparkSession, rows: int = 1_000, size: int = 4 << 20) -
             spark.conf.set(key, str(most))
 
 
+def small_broadcasts(spark: SparkSession, size: int = 2 << 20) -> None:
+    """Bounds the tables that Spark broadcasts by its own choice. It goes by the size of their files; on the driver, which
+    collects, hashes and sends them, they are many times that, several at once. Stays for the session, like the above."""
+    for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        given = spark.conf.get(key) if key == "spark.sql.autoBroadcastJoinThreshold" else spark.conf.get(key, "-1")
+        if not given.startswith("-") and spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(given) > size:
+            spark.conf.set(key, str(size))
+
+
 def arrow_rows(rows):
     """`rows` (a function for mapInArrow) that hands free memory back when its task ends: Spark uses a Python worker
     again, and what it keeps adds up with the executor's own."""

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import arrow_rows, discard, document_texts, shingle_hashes, stored, word_hashes
+from quillgraph.llm.common import arrow_rows, discard, document_texts, shingle_hashes, small_broadcasts, stored, word_hashes
 
 NO_ID = -(2**63)
 
@@ -99,6 +99,12 @@ def _prefix_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(columns), pa.array(n.astype(np.int64))], ["col", "df"])
 
 
+def _packed_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A batch's columns as one value: a row each would take the driver a hundred bytes and more."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([batch.column("col").to_numpy().tobytes()], pa.binary())], ["cols"])
+
+
 class Frequent:
     """Membership in a sorted array, most misses answered by a bitmap."""
 
@@ -220,6 +226,7 @@ class JaccardJoin:
         if not 0 < num <= den or den >= 2**20:
             raise ValueError("the threshold must be num / den, above 0 and at most 1")
         self.spark, self.size, self.num, self.den = docs.sparkSession, size, num, den
+        small_broadcasts(self.spark)
         self.block, self.most_frequent, self.broadcast_rows, self.rounds, self.pivots = block, most_frequent, broadcast_rows, rounds, pivots
         self.texts = document_texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
         if keyed:
@@ -232,7 +239,8 @@ class JaccardJoin:
         counted = stored(counts.groupBy("col").agg(F.sum("df").alias("df")).filter(F.col("df") > least))
         while (found := counted.filter(F.col("df") > least)).count() > room:
             least *= 2
-        columns = found.select("col").toPandas()["col"].to_numpy(np.int64).view(np.uint64)
+        packed = found.select("col").mapInArrow(arrow_rows(_packed_columns), "cols binary").collect()  # 8 bytes a column
+        columns = np.frombuffer(b"".join(r["cols"] for r in packed), np.uint64)
         discard(counted)
         return columns
 

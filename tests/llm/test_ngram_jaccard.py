@@ -112,3 +112,28 @@ def test_components_that_share_a_doc_id_all_stay(docs_of):
     assert len(nears) == 1 and nears[0][0] == 9
     want = [(None, said("a")), (None, said("b")), (None, said("c")), (None, None), (None, ""), (7, said("d")), (7, said("e")), (7, " "), (7, " "), (8, said("f"))]
     assert [r for r in got if r not in nears] == sorted(want, key=str)
+
+
+def test_frequent_columns_reach_the_driver_packed(spark, docs_of):
+    import tracemalloc
+
+    join = JaccardJoin(docs_of([(1, "a b c d e f")]), 5, 80, 100)
+    counts = spark.range(200_000).select(F.xxhash64("id").alias("col"), F.lit(40).cast("long").alias("df"))
+    tracemalloc.start()
+    found = join._over(counts, 2_000_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(found.view("int64").tolist()) == sorted(r["col"] for r in counts.collect())
+    assert peak < 40 * len(found)
+
+
+def test_stored_tables_of_some_mb_are_not_broadcast(spark, docs_of):
+    from quillgraph.llm.common import stored
+
+    JaccardJoin(docs_of([(1, "a b c d e f")]), 5, 80, 100)
+    small = stored(spark.range(500_000).select(F.xxhash64("id").alias("node")))  # 4 MB of files
+    large = stored(spark.range(2_000_000).select(F.xxhash64("id").alias("node")))
+    joined = large.join(small, "node")
+    assert joined.count() == 500_000
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan, (spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), plan)
