@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.functions.arrow import arrow_rows, small_batches
+
 #: Target and overlap in tokens, a token being four bytes.
 TARGET, OVERLAP = 512, 64
 
@@ -52,24 +54,44 @@ def spans_of(sizes: list[int], target: int = TARGET, overlap: int = OVERLAP) ->
     return spans
 
 
-def chunk_texts(text: str | None) -> list[str]:
+def each_chunk(text: str | None) -> Iterator[str]:
     units = units_of(text or "")
-    return [" ".join(units[a:z]) for a, z in spans_of([len(u.encode()) for u in units])]
+    return (" ".join(units[a:z]) for a, z in spans_of([len(u.encode()) for u in units]))
+
+
+def chunk_texts(text: str | None) -> list[str]:
+    return list(each_chunk(text))
+
+
+#: Bytes of chunks that leave a worker together.
+TOGETHER = 1 << 20
+
+
+def _batch(out: tuple[list, ...]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.string())], ["path", "namespace", "chunk_index", "content"])
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Text by text, so that a worker holds one and about TOGETHER of chunks beside the batch it was handed."""
     for batch in batches:
         out: tuple[list, ...] = ([], [], [], [])
-        for path, namespace, text in zip(*(batch.column(c).to_pylist() for c in ("path", "namespace", "text")), strict=True):
-            for index, content in enumerate(chunk_texts(text)):
-                for values, x in zip(out, (path, namespace, index, content), strict=True):
+        held = 0
+        for path, namespace, text in zip(*(batch.column(c) for c in ("path", "namespace", "text")), strict=True):
+            for index, content in enumerate(each_chunk(text.as_py())):
+                for values, x in zip(out, (path.as_py(), namespace.as_py(), index, content), strict=True):
                     values.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.string())], ["path", "namespace", "chunk_index", "content"])
+                held += len(content)
+                if held >= TOGETHER:
+                    yield _batch(out)
+                    out, held = ([], [], [], []), 0
+        if out[0]:
+            yield _batch(out)
 
 
 def chunked(texts: DataFrame) -> DataFrame:
     """(path, namespace, text) to chunks; chunk_id is path#index."""
     from quillgraph.functions.text import token_estimate
 
-    rows = texts.select("path", "namespace", "text").mapInArrow(_rows, "path string, namespace string, chunk_index int, content string")
+    small_batches(texts.sparkSession)
+    rows = texts.select("path", "namespace", "text").mapInArrow(arrow_rows(_rows), "path string, namespace string, chunk_index int, content string")
     return rows.select(F.concat_ws("#", "path", "chunk_index").alias("chunk_id"), "path", "namespace", "chunk_index", "content", token_estimate(F.col("content")).alias("token_count"))

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.functions.arrow import arrow_rows as arrow_rows
+from quillgraph.functions.arrow import small_batches
+
 #: The white space of every contract here: [\x20\x09-\x0D].
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -51,39 +51,15 @@ def discard(*tables: DataFrame) -> None:
                 path.getFileSystem(conf).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1_000, size: int = 4 << 20) -> None:
-    """Bounds what a Python worker is handed at once: rows and bytes of an Arrow batch. Spark reads these settings
-    when a plan runs, after its function has returned, so they stay for the session; smaller ones are kept."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
-        given = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
-        if given not in range(1, most + 1):
-            spark.conf.set(key, str(most))
-
-
 def small_broadcasts(spark: SparkSession, size: int = 2 << 20) -> None:
     """Bounds the tables that Spark broadcasts by its own choice. It goes by the size of their files; on the driver, which
-    collects, hashes and sends them, they are many times that, several at once. Stays for the session, like the above."""
+    collects, hashes and sends them, they are many times that, several at once. Stays for the session, like `small_batches`."""
     for key in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
         given = spark.conf.get(key) if key == "spark.sql.autoBroadcastJoinThreshold" else spark.conf.get(key, "-1")
         if not given.startswith("-") and spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(given) > size:
             spark.conf.set(key, str(size))
 
 
-def arrow_rows(rows):
-    """`rows` (a function for mapInArrow) that hands free memory back when its task ends: Spark uses a Python worker
-    again, and what it keeps adds up with the executor's own."""
-
-    def all_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            yield from rows(batches)
-        finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # where the C library is another
-                ctypes.CDLL(None).malloc_trim(0)
-
-    return all_rows
-
-
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(c, UPPER, LOWER)

@@ -83,3 +83,16 @@ def test_chunks():
     assert all((len(c.encode()) + 3) // 4 <= 512 for c in found)
     assert len(chunk_texts("x" * 5000)) == 1  # a unit too long stays whole
     assert spans_of([800] * 10) == [(0, 2), *((i, i + 2) for i in range(1, 9)), (9, 10)]
+
+
+def test_chunks_leave_a_worker_in_small_batches():
+    import pyarrow as pa
+
+    from quillgraph.functions import chunks
+
+    texts = [" ".join(f"Sentence {i} of text {j}." for i in range(4000)) for j in range(60)] + [None, ""]
+    batch = pa.record_batch({"path": [f"p{j}" for j in range(62)], "namespace": ["n"] * 62, "text": texts})
+    out = list(chunks._rows(iter([batch])))
+    got = [r for b in out for r in b.to_pylist()]
+    assert [(r["path"], r["chunk_index"], r["content"]) for r in got] == [(f"p{j}", i, c) for j, t in enumerate(texts) for i, c in enumerate(chunk_texts(t))]
+    assert max(b.nbytes for b in out) < 2 * 2**20
