@@ -66,6 +66,17 @@ def topic_tokens(text: Column) -> Column:
     return F.filter(runs, lambda w: (F.octet_length(w) >= 4) & ~w.isin(TOPIC_STOPWORDS))
 
 
+def counted(tokens: Column) -> Column:
+    """How often each token stands in a row's array, as (term, n): a sort of the row, nothing is shuffled."""
+
+    def runs(t: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(t) - 1), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
+        return let(starts, lambda s: F.transform(s, lambda i, k: F.struct(F.get(t, i).alias("term"), (F.coalesce(F.get(s, k + 1), F.size(t)) - i).cast("long").alias("n"))))
+
+    none = F.expr("cast(array() as array<struct<term: string, n: bigint>>)")
+    return let(F.sort_array(tokens), lambda t: F.when(F.size(t) > 0, runs(t)).otherwise(none))
+
+
 def query_terms(text: str) -> list[str]:
     """Lower-cased words of a query, split at white space."""
     return text.lower().split()

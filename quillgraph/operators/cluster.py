@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from quillgraph.functions.text import topic_tokens
+from quillgraph.functions.text import counted, let, topic_tokens
 
 MISC = "misc"
 
@@ -17,30 +17,54 @@ def document_band(n: int) -> tuple[int, int]:
 
 def topic_terms(notes: DataFrame, k: int) -> DataFrame:
     """(term, score, place): the k terms with the highest TF-IDF in any note, within the document band."""
-    return _best_terms(_term_scores(notes), k)
+    rows, n, _ = _tokens(notes)
+    return _best_terms(rows, n, k).drop("idf")
 
 
-def _term_scores(notes: DataFrame) -> DataFrame:
-    """(path, term, tfidf, df) of every term in the band."""
-    n = notes.count()
-    low, high = document_band(n)
-    tokens = notes.select("path", topic_tokens(F.col("body")).alias("tokens"))
-    tf = tokens.select("path", F.size("tokens").alias("size"), F.explode("tokens").alias("term")).groupBy("path", "term").agg((F.count("*") / F.first("size")).alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df").between(low, high))
-    return tf.join(df, "term").select("path", "term", (F.col("tf") * (F.log(F.lit(n) / F.col("df")) + 1)).alias("tfidf"), "df")
+def _tokens(notes: DataFrame) -> tuple[DataFrame, int, bool]:
+    """(path, tokens, size) of each path, the number of notes, and whether each has a path of its own. Where not, the rows
+    of a path are put together."""
+    row = notes.agg(F.count("*"), F.count_distinct("path")).first()
+    rows, alone = notes.select("path", topic_tokens(F.col("body")).alias("tokens")), row[0] == row[1]
+    if alone:
+        return rows.select("path", "tokens", F.size("tokens").alias("size")), row[0], alone
+    merged = rows.groupBy("path").agg(F.flatten(F.collect_list("tokens")).alias("tokens"), F.first(F.when(F.size("tokens") > 0, F.size("tokens")), ignorenulls=True).alias("size"))
+    return merged, row[0], alone
 
 
-def _best_terms(scores: DataFrame, k: int) -> DataFrame:
-    best = scores.groupBy("term").agg(F.max("tfidf").alias("score")).orderBy(F.desc("score"), "term").limit(k)
+def _best_terms(rows: DataFrame, n: int, k: int) -> DataFrame:
+    """(term, score, idf, place). A term's weight is the same in all notes, so its largest share of a note makes its
+    score: what moves is a row for each term and task."""
+    low, high = document_band(n)
+    each = rows.select("size", F.explode(counted(F.col("tokens"))).alias("t")).select("t.term", (F.col("t.n") / F.col("size")).alias("tf"))
+    terms = each.groupBy("term").agg(F.count("*").alias("df"), F.max("tf").alias("tf")).filter(F.col("df").between(low, high))
+    scored = terms.withColumn("idf", F.log(F.lit(n) / F.col("df")) + 1).select("term", (F.col("tf") * F.col("idf")).alias("score"), "idf")
+    best = scored.orderBy(F.desc("score"), "term").limit(k)
     return best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "term")))  # k rows
 
 
 def content_clusters(notes: DataFrame, k: int = 5) -> DataFrame:
     """(label, path): each note goes to the topic term with its highest TF-IDF, the rest to misc."""
-    scores = _term_scores(notes).persist()  # both for the best terms and for the notes
-    own = scores.join(F.broadcast(_best_terms(scores, k)), "term")  # k rows
-    best = own.filter("tfidf > 0").groupBy("path").agg(F.max_by("term", F.struct("tfidf", -F.col("place"))).alias("label"))
-    return notes.select("path").join(best, "path", "left").select(F.coalesce("label", F.lit(MISC)).alias("label"), "path")
+    rows, n, alone = _tokens(notes)
+    terms = _best_terms(rows, n, k).collect()  # k rows
+    label = F.lit(None).cast("string")
+    if terms:
+
+        def scored(t: Row, few: Column, size: Column) -> Column:
+            tf = F.try_divide(F.size(F.filter(few, lambda w: w == t["term"])), size)
+            return F.struct((tf * F.lit(t["idf"])).alias("tfidf"), F.lit(-t["place"]).alias("place"), F.lit(t["term"]).alias("term"))
+
+        def best(few: Column, size: Column) -> Column:
+            return F.array_max(F.filter(F.array(*(scored(t, few, size) for t in terms)), lambda s: s["tfidf"] > 0))["term"]
+
+        # the row's tokens are worked out once, and only the k terms among them looked at
+        some = let(F.col("tokens"), lambda w: F.struct(F.filter(w, lambda x: x.isin([t["term"] for t in terms])).alias("few"), F.size(w).alias("size")))
+        size = F.lit(None).cast("int") if alone else F.col("size")
+        label = let(some, lambda x: best(x["few"], F.coalesce(size, x["size"])))
+    placed = rows.select("path", F.when(F.col("path").isNotNull(), label).alias("label"))
+    if not alone:
+        placed = notes.select("path").join(placed, "path", "left")
+    return placed.select(F.coalesce("label", F.lit(MISC)).alias("label"), "path")
 
 
 def top_tags(notes: DataFrame, k: int) -> DataFrame:

@@ -100,3 +100,28 @@ def test_clusters(vault, spark):
     with pytest.raises(ValueError):
         cluster.vector_clusters(vectors, chunks, 50)
     assert cluster.clusters(notes, 2, vectors, chunks).count() == 5
+
+
+def test_topic_terms_like_a_plain_count(spark):
+    import math
+    from collections import Counter
+
+    texts = {"a": "topic topic other word", "b": "Topic other thing", "c": "thing thing thing thing words", "d": "", "e": None, "f": "lone with this", "g": "other été été", "h": "été", "i": "words"}
+    notes = spark.createDataFrame(list(texts.items()), "path string, body string")
+    words = {p: [w for w in (t or "").lower().split() if len(w.encode()) >= 4 and w not in ("with", "this")] for p, t in texts.items()}
+    df = Counter(w for ws in words.values() for w in set(ws))
+    scores = {(p, w): n / len(ws) * (math.log(len(texts) / df[w]) + 1) for p, ws in words.items() for w, n in Counter(ws).items() if 2 <= df[w] <= 3}
+    best = sorted({w: max(s for (_, x), s in scores.items() if x == w) for _, w in scores}.items(), key=lambda x: (-x[1], x[0]))
+    terms = cluster.topic_terms(notes, 3)
+    assert [(r.term, r.place) for r in terms.collect()] == [(w, i + 1) for i, (w, _) in enumerate(best[:3])]
+    assert [r.score for r in terms.collect()] == pytest.approx([s for _, s in best[:3]])
+    place = {w: i for i, (w, _) in enumerate(best[:3])}
+    own = {p: min(((-s, place[w], w) for (q, w), s in scores.items() if q == p and w in place), default=(0, 0, "misc"))[2] for p in texts}
+    found = cluster.content_clusters(notes, 3)
+    assert {r.path: r.label for r in found.collect()} == own
+    # terms are counted inside a row: no note's terms move, and nothing is kept
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "InMemoryTableScan" not in plan and "Join" not in plan
+    # rows of one path are counted together
+    twice = notes.unionByName(notes.filter("path = 'c'"))
+    assert cluster.content_clusters(twice, 3).count() == 10 and {r.label for r in cluster.content_clusters(twice, 3).filter("path = 'c'").collect()} == {"thing"}
