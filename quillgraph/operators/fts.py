@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from quillgraph.functions.text import let, plain_token, search_tokens
+from quillgraph.functions.text import counted, let, plain_token, search_tokens
 
 #: Okapi BM25, and the weight of a term in half of all rows or more.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -377,12 +377,17 @@ def bucket_of(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def postings(rows: DataFrame, key: str, text: str, *carried: str) -> DataFrame:
+def postings(rows: DataFrame, key: str, text: str, *carried: str, alone: bool = False) -> DataFrame:
     """The inverted index (term, the key, the carried columns, tf, bucket): one shuffle by (key, term), summed before it
-    moves. Written partitioned by bucket, a query reads the files of its terms only."""
-    each = rows.select(key, *carried, F.explode(search_tokens(F.col(text))).alias("term"))
-    counted = each.groupBy(key, *carried, "term").agg(F.count("*").alias("tf"))
-    return counted.select("term", key, *carried, "tf", bucket_of(F.col("term")).alias("bucket"))
+    moves; none where each row has a key of its own (`alone`). Written partitioned by bucket, a query reads the files of
+    its terms only."""
+    tokens = search_tokens(F.col(text))
+    if alone:
+        each = rows.select(key, *carried, F.explode(counted(tokens)).alias("t"))
+        summed = each.select(key, *carried, "t.term", F.col("t.n").alias("tf"))
+    else:
+        summed = rows.select(key, *carried, F.explode(tokens).alias("term")).groupBy(key, *carried, "term").agg(F.count("*").alias("tf"))
+    return summed.select("term", key, *carried, "tf", bucket_of(F.col("term")).alias("bucket"))
 
 
 def sizes(rows: DataFrame, key: str, text: str, *carried: str) -> DataFrame:

@@ -185,9 +185,9 @@ class Store:
                 return result
             new = parsed.join(changed, "path", "left_semi")
             fresh = chunked(new.select("path", "namespace", F.col("full_body").alias("text"))).cache()
-            entries = fts.postings(fresh, "chunk_id", "content", "path").cache()
+            entries = fts.postings(fresh, "chunk_id", "content", "path", alone=True)  # read once, when written
             sizes = fts.sizes(fresh, "chunk_id", "content", "path").cache()
-            held += [fresh, entries, sizes]
+            held += [fresh, sizes]
             tables = {"notes": merged_notes(notes.join(changed, "path", "left_semi"), new.drop("full_body")), "chunks": fresh, "postings": entries, "sizes": sizes}
             tables["vectors"] = embedder.vectors(fresh) if embedder is not None else self.spark.createDataFrame([], model.VECTORS)
             touched = changed.unionByName(gone)

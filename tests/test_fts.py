@@ -58,3 +58,12 @@ def test_filter_leaves_corpus_numbers(corpus):
     all_rows = {r.id: r.bm25 for r in fts.match(df, "alpha", {"body": "body"}).collect()}
     some = {r.id: r.bm25 for r in fts.match(df, "alpha", {"body": "body"}, F.col("id") < 20).collect()}
     assert some == {i: s for i, s in all_rows.items() if i < 20}
+
+
+def test_postings_of_rows_alone_move_nothing(corpus):
+    df, _ = corpus
+    more = df.select("id", "body").unionByName(df.sparkSession.createDataFrame([(100, None), (101, ""), (102, "b a b b ?! a")], "id int, body string"))
+    got, want = fts.postings(more, "id", "body", alone=True), fts.postings(more, "id", "body")
+    assert sorted(got.collect()) == sorted(want.collect()) and got.schema.simpleString() == want.schema.simpleString()
+    assert {(r.term, r.tf) for r in got.filter("id = 102").collect()} == {("a", 2), ("b", 3)}
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
